@@ -27,7 +27,7 @@ users AS (
   UNION ALL
   SELECT s_suppkey * 2 + 1, CONCAT('teacher', CAST(s_suppkey * 2 + 1 AS STRING)), 'teacher' FROM supplier
   UNION ALL
-  SELECT 0, 'admin', 'admin'),
+  SELECT -4000000000000 - n_nationkey, CONCAT('admin', CAST(-4000000000000 - n_nationkey AS STRING)), 'admin' FROM nation),
 active AS (SELECT COUNT(*) AS n FROM supplier WHERE s_acctbal >= 0),
 raw_sc AS (
   SELECT (CASE WHEN o_custkey % 50 = 49 THEN o_custkey - 49 ELSE o_custkey END) * 2 + 2 AS student_id,

@@ -106,7 +106,7 @@ def leaving_courses(school: School, projection: Projection) -> DataFrame:
 
 def new_sections(school: School, projection: Projection) -> DataFrame:
     """Every section again, for a later semester, without one and with no such teacher."""
-    seq = f"long({semester_no('semester')}) AS change_seq"
+    seq = f"bigint({semester_no('semester')}) AS change_seq"
 
     def offer(teacher: str, semester: str) -> DataFrame:
         return school.tc.selectExpr(
@@ -134,7 +134,7 @@ def leaving_sections(school: School, projection: Projection) -> DataFrame:
 def new_enrolments(school: School, projection: Projection) -> DataFrame:
     """Every enrolment again, and one in the coming semester of the same course."""
     wanted = school.sc.selectExpr(
-        f"long({semester_no('semester')}) AS change_seq",
+        f"bigint({semester_no('semester')}) AS change_seq",
         "CASE WHEN student_id % 13 = 5 THEN concat('ghost', student_id)"
         " WHEN student_id % 13 = 6 THEN concat('teacher', teacher_id)"
         " ELSE concat('Student', student_id) END AS student_username",

@@ -1,7 +1,7 @@
 """School tables seen in an order-processing data set.
 
-customer -> student, supplier -> teacher, part -> course, order lines ->
-enrolments. Every row of every table takes part. Odd corners come from mapping
+customer -> student, supplier -> teacher, nation -> administrator, part -> course,
+order lines -> enrolments. Every row of every table takes part. Odd corners come from mapping
 rows, not from leaving any out: orders of one customer in fifty count for another
 one, which leaves students without an enrolment, and lines of five neighbouring
 parts count for the first, which leaves courses that were never offered.
@@ -29,9 +29,11 @@ SOURCES = {
 
 EMPTY_SEMESTER = "2003春"
 
-# Keys of students are even, of teachers odd: both are keys of users as well.
+# Keys of students are even, of teachers odd, of administrators far below zero: all
+# of them are keys of users as well.
 STUDENT_KEY = "c_custkey * 2 + 2"
 TEACHER_KEY = "s_suppkey * 2 + 1"
+ADMIN_KEY = "-4000000000000 - n_nationkey"
 
 
 def semester_no(semester: str) -> str:
@@ -85,11 +87,10 @@ class Projection:
                 f"{key} AS user_id", f"concat('{role}', {key}) AS username", f"'{role}' AS role"
             )
 
-        admin = self.spark.range(1).selectExpr("id AS user_id", "'admin' AS username", "'admin' AS role")
         return (
             accounts("customer", STUDENT_KEY, "student")
             .union(accounts("supplier", TEACHER_KEY, "teacher"))
-            .union(admin)
+            .union(accounts("nation", ADMIN_KEY, "admin"))
         )
 
     def _assigned(self, rows: DataFrame, number: str, group: str) -> DataFrame:

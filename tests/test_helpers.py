@@ -1,0 +1,70 @@
+from __future__ import annotations
+
+from rollbook.functions.filters import (
+    blank_to_null,
+    fuzzy,
+    opt_between,
+    opt_eq,
+    opt_eq_text,
+    to_int,
+    with_null_label,
+    with_zero_defaults,
+)
+
+
+def frame(spark):
+    return spark.createDataFrame(
+        [(1, "Ab%c", 0), (2, "abxc", 5), (3, "a_b", None), (4, None, 10)], "id INT, t STRING, n INT"
+    )
+
+
+def ids(df):
+    return sorted(r.id for r in df.collect())
+
+
+def test_optional_equality(spark):
+    df = frame(spark)
+    assert opt_eq(df, "n", None) is df
+    assert ids(opt_eq(df, "n", 0)) == [1]
+    wanted = spark.createDataFrame([(5,), (5,), (10,), (None,)], "x INT")
+    assert ids(opt_eq(df, "n", wanted)) == [2, 4]
+
+
+def test_text_equality_ignores_case(spark):
+    df = frame(spark)
+    assert opt_eq_text(df, "t", None) is df
+    assert ids(opt_eq_text(df, "t", "AB%C")) == [1]
+    wanted = spark.createDataFrame([("ABXC",), ("A_B",)], "x STRING")
+    assert ids(opt_eq_text(df, "t", wanted)) == [2, 3]
+
+
+def test_fuzzy_takes_wildcards_literally(spark):
+    df = frame(spark)
+    assert fuzzy(df, "t", None) is df
+    assert ids(fuzzy(df, "t", "b%C")) == [1]
+    assert ids(fuzzy(df, "t", "A_")) == [3]
+    assert ids(fuzzy(df, "t", "AB")) == [1, 2]
+
+
+def test_range_is_inclusive_and_zero_is_a_bound(spark):
+    df = frame(spark)
+    assert ids(opt_between(df, "n")) == [1, 2, 3, 4]
+    assert ids(opt_between(df, "n", 0, 5)) == [1, 2]
+    assert ids(opt_between(df, "n", high=0)) == [1]
+    assert ids(opt_between(df, "n", low=0)) == [1, 2, 4]
+
+
+def test_blank_is_exactly_the_empty_text(spark):
+    df = spark.createDataFrame([("",), (" ",), ("x",)], "t STRING")
+    assert [r.t for r in blank_to_null(df, ["t"]).collect()] == [None, " ", "x"]
+
+
+def test_numbers_are_read_and_failures_null(spark):
+    df = spark.createDataFrame([("7",), ("x",), ("",), (None,), ("-3",)], "n STRING")
+    assert [r.n for r in to_int(df, ["n"]).collect()] == [7, None, None, None, -3]
+
+
+def test_report_views(spark):
+    df = spark.createDataFrame([(1, None, None)], "a INT, b INT, c STRING")
+    assert tuple(with_null_label(df).first()) == ("1", "未录入", "未录入")
+    assert tuple(with_zero_defaults(df).first()) == (1, 0, None)
