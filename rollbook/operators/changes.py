@@ -5,7 +5,7 @@ new snapshot, the rejected changes with a reason and, for deletions, the rows
 removed. Nothing is modified in place; a caller writes the new tables beside the
 old ones. All of it is lazy: an output that is not used is not computed.
 
-``change_seq`` orders the changes to one key. A change delivered twice with the
+``change_seq`` orders the changes to one key and may not be NULL. A change delivered twice with the
 same content counts as one. Of several valid changes to a key the first wins
 where rows are added or removed, the last where they are updated; the others are
 ``superseded``. Changes are judged against the old snapshot.
@@ -13,8 +13,8 @@ where rows are added or removed, the last where they are updated; the others are
 How hot keys are kept apart, whatever share of the batch they hold:
 
 * the winning change per key is an aggregate, reduced before the shuffle;
-* losing changes are told from it by a join over all columns of the change, whose
-  hash spreads the changes to one key over all partitions;
+* losing changes are told from it by a join on key and ``change_seq``, whose hash
+  spreads the changes to one key over all partitions;
 * lookups left join many changes (left) with one row per key (right), the form in
   which adaptive execution splits a skewed left side.
 """
@@ -67,6 +67,7 @@ def _one_of(column: str, values: Sequence[str]) -> Column:
 
 def _judge(changes: DataFrame, *checks: tuple[Column, str]) -> tuple[DataFrame, DataFrame]:
     """Split by the first check that holds: (sound, faulty with ``reason``)."""
+    checks = ((F.col("change_seq").isNull(), INVALID_VALUE), *checks)
     reason = F.coalesce(*(F.when(condition, F.lit(text)) for condition, text in checks))
     sound = changes.filter(reason.isNull())
     faulty = changes.withColumn("reason", reason).filter(F.col("reason").isNotNull())
@@ -94,6 +95,7 @@ def _rejects(
     columns: Sequence[str],
     faulty: DataFrame,
     marked: DataFrame,
+    key: Sequence[str],
     winners: DataFrame,
     *checks: tuple[Column, str],
 ) -> DataFrame:
@@ -103,18 +105,14 @@ def _rejects(
     flags the checks read. What passes the checks without being a winner is
     superseded.
     """
-    won = winners.select(
-        *(F.col(c).alias(f"_won_{c}") for c in winners.columns), F.lit(True).alias("_won")
-    )
-    same = reduce(
-        lambda a, b: a & b,
-        (marked[c].eqNullSafe(won[f"_won_{c}"]) for c in winners.columns),
-    )
+    rest = [c for c in winners.columns if c not in key and c != "change_seq"]
+    won = winners.select(*key, "change_seq", F.struct("change_seq", *rest).alias("_won"))
+    is_winner = F.struct("change_seq", *rest).eqNullSafe(F.col("_won"))
     reason = F.coalesce(
         *(F.when(condition, F.lit(text)) for condition, text in checks),
-        F.when(F.col("_won").isNull(), F.lit(SUPERSEDED)),
+        F.when(~is_winner, F.lit(SUPERSEDED)),
     )
-    lost = marked.join(won, same, "left").withColumn("reason", reason)
+    lost = marked.join(won, [*key, "change_seq"], "left").withColumn("reason", reason)
     return faulty.select(*columns, "reason").unionByName(
         lost.filter(F.col("reason").isNotNull()).select(*columns, "reason")
     )
@@ -240,7 +238,7 @@ def add_users(school: School, changes: DataFrame, rules: GradeRules = DEFAULT_RU
             student=school.student.unionByName(student),
             teacher=school.teacher.unionByName(teacher),
         ),
-        _rejects(changes.columns, faulty, marked, accepted, (taken, DUPLICATE)),
+        _rejects(changes.columns, faulty, marked, ["_account"], accepted, (taken, DUPLICATE)),
     )
 
 
@@ -283,6 +281,7 @@ def delete_users(school: School, changes: DataFrame) -> Outcome:
             changes.columns,
             faulty,
             _marked(sound, accounts, ["_account"], "_known"),
+            ["_account"],
             chosen,
             (_absent("_known"), UNKNOWN_USER),
         ),
@@ -315,6 +314,7 @@ def _update_profiles(
         columns,
         faulty,
         _marked(sound, table, [id_column], "_known"),
+        [id_column],
         won,
         (_absent("_known"), NO_SUCH_ROW),
     )
@@ -387,7 +387,7 @@ def upsert_courses(
         school.with_tables(
             course=_without(school.course, news, ["course_id"]).unionByName(news)
         ),
-        _rejects(changes.columns, faulty, sound, won),
+        _rejects(changes.columns, faulty, sound, ["course_id"], won),
     )
 
 
@@ -422,6 +422,7 @@ def add_sections(school: School, changes: DataFrame) -> Outcome:
             changes.columns,
             faulty,
             marked,
+            SECTION_KEY,
             chosen,
             (_absent("_teacher_known") | _absent("_course_known"), NO_SUCH_ROW),
             (~_absent("_taken"), DUPLICATE),
@@ -460,6 +461,7 @@ def _delete(
             changes.columns,
             faulty,
             _marked(sound, owner, key, "_known"),
+            key,
             chosen,
             (_absent("_known"), NO_SUCH_ROW),
         ),
@@ -497,6 +499,7 @@ def enrol(school: School, changes: DataFrame) -> Outcome:
             changes.columns,
             faulty,
             marked,
+            ENROLMENT_KEY,
             chosen,
             (_absent("_offered"), NO_SUCH_ROW),
             (~_absent("_taken"), DUPLICATE),
@@ -522,6 +525,7 @@ def drop(school: School, changes: DataFrame) -> Outcome:
             changes.columns,
             faulty,
             _marked(sound, school.sc, ENROLMENT_KEY, "_known"),
+            ENROLMENT_KEY,
             chosen,
             (_absent("_known"), NO_SUCH_ROW),
         ),
@@ -554,6 +558,7 @@ def _set_scores(
             columns,
             faulty,
             _marked(sound, school.sc, GRADED_KEY, "_known"),
+            GRADED_KEY,
             chosen,
             (_absent("_known"), NO_SUCH_ROW),
         ),

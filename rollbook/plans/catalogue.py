@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook import operators as op
-from rollbook.functions.filters import with_null_label, with_zero_defaults
+from rollbook.functions.filters import fuzzy, with_null_label, with_zero_defaults
 from rollbook.operators.changes import Outcome
 from rollbook.school import School
 from rollbook.sources import batches, stage
@@ -16,27 +16,32 @@ from rollbook.sources.projection import Projection
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# How often a plan reads the enrolments, and the sections derived from them.
+ONCE, STAGED, SECTIONS_TOO = "once", "staged", "sections too"
 
-def _once(operator: Callable[[School], DataFrame]) -> Query:
-    """A query whose plan reads the enrolments at most once."""
-    return lambda spark, root: operator(Projection(spark, root).school())
 
+def _school(projection: Projection, reads: str) -> School:
+    """The school with the tables staged that the plan would derive several times."""
+    if reads == ONCE:
+        return projection.school()
+    school = projection.school(stage(projection.sc(), "sc"))
+    if reads == SECTIONS_TOO:
+        school = school.with_tables(tc=stage(school.tc, "tc"))
+    return school
 
-def _staged(operator: Callable[[School], DataFrame]) -> Query:
-    """A query whose plan reads the enrolments several times: they are staged."""
 
-    def run(spark: SparkSession, root: str) -> DataFrame:
-        projection = Projection(spark, root)
-        return operator(projection.school(stage(projection.sc(), "sc")))
+def _once(operator: Callable[[School], DataFrame]) -> Query:
+    return lambda spark, root: operator(_school(Projection(spark, root), ONCE))
 
-    return run
+
+def _staged(operator: Callable[[School], DataFrame]) -> Query:
+    return lambda spark, root: operator(_school(Projection(spark, root), STAGED))
 
 
-def _change(operator, batch, output: Callable[[Outcome], DataFrame], staged: bool) -> Query:
+def _change(operator, batch, output: Callable[[Outcome], DataFrame], reads: str) -> Query:
     def run(spark: SparkSession, root: str) -> DataFrame:
         projection = Projection(spark, root)
-        sc = stage(projection.sc(), "sc") if staged else None
-        school = projection.school(sc)
+        school = _school(projection, reads)
         return output(operator(school, batch(school, projection)))
 
     return run
@@ -48,8 +53,8 @@ def _requested_names(school: School) -> DataFrame:
 
 
 def _widgets(school: School) -> DataFrame:
-    """The courses a search for widgets finds."""
-    return op.course_search(school, course_name="WIDGET").select("course_id").distinct()
+    """The courses with widgets in their name."""
+    return fuzzy(school.course, "name", "WIDGET").select("course_id")
 
 
 READS: dict[str, Query] = {
@@ -58,7 +63,7 @@ READS: dict[str, Query] = {
     "user_info": _once(op.user_info),
     "grades_all": _once(op.grades_all),
     "grades_by_semester": _once(lambda s: op.grades_by_semester(s, "1998春")),
-    "grades_by_course": _staged(lambda s: op.grades_by_course(s, _widgets(s))),
+    "grades_by_course": _once(lambda s: op.grades_by_course(s, _widgets(s))),
     "grades_by_username": _once(op.grades_by_username),
     "teacher_grades": _once(op.teacher_grades),
     "teacher_grades_semester": _once(lambda s: op.teacher_grades(s, semester="1999秋")),
@@ -91,46 +96,55 @@ READS: dict[str, Query] = {
 }
 
 
-def _table(name: str) -> Callable[[Outcome], DataFrame]:
-    return lambda outcome: getattr(outcome.school, name)
-
-
-def _rejects(outcome: Outcome) -> DataFrame:
-    return outcome.rejects
-
-
-def _removed(outcome: Outcome) -> DataFrame:
-    return outcome.removed
-
-
-# operator, batch, first table it changes, further tables, whether sc is involved
+# operator, batch, and its outputs: the main table first, with what each one reads
 _CHANGES = [
-    (op.add_users, batches.new_users, ["users", "student", "teacher"], False),
-    (op.delete_users, batches.leaving_users, ["users", "student", "teacher", "tc", "sc"], True),
-    (op.upsert_courses, batches.course_edits, ["course"], False),
-    (op.delete_courses, batches.leaving_courses, ["course", "tc", "sc"], True),
-    (op.add_sections, batches.new_sections, ["tc"], True),
-    (op.delete_sections, batches.leaving_sections, ["tc", "sc"], True),
-    (op.enrol, batches.new_enrolments, ["sc"], True),
-    (op.drop, batches.drops, ["sc"], True),
-    (op.upsert_grades, batches.grade_entries, ["sc"], True),
-    (op.delete_grades, batches.grade_removals, ["sc"], True),
-    (op.update_student_profiles, batches.student_edits, ["student"], False),
-    (op.update_teacher_profiles, batches.teacher_edits, ["teacher"], False),
+    (op.add_users, batches.new_users, {"users": ONCE, "student": ONCE, "teacher": ONCE, "rejects": ONCE}),
+    (
+        op.delete_users,
+        batches.leaving_users,
+        {
+            "users": ONCE,
+            "student": ONCE,
+            "teacher": ONCE,
+            "tc": ONCE,
+            "sc": ONCE,
+            "rejects": ONCE,
+            "removed": STAGED,
+        },
+    ),
+    (op.upsert_courses, batches.course_edits, {"course": ONCE, "rejects": ONCE}),
+    (
+        op.delete_courses,
+        batches.leaving_courses,
+        {"course": ONCE, "tc": ONCE, "sc": ONCE, "rejects": ONCE, "removed": STAGED},
+    ),
+    (op.add_sections, batches.new_sections, {"tc": SECTIONS_TOO, "rejects": SECTIONS_TOO}),
+    (
+        op.delete_sections,
+        batches.leaving_sections,
+        {"tc": SECTIONS_TOO, "sc": SECTIONS_TOO, "rejects": SECTIONS_TOO, "removed": SECTIONS_TOO},
+    ),
+    (op.enrol, batches.new_enrolments, {"sc": STAGED, "rejects": STAGED}),
+    (op.drop, batches.drops, {"sc": STAGED, "rejects": STAGED}),
+    (op.upsert_grades, batches.grade_entries, {"sc": STAGED, "rejects": STAGED}),
+    (op.delete_grades, batches.grade_removals, {"sc": STAGED, "rejects": STAGED}),
+    (op.update_student_profiles, batches.student_edits, {"student": ONCE, "rejects": ONCE}),
+    (op.update_teacher_profiles, batches.teacher_edits, {"teacher": ONCE, "rejects": ONCE}),
 ]
-_WITH_REMOVED = {"delete_users", "delete_courses", "delete_sections"}
+
+
+def _output(name: str) -> Callable[[Outcome], DataFrame]:
+    if name in ("rejects", "removed"):
+        return lambda outcome: getattr(outcome, name)
+    return lambda outcome: getattr(outcome.school, name)
 
 
 def _change_queries() -> dict[str, Query]:
     found: dict[str, Query] = {}
-    for operator, batch, tables, staged in _CHANGES:
-        name = operator.__name__
-        for position, table in enumerate(tables):
-            key = name if position == 0 else f"{name}_{table}"
-            found[key] = _change(operator, batch, _table(table), staged)
-        found[f"{name}_rejects"] = _change(operator, batch, _rejects, staged)
-        if name in _WITH_REMOVED:
-            found[f"{name}_removed"] = _change(operator, batch, _removed, staged)
+    for operator, batch, outputs in _CHANGES:
+        for position, (name, reads) in enumerate(outputs.items()):
+            key = operator.__name__ if position == 0 else f"{operator.__name__}_{name}"
+            found[key] = _change(operator, batch, _output(name), reads)
     return found
 
 

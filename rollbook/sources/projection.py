@@ -93,23 +93,23 @@ class Projection:
             .union(accounts("nation", ADMIN_KEY, "admin"))
         )
 
-    def _assigned(self, rows: DataFrame, number: str, group: str) -> DataFrame:
+    def _assigned(self, rows: DataFrame, group: str) -> DataFrame:
         """Add the teacher of a student group in a course and semester.
 
         Computed from the keys, so that no window or join over the enrolments is
         needed. Suppliers in the red leave the last few teachers without work.
         """
         active = self.source("supplier").filter("s_acctbal >= 0").agg(F.count("*")).scalar()
-        rows = rows.withColumn("active", active)
-        return rows.withColumn(
-            "teacher_id", F.expr(f"(course_id * 31 + {number} * 7 + {group} * 3) % active * 2 + 1")
+        return rows.withColumn("active", active).withColumn(
+            "teacher_id", F.expr(f"(course_id * 31 + term * 7 + {group} * 3) % active * 2 + 1")
         )
 
     def sc(self) -> DataFrame:
+        """Enrolments, aggregated over whole numbers; the semester is spelled out last."""
         orders = self.source("orders").selectExpr(
             "o_orderkey AS l_orderkey",
             "CASE WHEN o_custkey % 50 = 49 THEN o_custkey - 49 ELSE o_custkey END * 2 + 2 AS student_id",
-            "concat(year(o_orderdate), CASE WHEN month(o_orderdate) <= 6 THEN '春' ELSE '秋' END) AS semester",
+            "year(o_orderdate) * 2 + int(month(o_orderdate) > 6) AS term",
         )
         lines = self.source("lineitem").selectExpr(
             "l_orderkey",
@@ -119,17 +119,21 @@ class Projection:
         )
         taken = (
             lines.join(orders, "l_orderkey")
-            .groupBy("student_id", "course_id", "semester")
+            .groupBy("student_id", "course_id", "term")
             .agg(F.max("score").alias("score"))
         )
-        return self._assigned(taken, semester_no("semester"), "student_id % 4").select(
-            "student_id", "course_id", "semester", "teacher_id", "score"
+        return self._assigned(taken, "student_id % 4").selectExpr(
+            "student_id",
+            "course_id",
+            "concat(term div 2, CASE WHEN term % 2 = 0 THEN '春' ELSE '秋' END) AS semester",
+            "teacher_id",
+            "score",
         )
 
     def in_empty_semester(self, rows: DataFrame) -> DataFrame:
         """Move rows with a course to the semester in which nobody is enrolled yet."""
-        moved = rows.withColumn("semester", F.lit(EMPTY_SEMESTER))
-        return self._assigned(moved, semester_no("semester"), "0")
+        moved = rows.selectExpr("*", f"{semester_no(repr(EMPTY_SEMESTER))} AS term")
+        return self._assigned(moved, "0").withColumn("semester", F.lit(EMPTY_SEMESTER))
 
     def tc(self, sc: DataFrame) -> DataFrame:
         section = ["teacher_id", "course_id", "semester"]
