@@ -3,12 +3,13 @@
 Every operator takes a DataFrame of changes and returns an :class:`Outcome`: the
 new snapshot, the rejected changes with a reason and, for deletions, the rows
 removed. Nothing is modified in place; a caller writes the new tables beside the
-old ones. All of it is lazy: an output that is not used is not computed.
+old ones. Outputs are lazy: one that is not used is not computed.
 
-``change_seq`` orders the changes to one key and may not be NULL. A change delivered twice with the
-same content counts as one. Of several valid changes to a key the first wins
-where rows are added or removed, the last where they are updated; the others are
-``superseded``. Changes are judged against the old snapshot.
+``change_seq`` orders the changes to one key and may not be NULL. A change
+delivered twice with the same content counts as one. Of several valid changes to a
+key the first wins where rows are added or removed, the last where they are
+updated; the others are ``superseded``. Changes are judged against the old
+snapshot.
 
 How hot keys are kept apart, whatever share of the batch they hold:
 
@@ -17,6 +18,13 @@ How hot keys are kept apart, whatever share of the batch they hold:
   spreads the changes to one key over all partitions;
 * lookups left join many changes (left) with one row per key (right), the form in
   which adaptive execution splits a skewed left side.
+
+How a small batch stays cheap on a large table: changes that name an account are
+staged once the account is looked up, so the plans that follow know their size.
+What is joined to a table then is broadcast if it is small, and the table is
+neither sorted nor shuffled. Lookups in the other direction first narrow the table
+by a semi join with the batch, if the batch is known to be under the session's
+broadcast threshold.
 """
 
 from __future__ import annotations
@@ -33,6 +41,7 @@ from rollbook.functions.filters import blank_to_null, same_text, to_int
 from rollbook.operators.sections import SECTION_KEY
 from rollbook.rules import DEFAULT_RULES, GradeRules
 from rollbook.school import School
+from rollbook.sources.tables import broadcastable, stage
 
 ENROLMENT_KEY = ["student_id", "course_id", "semester"]
 GRADED_KEY = [*ENROLMENT_KEY, "teacher_id"]
@@ -86,9 +95,22 @@ def _winners(changes: DataFrame, key: Sequence[str], keep: str) -> DataFrame:
     )
 
 
+def _narrowed(table: DataFrame, changes: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The rows the changes can meet, if the batch is small; else the table itself."""
+    if not broadcastable(changes):
+        return table
+    return table.join(changes.select(*on), list(on), "left_semi")
+
+
+def _unmatched(changes: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Changes whose key is not in the table."""
+    return _without(changes, _narrowed(table.select(*on), changes, on), on)
+
+
 def _marked(changes: DataFrame, table: DataFrame, on: Sequence[str], flag: str) -> DataFrame:
     """Add ``flag``: TRUE where the key is in the table, else NULL. ``on`` is a key of it."""
-    return changes.join(table.select(*on, F.lit(True).alias(flag)), list(on), "left")
+    found = _narrowed(table.select(*on), changes, on).withColumn(flag, F.lit(True))
+    return changes.join(found, list(on), "left")
 
 
 def _rejects(
@@ -132,16 +154,20 @@ def _without(rows: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
     return rows.join(table.select(*on), list(on), "left_anti").select(*rows.columns)
 
 
-def _with_account(
+def _resolved(
     changes: DataFrame, school: School, username: str, role: str, id_column: str
 ) -> DataFrame:
-    """Add the id behind an account name; NULL if no such account has the role."""
+    """Changes with the id behind an account name; NULL if none has the role."""
     accounts = school.users.filter(same_text("role", role)).select(
         F.lower("username").alias("_account"), F.col("user_id").alias(id_column)
     )
-    return changes.join(
-        accounts, F.lower(changes[username]) == accounts["_account"], "left"
-    ).drop("_account")
+    named = changes.join(accounts, F.lower(changes[username]) == accounts["_account"], "left")
+    return named.drop("_account")
+
+
+def _with_account(changes: DataFrame, *lookup) -> DataFrame:
+    """The same, staged."""
+    return stage(_resolved(changes, *lookup), "changes")
 
 
 def _clean(changes: DataFrame, texts: Sequence[str] = (), ints: Sequence[str] = ()) -> DataFrame:
@@ -211,7 +237,7 @@ def add_users(school: School, changes: DataFrame, rules: GradeRules = DEFAULT_RU
         (_bad_date("birth_date"), INVALID_VALUE),
     )
     names = school.users.select(F.lower("username").alias("_account"))
-    valid = _without(_without(sound, school.users, ["user_id"]), names, ["_account"])
+    valid = _unmatched(_unmatched(sound, school.users, ["user_id"]), names, ["_account"])
     accepted = _winners(_winners(valid, ["user_id"], "first"), ["_account"], "first")
 
     users = accepted.select(
@@ -412,7 +438,7 @@ def add_sections(school: School, changes: DataFrame) -> Outcome:
     )
     chosen = _winners(sound, SECTION_KEY, "first")
     news = _present(chosen, school.teacher, ["teacher_id"])
-    news = _without(_present(news, school.course, ["course_id"]), school.tc, SECTION_KEY)
+    news = _unmatched(_present(news, school.course, ["course_id"]), school.tc, SECTION_KEY)
     marked = _marked(sound, school.teacher, ["teacher_id"], "_teacher_known")
     marked = _marked(marked, school.course, ["course_id"], "_course_known")
     marked = _marked(marked, school.tc, SECTION_KEY, "_taken")
@@ -449,7 +475,7 @@ def _delete(
     owner = getattr(school, tables[0])
     sound, faulty = _judge(changes, (_any_null(key), NO_SUCH_ROW))
     chosen = _winners(sound, key, "first")
-    gone = _present(owner.select(*key), chosen, key)
+    gone = _present(chosen.select(*key), _narrowed(owner, chosen, key), key)
     left, taken = {}, []
     for name in tables:
         table = getattr(school, name)
@@ -487,7 +513,7 @@ def enrol(school: School, changes: DataFrame) -> Outcome:
     )
     chosen = _winners(_present(sound, school.tc, SECTION_KEY), ENROLMENT_KEY, "first")
     added = (
-        _without(chosen, school.sc, ENROLMENT_KEY)
+        _unmatched(chosen, school.sc, ENROLMENT_KEY)
         .withColumn("score", F.lit(None).cast(school.sc.schema["score"].dataType))
         .select(*school.sc.columns)
     )

@@ -38,6 +38,10 @@ def _staged(operator: Callable[[School], DataFrame]) -> Query:
     return lambda spark, root: operator(_school(Projection(spark, root), STAGED))
 
 
+def _with_sections(operator: Callable[[School], DataFrame]) -> Query:
+    return lambda spark, root: operator(_school(Projection(spark, root), SECTIONS_TOO))
+
+
 def _change(operator, batch, output: Callable[[Outcome], DataFrame], reads: str) -> Query:
     def run(spark: SparkSession, root: str) -> DataFrame:
         projection = Projection(spark, root)
@@ -74,13 +78,13 @@ READS: dict[str, Query] = {
     "credit_summary": _once(op.credit_summary),
     "credit_report": _once(op.credit_report),
     "student_overview": _staged(op.student_overview),
-    "course_search": _staged(op.course_search),
+    "course_search": _with_sections(op.course_search),
     "course_search_filtered": _once(
         lambda s: op.course_search(
             s, course_name="RED", teacher_name="supplier#", min_credits=3, max_credits=8
         )
     ),
-    "course_detail": _staged(op.course_detail),
+    "course_detail": _with_sections(op.course_detail),
     "system_statistics": _staged(op.system_statistics),
     "course_statistics": _staged(op.course_statistics),
     "course_statistics_semester": _staged(lambda s: op.course_statistics(s, semester="2000春")),
@@ -124,7 +128,7 @@ _CHANGES = [
         batches.leaving_sections,
         {"tc": SECTIONS_TOO, "sc": SECTIONS_TOO, "rejects": SECTIONS_TOO, "removed": SECTIONS_TOO},
     ),
-    (op.enrol, batches.new_enrolments, {"sc": STAGED, "rejects": STAGED}),
+    (op.enrol, batches.new_enrolments, {"sc": SECTIONS_TOO, "rejects": SECTIONS_TOO}),
     (op.drop, batches.drops, {"sc": STAGED, "rejects": STAGED}),
     (op.upsert_grades, batches.grade_entries, {"sc": STAGED, "rejects": STAGED}),
     (op.delete_grades, batches.grade_removals, {"sc": STAGED, "rejects": STAGED}),

@@ -91,3 +91,10 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/rollbook/{uuid.uuid4().hex}/{name}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def broadcastable(frame: DataFrame) -> bool:
+    """Whether the frame is known to be under the session's broadcast threshold."""
+    limit = frame.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit

@@ -14,11 +14,21 @@ from conftest import make_school
 
 from rollbook import operators as op
 from rollbook.school import TABLES
+from rollbook.sources import stage
 
 SPRING, AUTUMN, LATER = "2024春", "2024秋", "2025春"
 SEEDS = [1, 2]
 
 
+@pytest.fixture(params=["small batch", "large batch"], autouse=True)
+def batch_size(request, spark):
+    """Both ways of looking things up: with and without a batch known to be small."""
+    if request.param == "large batch":
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def plain(df) -> list[dict]:
     return [r.asDict() for r in df.collect()]
 
@@ -34,7 +44,8 @@ def same(found: list[dict], expected: list[dict]) -> None:
 
 def frame(spark, schema: str, changes: list[dict]):
     names = [part.split()[0] for part in schema.split(", ")]
-    return spark.createDataFrame([tuple(c[n] for n in names) for c in changes], schema)
+    local = spark.createDataFrame([tuple(c[n] for n in names) for c in changes], schema)
+    return stage(local, "batch")  # read from a file, so that its size is known
 
 
 def walk(changes, reason, key, last=False):
