@@ -95,22 +95,25 @@ def _winners(changes: DataFrame, key: Sequence[str], keep: str) -> DataFrame:
     )
 
 
-def _narrowed(table: DataFrame, changes: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The rows the changes can meet, if the batch is small; else the table itself."""
-    if not broadcastable(changes):
-        return table
-    return table.join(changes.select(*on), list(on), "left_semi")
+def _narrowed(table: DataFrame, batch: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The keys in the table the batch can meet, if the batch is small; else all of them."""
+    keys = table.select(*on)
+    return _matched(keys, batch, on) if broadcastable(batch) else keys
 
 
-def _unmatched(changes: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Changes whose key is not in the table."""
-    return _without(changes, _narrowed(table.select(*on), changes, on), on)
+def _matched(rows: DataFrame, others: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows whose key occurs among the others."""
+    return rows.join(others.select(*on), list(on), "left_semi")
 
 
-def _marked(changes: DataFrame, table: DataFrame, on: Sequence[str], flag: str) -> DataFrame:
-    """Add ``flag``: TRUE where the key is in the table, else NULL. ``on`` is a key of it."""
-    found = _narrowed(table.select(*on), changes, on).withColumn(flag, F.lit(True))
-    return changes.join(found, list(on), "left")
+def _unmatched(rows: DataFrame, others: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows whose key does not, columns in their order."""
+    return rows.join(others.select(*on), list(on), "left_anti").select(*rows.columns)
+
+
+def _marked(rows: DataFrame, keys: DataFrame, on: Sequence[str], flag: str) -> DataFrame:
+    """Add ``flag``: TRUE where the key is among the unique keys, else NULL."""
+    return rows.join(keys.select(*on, F.lit(True).alias(flag)), list(on), "left")
 
 
 def _rejects(
@@ -144,16 +147,6 @@ def _absent(flag: str) -> Column:
     return F.col(flag).isNull()
 
 
-def _present(rows: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows whose key is in the table."""
-    return rows.join(table.select(*on), list(on), "left_semi")
-
-
-def _without(rows: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows whose key is not in the table, columns in their order."""
-    return rows.join(table.select(*on), list(on), "left_anti").select(*rows.columns)
-
-
 def _resolved(
     changes: DataFrame, school: School, username: str, role: str, id_column: str
 ) -> DataFrame:
@@ -237,7 +230,9 @@ def add_users(school: School, changes: DataFrame, rules: GradeRules = DEFAULT_RU
         (_bad_date("birth_date"), INVALID_VALUE),
     )
     names = school.users.select(F.lower("username").alias("_account"))
-    valid = _unmatched(_unmatched(sound, school.users, ["user_id"]), names, ["_account"])
+    ids = _narrowed(school.users, sound, ["user_id"])
+    names = _narrowed(names, sound, ["_account"])
+    valid = _unmatched(_unmatched(sound, ids, ["user_id"]), names, ["_account"])
     accepted = _winners(_winners(valid, ["user_id"], "first"), ["_account"], "first")
 
     users = accepted.select(
@@ -255,7 +250,7 @@ def add_users(school: School, changes: DataFrame, rules: GradeRules = DEFAULT_RU
         F.col("_new_department").alias("department"),
         F.col("_new_introduction").alias("introduction"),
     )
-    marked = _marked(sound, school.users, ["user_id"], "_id_taken")
+    marked = _marked(sound, ids, ["user_id"], "_id_taken")
     marked = _marked(marked, names, ["_account"], "_name_taken")
     taken = ~(_absent("_id_taken") & _absent("_name_taken"))
     return Outcome(
@@ -278,7 +273,8 @@ def delete_users(school: School, changes: DataFrame) -> Outcome:
     sound, faulty = _judge(batch, (F.col("_account").isNull(), UNKNOWN_USER))
     accounts = school.users.withColumn("_account", F.lower("username"))
     chosen = _winners(sound, ["_account"], "first")
-    gone = _present(accounts, chosen, ["_account"]).select("user_id", "username")
+    gone = _matched(accounts, chosen, ["_account"]).select("user_id", "username")
+    gone = stage(gone, "gone")
     students = gone.select(F.col("user_id").alias("student_id"))
     teachers = gone.select(F.col("user_id").alias("teacher_id"))
     sc = _marked(school.sc, students, ["student_id"], "_student_gone")
@@ -287,26 +283,26 @@ def delete_users(school: School, changes: DataFrame) -> Outcome:
         school,
         [
             _removed("users", gone),
-            _removed("student", _present(school.student, students, ["student_id"])),
-            _removed("teacher", _present(school.teacher, teachers, ["teacher_id"])),
-            _removed("tc", _present(school.tc, teachers, ["teacher_id"])),
+            _removed("student", _matched(school.student, students, ["student_id"])),
+            _removed("teacher", _matched(school.teacher, teachers, ["teacher_id"])),
+            _removed("tc", _matched(school.tc, teachers, ["teacher_id"])),
             _removed("sc", sc.filter(~(_absent("_student_gone") & _absent("_teacher_gone")))),
         ],
     )
     return Outcome(
         school.with_tables(
-            users=_without(school.users, gone, ["user_id"]),
-            student=_without(school.student, students, ["student_id"]),
-            teacher=_without(school.teacher, teachers, ["teacher_id"]),
-            tc=_without(school.tc, teachers, ["teacher_id"]),
-            sc=_without(
-                _without(school.sc, students, ["student_id"]), teachers, ["teacher_id"]
+            users=_unmatched(school.users, gone, ["user_id"]),
+            student=_unmatched(school.student, students, ["student_id"]),
+            teacher=_unmatched(school.teacher, teachers, ["teacher_id"]),
+            tc=_unmatched(school.tc, teachers, ["teacher_id"]),
+            sc=_unmatched(
+                _unmatched(school.sc, students, ["student_id"]), teachers, ["teacher_id"]
             ),
         ),
         _rejects(
             changes.columns,
             faulty,
-            _marked(sound, accounts, ["_account"], "_known"),
+            _marked(sound, _narrowed(accounts, sound, ["_account"]), ["_account"], "_known"),
             ["_account"],
             chosen,
             (_absent("_known"), UNKNOWN_USER),
@@ -339,7 +335,7 @@ def _update_profiles(
     rejects = _rejects(
         columns,
         faulty,
-        _marked(sound, table, [id_column], "_known"),
+        _marked(sound, _narrowed(table, sound, [id_column]), [id_column], "_known"),
         [id_column],
         won,
         (_absent("_known"), NO_SUCH_ROW),
@@ -411,7 +407,7 @@ def upsert_courses(
     )
     return Outcome(
         school.with_tables(
-            course=_without(school.course, news, ["course_id"]).unionByName(news)
+            course=_unmatched(school.course, news, ["course_id"]).unionByName(news)
         ),
         _rejects(changes.columns, faulty, sound, ["course_id"], won),
     )
@@ -437,11 +433,14 @@ def add_sections(school: School, changes: DataFrame) -> Outcome:
         (_any_null(["teacher_id", "course_id"]), NO_SUCH_ROW),
     )
     chosen = _winners(sound, SECTION_KEY, "first")
-    news = _present(chosen, school.teacher, ["teacher_id"])
-    news = _unmatched(_present(news, school.course, ["course_id"]), school.tc, SECTION_KEY)
-    marked = _marked(sound, school.teacher, ["teacher_id"], "_teacher_known")
-    marked = _marked(marked, school.course, ["course_id"], "_course_known")
-    marked = _marked(marked, school.tc, SECTION_KEY, "_taken")
+    teachers = _narrowed(school.teacher, sound, ["teacher_id"])
+    courses = _narrowed(school.course, sound, ["course_id"])
+    sections = _narrowed(school.tc, sound, SECTION_KEY)
+    news = _matched(_matched(chosen, teachers, ["teacher_id"]), courses, ["course_id"])
+    news = _unmatched(news, sections, SECTION_KEY)
+    marked = _marked(sound, teachers, ["teacher_id"], "_teacher_known")
+    marked = _marked(marked, courses, ["course_id"], "_course_known")
+    marked = _marked(marked, sections, SECTION_KEY, "_taken")
     return Outcome(
         school.with_tables(tc=school.tc.unionByName(news.select(*school.tc.columns))),
         _rejects(
@@ -475,18 +474,19 @@ def _delete(
     owner = getattr(school, tables[0])
     sound, faulty = _judge(changes, (_any_null(key), NO_SUCH_ROW))
     chosen = _winners(sound, key, "first")
-    gone = _present(chosen.select(*key), _narrowed(owner, chosen, key), key)
+    known = _narrowed(owner, sound, key)
+    gone = stage(_matched(chosen.select(*key), known, key), "gone")
     left, taken = {}, []
     for name in tables:
         table = getattr(school, name)
-        left[name] = _without(table, gone, key)
-        taken.append(_removed(name, _present(table, gone, key)))
+        left[name] = _unmatched(table, gone, key)
+        taken.append(_removed(name, _matched(table, gone, key)))
     return Outcome(
         school.with_tables(**left),
         _rejects(
             changes.columns,
             faulty,
-            _marked(sound, owner, key, "_known"),
+            _marked(sound, known, key, "_known"),
             key,
             chosen,
             (_absent("_known"), NO_SUCH_ROW),
@@ -511,14 +511,16 @@ def enrol(school: School, changes: DataFrame) -> Outcome:
         (F.col("student_id").isNull(), UNKNOWN_USER),
         (_any_null(SECTION_KEY), NO_SUCH_ROW),
     )
-    chosen = _winners(_present(sound, school.tc, SECTION_KEY), ENROLMENT_KEY, "first")
+    offered = _narrowed(school.tc, sound, SECTION_KEY)
+    taken = _narrowed(school.sc, sound, ENROLMENT_KEY)
+    chosen = _winners(_matched(sound, offered, SECTION_KEY), ENROLMENT_KEY, "first")
     added = (
-        _unmatched(chosen, school.sc, ENROLMENT_KEY)
+        _unmatched(chosen, taken, ENROLMENT_KEY)
         .withColumn("score", F.lit(None).cast(school.sc.schema["score"].dataType))
         .select(*school.sc.columns)
     )
-    marked = _marked(sound, school.tc, SECTION_KEY, "_offered")
-    marked = _marked(marked, school.sc, ENROLMENT_KEY, "_taken")
+    marked = _marked(sound, offered, SECTION_KEY, "_offered")
+    marked = _marked(marked, taken, ENROLMENT_KEY, "_taken")
     return Outcome(
         school.with_tables(sc=school.sc.unionByName(added)),
         _rejects(
@@ -546,11 +548,11 @@ def drop(school: School, changes: DataFrame) -> Outcome:
     )
     chosen = _winners(sound, ENROLMENT_KEY, "first")
     return Outcome(
-        school.with_tables(sc=_without(school.sc, chosen, ENROLMENT_KEY)),
+        school.with_tables(sc=_unmatched(school.sc, chosen, ENROLMENT_KEY)),
         _rejects(
             changes.columns,
             faulty,
-            _marked(sound, school.sc, ENROLMENT_KEY, "_known"),
+            _marked(sound, _narrowed(school.sc, sound, ENROLMENT_KEY), ENROLMENT_KEY, "_known"),
             ENROLMENT_KEY,
             chosen,
             (_absent("_known"), NO_SUCH_ROW),
@@ -583,7 +585,7 @@ def _set_scores(
         _rejects(
             columns,
             faulty,
-            _marked(sound, school.sc, GRADED_KEY, "_known"),
+            _marked(sound, _narrowed(school.sc, sound, GRADED_KEY), GRADED_KEY, "_known"),
             GRADED_KEY,
             chosen,
             (_absent("_known"), NO_SUCH_ROW),

@@ -143,8 +143,12 @@ def above_scan(text: str, table: str) -> list[str]:
 
 
 @pytest.mark.parametrize("name", ["sc", "rejects"])
-def test_a_small_batch_does_not_shuffle_the_enrolments(spark, stored, name):
-    """The enrolments meet a broadcast join before anything else."""
+def test_a_small_batch_does_not_shuffle_the_enrolments(spark, stored, conf, name):
+    """The enrolments meet a broadcast join before anything else.
+
+    The threshold is near the size of a batch: estimates of joins lie far above it.
+    """
+    conf(autoBroadcastJoinThreshold="12KB")
     account = "change_seq BIGINT, {0}_username STRING, student_id BIGINT, teacher_id BIGINT"
     rest = ", course_id BIGINT, semester STRING, score INT"
     teachers, students = (
