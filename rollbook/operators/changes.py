@@ -19,12 +19,12 @@ How hot keys are kept apart, whatever share of the batch they hold:
 * lookups left join many changes (left) with one row per key (right), the form in
   which adaptive execution splits a skewed left side.
 
-How a small batch stays cheap on a large table: changes that name an account are
-staged once the account is looked up, so the plans that follow know their size.
-What is joined to a table then is broadcast if it is small, and the table is
-neither sorted nor shuffled. Lookups in the other direction first narrow the table
-by a semi join with the batch, if the batch is known to be under the session's
-broadcast threshold.
+How a small batch stays cheap on a large table: the batch is staged once it is
+cleaned and its account names are looked up, so it is computed once and the plans
+that follow know its size. What is joined to a table then is broadcast if it is
+small, and the table is neither sorted nor shuffled. Lookups in the other direction
+first narrow the table by a semi join with the batch, if the batch is known to be
+under the session's broadcast threshold.
 """
 
 from __future__ import annotations
@@ -222,6 +222,7 @@ def add_users(school: School, changes: DataFrame, rules: GradeRules = DEFAULT_RU
     batch = batch.withColumns(
         {"_new_role": F.lower("_new_role"), "_account": F.lower("_new_username")}
     )
+    batch = stage(batch, "changes")
     sound, faulty = _judge(
         batch,
         (_any_null(["user_id", "_account"]), INVALID_VALUE),
@@ -269,7 +270,7 @@ def delete_users(school: School, changes: DataFrame) -> Outcome:
     changes: change_seq, username. A student takes the own enrolments along, a
     teacher the own sections and the enrolments in them.
     """
-    batch = changes.withColumn("_account", F.lower("username"))
+    batch = stage(changes.withColumn("_account", F.lower("username")), "changes")
     sound, faulty = _judge(batch, (F.col("_account").isNull(), UNKNOWN_USER))
     accounts = school.users.withColumn("_account", F.lower("username"))
     chosen = _winners(sound, ["_account"], "first")
@@ -394,7 +395,7 @@ def upsert_courses(
 
     changes: change_seq, course_id, name, description, credits (number or text).
     """
-    batch = _clean(changes, ["name", "description"], ["credits"])
+    batch = stage(_clean(changes, ["name", "description"], ["credits"]), "changes")
     in_range = F.col("_new_credits").between(rules.min_credits, rules.max_credits)
     sound, faulty = _judge(
         batch,
@@ -428,7 +429,7 @@ def add_sections(school: School, changes: DataFrame) -> Outcome:
     changes shrink to one per key before they meet the tables.
     """
     sound, faulty = _judge(
-        changes,
+        stage(changes, "changes"),
         (F.nullif(F.col("semester"), F.lit("")).isNull(), INVALID_VALUE),
         (_any_null(["teacher_id", "course_id"]), NO_SUCH_ROW),
     )
@@ -472,7 +473,7 @@ def _delete(
     snapshot, and the result drives every other table.
     """
     owner = getattr(school, tables[0])
-    sound, faulty = _judge(changes, (_any_null(key), NO_SUCH_ROW))
+    sound, faulty = _judge(stage(changes, "changes"), (_any_null(key), NO_SUCH_ROW))
     chosen = _winners(sound, key, "first")
     known = _narrowed(owner, sound, key)
     gone = stage(_matched(chosen.select(*key), known, key), "gone")
@@ -618,6 +619,6 @@ def delete_grades(school: School, changes: DataFrame) -> Outcome:
 
     changes: change_seq, teacher_id, student_id, course_id, semester.
     """
-    sound, faulty = _judge(changes, (_any_null(GRADED_KEY), NO_SUCH_ROW))
+    sound, faulty = _judge(stage(changes, "changes"), (_any_null(GRADED_KEY), NO_SUCH_ROW))
     empty = F.lit(None).cast(school.sc.schema["score"].dataType)
     return _set_scores(school, changes.columns, sound, faulty, "first", empty)
