@@ -1,3 +1,148 @@
-"""SQL twins of the queries that SQL can express, for an independent engine."""
+"""SQL twins of the queries that SQL can express, for an independent engine.
 
-ORACLE: dict[str, str] = {}
+Written from what each query returns; chunks, stretches of time and cells, by which the
+operators spread their work, have no part here.
+"""
+
+from rollbook.llm.linkgraph import ROUNDS
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _rest(url: str) -> str:
+    return f"CASE WHEN strpos(COALESCE({url}, ''), '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END"
+
+
+def _host(rest: str) -> str:
+    return f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')"
+
+
+def _fits(host: str, path: str) -> str:
+    return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
+
+
+# longest first
+_RULES = [
+    ("www.example.com", "/en/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+    ("com", "/", "allow"),
+]
+_RULE = " ".join(f"WHEN {_fits(h, p)} THEN '{h}{p}'" for h, p, _ in _RULES)
+_RULED = " ".join(f"WHEN {_fits(h, p)} THEN '{v}'" for h, p, v in _RULES)
+
+
+def _ranked(name: str, source: str, target: str, seeds: str) -> str:
+    """CTEs: a round each of a personalised PageRank; the last is ``name``."""
+    parts = [
+        f"{name}_0 AS (SELECT host, 0.15 * seed / SUM(seed) OVER () AS rank FROM ({seeds}))",
+        f"""{name}_share AS (SELECT {source} AS host, {target} AS target,
+  links / SUM(links) OVER (PARTITION BY {source}) AS share FROM edges)""",
+    ]
+    for n in range(1, ROUNDS + 1):
+        parts.append(
+            f"""{name}_{n} AS (SELECT host, SUM(rank) AS rank FROM (
+  SELECT host, rank FROM {name}_0
+  UNION ALL SELECT s.target, 0.85 * r.rank * s.share FROM {name}_{n - 1} r JOIN {name}_share s ON s.host = r.host)
+  GROUP BY host)"""
+        )
+    return ",\n".join([*parts, f"{name} AS (SELECT * FROM {name}_{ROUNDS})"])
+
+
+_LINK_GRAPH = f"""WITH placed AS (
+  SELECT page_id, html, {_host("rest")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, html, {_rest("url")} AS rest FROM pages)),
+judged AS (SELECT *, CASE {_RULE} END AS rule, CASE {_RULED} END AS ruled FROM placed),
+found AS (
+  SELECT host, unnest(regexp_extract_all(html,
+    '(?i)<a\\s[^>]*?href\\s*=\\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\\s>]*)', 1)) AS link FROM placed),
+linked AS (
+  SELECT host AS source, {_host("rest")} AS target
+  FROM (SELECT host, substr(link, strpos(link, '//') + 2) AS rest FROM found)),
+edges AS (
+  SELECT source, target, CAST(COUNT(*) AS DOUBLE) AS links FROM linked
+  WHERE source <> target AND source <> '' AND target <> '' GROUP BY source, target),
+hosts AS (
+  SELECT host, COUNT(*) AS pages, COUNT(*) FILTER (ruled = 'allow') AS allowed,
+    COUNT(*) FILTER (ruled = 'block') AS blocked FROM judged WHERE host <> '' GROUP BY host),
+{_ranked("trust", "source", "target", "SELECT host, allowed AS seed FROM hosts WHERE allowed > 0 AND blocked = 0")},
+{_ranked("distrust", "target", "source", "SELECT host, blocked AS seed FROM hosts WHERE blocked = pages")}
+SELECT j.page_id, j.host, j.path, j.rule,
+  COALESCE(j.ruled, CASE WHEN d.rank > COALESCE(t.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN trust t ON t.host = j.host LEFT JOIN distrust d ON d.host = j.host"""
+
+_SCHEDULE = """WITH sized AS (
+  SELECT row_number() OVER () AS row, doc_id, source,
+    COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
+totals AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS n,
+    CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight,
+    CAST(source_size AS DOUBLE) * 3 AS cap, SUM(CAST(source_size AS DOUBLE)) OVER () AS whole FROM totals),
+levels AS (
+  SELECT *, (whole - COALESCE(SUM(cap) OVER early, 0.0))
+    / (SUM(weight) OVER () - COALESCE(SUM(weight) OVER early, 0.0)) AS level FROM weighed
+  WINDOW early AS (ORDER BY cap / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+shared AS (SELECT *, LEAST(cap, MAX(level) OVER () * weight) AS target FROM levels),
+edges AS (
+  SELECT *, CASE WHEN n = MAX(n) OVER () THEN 2147483648
+    ELSE CAST(FLOOR(SUM(target) OVER (ORDER BY n) / SUM(target) OVER () * 2147483648) AS BIGINT) END AS high
+  FROM shared),
+plan AS (SELECT *, COALESCE(LAG(high) OVER (ORDER BY n), 0) AS low FROM edges),
+points AS (
+  SELECT (i % 2147483648) * 1327217885 % 2147483648 AS point
+  FROM range((SELECT CAST((SUM(size) + 127) // 128 AS BIGINT) FROM sized)) r(i)),
+owned AS (
+  SELECT n, COUNT(*) AS slots FROM points JOIN plan ON point >= low AND point < high GROUP BY n),
+known AS (
+  SELECT s.row, s.doc_id, s.size, p.n, p.source_size, p.target, COALESCE(o.slots, 0) * 128 AS reach
+  FROM sized s JOIN plan p ON p.source IS NOT DISTINCT FROM s.source LEFT JOIN owned o ON o.n = p.n),
+drawn AS (
+  SELECT *, CONCAT(CAST(round AS STRING), ':', COALESCE(CAST(doc_id AS STRING), 'null')) AS draw
+  FROM known, (VALUES (0), (1), (2)) r(round)),
+placed AS (
+  SELECT *, round * source_size + COALESCE(SUM(size) OVER (
+    PARTITION BY n, round
+    ORDER BY CAST('0x' || substr(md5(draw), 1, 8) AS BIGINT) & 2147483647, draw, size, row
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM drawn)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(SUM(GREATEST(0, LEAST(start + size, reach) - start)) AS BIGINT) AS taken
+FROM placed GROUP BY row, doc_id, size, source_size, target"""
+
+_REVISITS = """WITH parts AS (
+  SELECT *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^#]*)', 1) AS rest FROM pages WHERE page_id IS NOT NULL),
+keyed AS (
+  SELECT *, list_sort([p for p in string_split(regexp_extract(rest, '\\?(.*)$', 1), '&')
+    if p <> '' AND NOT regexp_matches(p, '^(?:utm_[^=&]*|ref|fbclid|gclid)(?:=|$)')]) AS query FROM parts),
+visits AS (
+  SELECT page_id, html, page_id * 977 % 8640000 AS ts,
+    CASE WHEN strpos(url, '://') > 0 THEN CONCAT(
+      regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\\.', ''), ':(80|443)$', ''),
+      regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', ''),
+      CASE WHEN len(query) > 0 THEN CONCAT('?', array_to_string(query, '&')) ELSE '' END) END AS url_key,
+    CONCAT('"', substr(md5(html), 1, 12), '"') AS etag, page_id // 100 AS day FROM keyed),
+revisits AS (
+  SELECT page_id, url_key, page_id * 2 + 1 AS capture_id, day,
+    CASE WHEN page_id % 7 = 3 THEN ts - 500 ELSE ts + 86400 * (page_id % 4) END AS ts,
+    CASE WHEN page_id % 5 = 2 THEN '"other"' WHEN page_id % 3 = 0 THEN NULL ELSE etag END AS told FROM visits),
+latest AS (
+  SELECT r.capture_id, arg_max(f.page_id, (f.ts, f.page_id)) AS page_id
+  FROM revisits r JOIN visits f ON f.url_key = r.url_key AND f.ts <= r.ts GROUP BY r.capture_id),
+met AS (
+  SELECT r.capture_id, r.url_key, r.ts, f.page_id * 2 AS response_id, f.html, f.etag,
+    CASE WHEN f.page_id IS NULL THEN 'no_response'
+      WHEN r.told IS NOT NULL AND r.told IS DISTINCT FROM f.etag THEN 'mismatch'
+      WHEN r.told IS NULL AND r.day <> f.day THEN 'mismatch' ELSE 'resolved' END AS status
+  FROM revisits r LEFT JOIN latest l ON l.capture_id = r.capture_id LEFT JOIN visits f ON f.page_id = l.page_id)
+SELECT capture_id, url_key, ts AS "at", response_id, status,
+  CASE WHEN status = 'resolved' THEN md5(html) END AS body_md5,
+  CASE WHEN status = 'resolved' THEN CONCAT('cache-control=max-age=60;content-length=', length(html),
+    ';content-type=text/html;date=', ts, ';etag=', etag) END AS headers
+FROM met"""
+
+ORACLE: dict[str, str] = {
+    "op5_revisit_resolution": _REVISITS,
+    "op7_link_graph": _LINK_GRAPH,
+    "op10_source_schedule": _SCHEDULE,
+}
