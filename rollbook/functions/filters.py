@@ -1,9 +1,9 @@
 """Optional filters and input cleaning.
 
-A filter value of ``None`` always means "no restriction"; zero and other falsy
-values are real bounds. The equality filters also take a one-column DataFrame
-and then keep the rows whose value occurs in it, which answers one call per
-listed value in a single distributed pass.
+A filter value of ``None`` or of empty text means "no restriction"; zero, also as
+text, is a real bound, and so is a blank that is not empty. The equality filters also
+take a one-column DataFrame and then keep the rows whose value occurs in it, which
+answers one call per listed value in a single distributed pass.
 """
 
 from __future__ import annotations
@@ -17,9 +17,19 @@ from pyspark.sql import types as T
 UNGRADED_LABEL = "未录入"
 
 
+def given(value: Any) -> bool:
+    """Whether a filter restricts: ``None`` and empty text do not."""
+    return value is not None and not (isinstance(value, str) and value == "")
+
+
+def number(value: Any) -> Any:
+    """A bound given as text, as a whole number; raises if it is none."""
+    return int(value) if isinstance(value, str) else value
+
+
 def opt_eq(df: DataFrame, column: str, value: Any) -> DataFrame:
     """Keep rows whose ``column`` equals ``value``."""
-    if value is None:
+    if not given(value):
         return df
     if isinstance(value, DataFrame):
         wanted = value.select(F.col(value.columns[0]).alias(column))
@@ -29,7 +39,7 @@ def opt_eq(df: DataFrame, column: str, value: Any) -> DataFrame:
 
 def opt_eq_text(df: DataFrame, column: str, value: Any) -> DataFrame:
     """Like :func:`opt_eq`, ignoring case."""
-    if value is None:
+    if not given(value):
         return df
     if isinstance(value, DataFrame):
         wanted = value.select(F.lower(value.columns[0]).alias("_wanted"))
@@ -47,17 +57,20 @@ def fuzzy(df: DataFrame, column: str, text: str | None) -> DataFrame:
 
     ``%`` and ``_`` in ``text`` stand for themselves.
     """
-    if text is None:
+    if not given(text):
         return df
     return df.filter(F.lower(column).contains(F.lower(F.lit(text))))
 
 
 def opt_between(df: DataFrame, column: str, low: Any = None, high: Any = None) -> DataFrame:
-    """Keep rows with ``low <= column <= high``; either end may be open."""
-    if low is not None:
-        df = df.filter(F.col(column) >= F.lit(low))
-    if high is not None:
-        df = df.filter(F.col(column) <= F.lit(high))
+    """Keep rows with ``low <= column <= high``; either end may be open.
+
+    Bounds may be text: the form they come from sends text.
+    """
+    if given(low):
+        df = df.filter(F.col(column) >= F.lit(number(low)))
+    if given(high):
+        df = df.filter(F.col(column) <= F.lit(number(high)))
     return df
 
 
@@ -67,8 +80,17 @@ def blank_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def to_int(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Read text as INT; what is no number becomes NULL."""
-    return df.withColumns({c: F.col(c).try_cast(T.IntegerType()) for c in columns})
+    """Read whole numbers as INT; other text and numbers become NULL."""
+
+    def whole(column: str) -> Column:
+        value, kind = F.col(column), df.schema[column].dataType
+        if isinstance(kind, T.StringType):
+            value = F.when(value.rlike(r"^-?\d+$"), value)
+        elif isinstance(kind, T.FractionalType):
+            value = F.when(value == F.floor(value), value)
+        return value.try_cast(T.IntegerType())
+
+    return df.withColumns({c: whole(c) for c in columns})
 
 
 def with_null_label(df: DataFrame, label: str = UNGRADED_LABEL) -> DataFrame:

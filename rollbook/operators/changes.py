@@ -3,13 +3,14 @@
 Every operator takes a DataFrame of changes and returns an :class:`Outcome`: the
 new snapshot, the rejected changes with a reason and, for deletions, the rows
 removed. Nothing is modified in place; a caller writes the new tables beside the
-old ones. Outputs are lazy: one that is not used is not computed.
+old ones. An operator stages its batch at once; its outputs are planned, and what
+only they need is staged, when they are first asked for.
 
 ``change_seq`` orders the changes to one key and may not be NULL. A change
-delivered twice with the same content counts as one. Of several valid changes to a
-key the first wins where rows are added or removed, the last where they are
-updated; the others are ``superseded``. Changes are judged against the old
-snapshot.
+delivered twice with the same content is one change, accepted once or refused once.
+Of several valid changes to a key the first wins where rows are added or removed,
+the last where they are updated; the others are ``superseded``. Changes are judged
+against the old snapshot.
 
 How hot keys are kept apart, whatever share of the batch they hold:
 
@@ -21,17 +22,16 @@ How hot keys are kept apart, whatever share of the batch they hold:
 
 How a small batch stays cheap on a large table: the batch is staged once it is
 cleaned and its account names are looked up, so it is computed once and the plans
-that follow know its size. What is joined to a table then is broadcast if it is
-small, and the table is neither sorted nor shuffled. Lookups in the other direction
-first narrow the table by a semi join with the batch, if the batch is known to be
-under the session's broadcast threshold.
+that follow know its size: staged files are plain, so that they are as large as the
+rows. What is joined to a table then is broadcast if it is small, and the table is
+neither sorted nor shuffled. Lookups in the other direction first narrow the table to
+the keys of the batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Callable, Sequence
+from functools import cache, cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +41,7 @@ from rollbook.functions.filters import blank_to_null, same_text, to_int
 from rollbook.operators.sections import SECTION_KEY
 from rollbook.rules import DEFAULT_RULES, GradeRules
 from rollbook.school import School
-from rollbook.sources.tables import broadcastable, stage
+from rollbook.sources.staging import stage
 
 ENROLMENT_KEY = ["student_id", "course_id", "semester"]
 GRADED_KEY = [*ENROLMENT_KEY, "teacher_id"]
@@ -53,14 +53,38 @@ DUPLICATE = "duplicate"
 SUPERSEDED = "superseded"
 
 
-@dataclass(frozen=True)
 class Outcome:
     """``school``: the new snapshot; ``rejects``: refused changes with ``reason``;
-    ``removed``: keys of the rows a deletion took away."""
+    ``removed``: keys of the rows a deletion took away; ``semesters``: a frame of the
+    semesters in which rows of sc or tc may differ, or None if any may.
 
-    school: School
-    rejects: DataFrame
-    removed: DataFrame | None = None
+    Each is made when it is first asked for."""
+
+    def __init__(
+        self,
+        school: Callable[[], School],
+        rejects: Callable[[], DataFrame],
+        removed: Callable[[], DataFrame] | None = None,
+        semesters: Callable[[], DataFrame] | None = None,
+    ):
+        self._school, self._rejects = school, rejects
+        self._removed, self._semesters = removed, semesters
+
+    @cached_property
+    def school(self) -> School:
+        return self._school()
+
+    @cached_property
+    def rejects(self) -> DataFrame:
+        return self._rejects()
+
+    @cached_property
+    def removed(self) -> DataFrame | None:
+        return None if self._removed is None else self._removed()
+
+    @cached_property
+    def semesters(self) -> DataFrame | None:
+        return None if self._semesters is None else self._semesters()
 
 
 # ---------------------------------------------------------------- building blocks
@@ -87,6 +111,8 @@ def _winners(changes: DataFrame, key: Sequence[str], keep: str) -> DataFrame:
     """The first or last change per key."""
     extreme = {"first": F.min, "last": F.max}[keep]
     rest = [c for c in changes.columns if c not in key and c != "change_seq"]
+    if not rest:
+        return changes.groupBy(*key).agg(extreme("change_seq").alias("change_seq"))
     return (
         changes.groupBy(*key)
         .agg(extreme(F.struct("change_seq", *rest)).alias("won"))
@@ -95,10 +121,18 @@ def _winners(changes: DataFrame, key: Sequence[str], keep: str) -> DataFrame:
     )
 
 
+def _batch(changes: DataFrame) -> DataFrame:
+    """The distinct changes, staged."""
+    return stage(changes.distinct(), "changes", plain=True)
+
+
 def _narrowed(table: DataFrame, batch: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The keys in the table the batch can meet, if the batch is small; else all of them."""
-    keys = table.select(*on)
-    return _matched(keys, batch, on) if broadcastable(batch) else keys
+    """The keys in the table that the batch can meet, staged: no more than the batch has.
+
+    A join with it is then one of two tables, which adaptive execution can split.
+    """
+    asked = batch.select(*on).distinct()
+    return stage(_matched(table.select(*on), asked, on), "met", plain=True)
 
 
 def _matched(rows: DataFrame, others: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -131,8 +165,10 @@ def _rejects(
     superseded.
     """
     rest = [c for c in winners.columns if c not in key and c != "change_seq"]
-    won = winners.select(*key, "change_seq", F.struct("change_seq", *rest).alias("_won"))
-    is_winner = F.struct("change_seq", *rest).eqNullSafe(F.col("_won"))
+    # of two changes alike in key and change_seq the rest tells which one won
+    content = F.struct(*rest) if rest else F.lit(True)
+    won = winners.select(*key, "change_seq", content.alias("_won"))
+    is_winner = content.eqNullSafe(F.col("_won"))
     reason = F.coalesce(
         *(F.when(condition, F.lit(text)) for condition, text in checks),
         F.when(~is_winner, F.lit(SUPERSEDED)),
@@ -159,8 +195,8 @@ def _resolved(
 
 
 def _with_account(changes: DataFrame, *lookup) -> DataFrame:
-    """The same, staged."""
-    return stage(_resolved(changes, *lookup), "changes")
+    """The same, distinct and staged."""
+    return _batch(_resolved(changes, *lookup))
 
 
 def _clean(changes: DataFrame, texts: Sequence[str] = (), ints: Sequence[str] = ()) -> DataFrame:
@@ -171,11 +207,10 @@ def _clean(changes: DataFrame, texts: Sequence[str] = (), ints: Sequence[str] =
 
 
 def _with_date(changes: DataFrame, column: str) -> DataFrame:
-    """Add ``_new_*`` with the text read as a date; originals stay."""
-    return changes.withColumn(
-        f"_new_{column}",
-        F.nullif(F.col(column).cast("string"), F.lit("")).try_cast(T.DateType()),
-    )
+    """Add ``_new_*`` with text of the form year-month-day read as a date; originals stay."""
+    text = F.col(column).cast("string")
+    whole = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text)
+    return changes.withColumn(f"_new_{column}", whole.try_cast(T.DateType()))
 
 
 def _bad_date(column: str) -> Column:
@@ -190,6 +225,11 @@ def _removed(table: str, rows: DataFrame) -> DataFrame:
     return rows.select(F.lit(table).alias("table_name"), *keys)
 
 
+def _semesters(rows: DataFrame) -> DataFrame:
+    """The semesters named, which a change to sc or tc stays within."""
+    return rows.select("semester").distinct()
+
+
 def _long_form(school: School, parts: Sequence[DataFrame]) -> DataFrame:
     """Union of :func:`_removed` frames, absent keys NULL."""
     frame = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -222,46 +262,57 @@ def add_users(school: School, changes: DataFrame, rules: GradeRules = DEFAULT_RU
     batch = batch.withColumns(
         {"_new_role": F.lower("_new_role"), "_account": F.lower("_new_username")}
     )
-    batch = stage(batch, "changes")
     sound, faulty = _judge(
-        batch,
+        _batch(batch),
         (_any_null(["user_id", "_account"]), INVALID_VALUE),
         (~_one_of("_new_role", rules.roles), INVALID_VALUE),
         (F.col("_new_gender").isNotNull() & ~_one_of("_new_gender", rules.genders), INVALID_VALUE),
         (_bad_date("birth_date"), INVALID_VALUE),
     )
     names = school.users.select(F.lower("username").alias("_account"))
-    ids = _narrowed(school.users, sound, ["user_id"])
-    names = _narrowed(names, sound, ["_account"])
-    valid = _unmatched(_unmatched(sound, ids, ["user_id"]), names, ["_account"])
-    accepted = _winners(_winners(valid, ["user_id"], "first"), ["_account"], "first")
 
-    users = accepted.select(
-        "user_id", F.col("_new_username").alias("username"), F.col("_new_role").alias("role")
-    )
-    student = accepted.filter(F.col("_new_role") == "student").select(
-        F.col("user_id").alias("student_id"),
-        F.col("_new_name").alias("name"),
-        F.col("_new_gender").alias("gender"),
-        F.col("_new_birth_date").alias("birth_date"),
-    )
-    teacher = accepted.filter(F.col("_new_role") == "teacher").select(
-        F.col("user_id").alias("teacher_id"),
-        F.col("_new_name").alias("name"),
-        F.col("_new_department").alias("department"),
-        F.col("_new_introduction").alias("introduction"),
-    )
-    marked = _marked(sound, ids, ["user_id"], "_id_taken")
-    marked = _marked(marked, names, ["_account"], "_name_taken")
-    taken = ~(_absent("_id_taken") & _absent("_name_taken"))
-    return Outcome(
-        school.with_tables(
+    @cache
+    def used() -> tuple[DataFrame, DataFrame]:
+        return _narrowed(school.users, sound, ["user_id"]), _narrowed(names, sound, ["_account"])
+
+    def accepted() -> DataFrame:
+        ids, accounts = used()
+        valid = _unmatched(_unmatched(sound, ids, ["user_id"]), accounts, ["_account"])
+        return _winners(_winners(valid, ["user_id"], "first"), ["_account"], "first")
+
+    def grown() -> School:
+        news = accepted()
+        users = news.select(
+            "user_id", F.col("_new_username").alias("username"), F.col("_new_role").alias("role")
+        )
+        student = news.filter(F.col("_new_role") == "student").select(
+            F.col("user_id").alias("student_id"),
+            F.col("_new_name").alias("name"),
+            F.col("_new_gender").alias("gender"),
+            F.col("_new_birth_date").alias("birth_date"),
+        )
+        teacher = news.filter(F.col("_new_role") == "teacher").select(
+            F.col("user_id").alias("teacher_id"),
+            F.col("_new_name").alias("name"),
+            F.col("_new_department").alias("department"),
+            F.col("_new_introduction").alias("introduction"),
+        )
+        return school.with_tables(
             users=school.users.unionByName(users),
             student=school.student.unionByName(student),
             teacher=school.teacher.unionByName(teacher),
-        ),
-        _rejects(changes.columns, faulty, marked, ["_account"], accepted, (taken, DUPLICATE)),
-    )
+        )
+
+    def rejects() -> DataFrame:
+        ids, accounts = used()
+        marked = _marked(sound, ids, ["user_id"], "_id_taken")
+        marked = _marked(marked, accounts, ["_account"], "_name_taken")
+        taken = ~(_absent("_id_taken") & _absent("_name_taken"))
+        return _rejects(
+            changes.columns, faulty, marked, ["_account"], accepted(), (taken, DUPLICATE)
+        )
+
+    return Outcome(grown, rejects)
 
 
 def delete_users(school: School, changes: DataFrame) -> Outcome:
@@ -270,37 +321,49 @@ def delete_users(school: School, changes: DataFrame) -> Outcome:
     changes: change_seq, username. A student takes the own enrolments along, a
     teacher the own sections and the enrolments in them.
     """
-    batch = stage(changes.withColumn("_account", F.lower("username")), "changes")
+    batch = _batch(changes.withColumn("_account", F.lower("username")))
     sound, faulty = _judge(batch, (F.col("_account").isNull(), UNKNOWN_USER))
     accounts = school.users.withColumn("_account", F.lower("username"))
     chosen = _winners(sound, ["_account"], "first")
-    gone = _matched(accounts, chosen, ["_account"]).select("user_id", "username")
-    gone = stage(gone, "gone")
-    students = gone.select(F.col("user_id").alias("student_id"))
-    teachers = gone.select(F.col("user_id").alias("teacher_id"))
-    sc = _marked(school.sc, students, ["student_id"], "_student_gone")
-    sc = _marked(sc, teachers, ["teacher_id"], "_teacher_gone")
-    removed = _long_form(
-        school,
-        [
-            _removed("users", gone),
-            _removed("student", _matched(school.student, students, ["student_id"])),
-            _removed("teacher", _matched(school.teacher, teachers, ["teacher_id"])),
-            _removed("tc", _matched(school.tc, teachers, ["teacher_id"])),
-            _removed("sc", sc.filter(~(_absent("_student_gone") & _absent("_teacher_gone")))),
-        ],
-    )
-    return Outcome(
-        school.with_tables(
-            users=_unmatched(school.users, gone, ["user_id"]),
+
+    @cache
+    def gone() -> DataFrame:
+        found = _matched(accounts, chosen, ["_account"]).select("user_id", "username")
+        return stage(found, "gone", plain=True)
+
+    def going(column: str) -> DataFrame:
+        return gone().select(F.col("user_id").alias(column))
+
+    def left() -> School:
+        students, teachers = going("student_id"), going("teacher_id")
+        return school.with_tables(
+            users=_unmatched(school.users, gone(), ["user_id"]),
             student=_unmatched(school.student, students, ["student_id"]),
             teacher=_unmatched(school.teacher, teachers, ["teacher_id"]),
             tc=_unmatched(school.tc, teachers, ["teacher_id"]),
             sc=_unmatched(
                 _unmatched(school.sc, students, ["student_id"]), teachers, ["teacher_id"]
             ),
-        ),
-        _rejects(
+        )
+
+    def removed() -> DataFrame:
+        students, teachers = going("student_id"), going("teacher_id")
+        sc = _marked(school.sc, students, ["student_id"], "_student_gone")
+        sc = _marked(sc, teachers, ["teacher_id"], "_teacher_gone")
+        return _long_form(
+            school,
+            [
+                _removed("users", gone()),
+                _removed("student", _matched(school.student, students, ["student_id"])),
+                _removed("teacher", _matched(school.teacher, teachers, ["teacher_id"])),
+                _removed("tc", _matched(school.tc, teachers, ["teacher_id"])),
+                _removed("sc", sc.filter(~(_absent("_student_gone") & _absent("_teacher_gone")))),
+            ],
+        )
+
+    return Outcome(
+        left,
+        lambda: _rejects(
             changes.columns,
             faulty,
             _marked(sound, _narrowed(accounts, sound, ["_account"]), ["_account"], "_known"),
@@ -319,29 +382,25 @@ def _update_profiles(
     id_column: str,
     fields: Sequence[str],
     invalid: Column,
-) -> tuple[DataFrame, DataFrame]:
-    """New table and rejects of a profile update; every field is overwritten."""
+) -> tuple[Callable[[], DataFrame], Callable[[], DataFrame]]:
+    """What makes the new table and the rejects; every field is overwritten."""
     sound, faulty = _judge(
         batch, (invalid, INVALID_VALUE), (F.col(id_column).isNull(), UNKNOWN_USER)
     )
     won = _winners(sound, [id_column], "last")
     news = won.select(id_column, F.lit(True).alias("_hit"), *(f"_new_{f}" for f in fields))
-    updated = (
-        table.join(news, id_column, "left")
-        .withColumns(
-            {f: F.when(F.col("_hit"), F.col(f"_new_{f}")).otherwise(F.col(f)) for f in fields}
-        )
-        .select(*table.columns)
-    )
-    rejects = _rejects(
-        columns,
-        faulty,
-        _marked(sound, _narrowed(table, sound, [id_column]), [id_column], "_known"),
-        [id_column],
-        won,
-        (_absent("_known"), NO_SUCH_ROW),
+    values = {f: F.when(F.col("_hit"), F.col(f"_new_{f}")).otherwise(F.col(f)) for f in fields}
+    return (
+        lambda: table.join(news, id_column, "left").withColumns(values).select(*table.columns),
+        lambda: _rejects(
+            columns,
+            faulty,
+            _marked(sound, _narrowed(table, sound, [id_column]), [id_column], "_known"),
+            [id_column],
+            won,
+            (_absent("_known"), NO_SUCH_ROW),
+        ),
     )
-    return updated, rejects
 
 
 def update_student_profiles(
@@ -363,7 +422,7 @@ def update_student_profiles(
         ["gender", "birth_date"],
         bad_gender | _bad_date("birth_date"),
     )
-    return Outcome(school.with_tables(student=student), rejects)
+    return Outcome(lambda: school.with_tables(student=student()), rejects)
 
 
 def update_teacher_profiles(school: School, changes: DataFrame) -> Outcome:
@@ -382,7 +441,7 @@ def update_teacher_profiles(school: School, changes: DataFrame) -> Outcome:
         ["department", "introduction"],
         F.col("_new_department").isNull(),
     )
-    return Outcome(school.with_tables(teacher=teacher), rejects)
+    return Outcome(lambda: school.with_tables(teacher=teacher()), rejects)
 
 
 # ---------------------------------------------------------------- courses
@@ -395,7 +454,7 @@ def upsert_courses(
 
     changes: change_seq, course_id, name, description, credits (number or text).
     """
-    batch = stage(_clean(changes, ["name", "description"], ["credits"]), "changes")
+    batch = _batch(_clean(changes, ["name", "description"], ["credits"]))
     in_range = F.col("_new_credits").between(rules.min_credits, rules.max_credits)
     sound, faulty = _judge(
         batch,
@@ -407,10 +466,10 @@ def upsert_courses(
         "course_id", *(F.col(f"_new_{c}").alias(c) for c in ("name", "description", "credits"))
     )
     return Outcome(
-        school.with_tables(
+        lambda: school.with_tables(
             course=_unmatched(school.course, news, ["course_id"]).unionByName(news)
         ),
-        _rejects(changes.columns, faulty, sound, ["course_id"], won),
+        lambda: _rejects(changes.columns, faulty, sound, ["course_id"], won),
     )
 
 
@@ -429,30 +488,44 @@ def add_sections(school: School, changes: DataFrame) -> Outcome:
     changes shrink to one per key before they meet the tables.
     """
     sound, faulty = _judge(
-        stage(changes, "changes"),
+        _batch(changes),
         (F.nullif(F.col("semester"), F.lit("")).isNull(), INVALID_VALUE),
         (_any_null(["teacher_id", "course_id"]), NO_SUCH_ROW),
     )
-    chosen = _winners(sound, SECTION_KEY, "first")
-    teachers = _narrowed(school.teacher, sound, ["teacher_id"])
-    courses = _narrowed(school.course, sound, ["course_id"])
-    sections = _narrowed(school.tc, sound, SECTION_KEY)
-    news = _matched(_matched(chosen, teachers, ["teacher_id"]), courses, ["course_id"])
-    news = _unmatched(news, sections, SECTION_KEY)
-    marked = _marked(sound, teachers, ["teacher_id"], "_teacher_known")
-    marked = _marked(marked, courses, ["course_id"], "_course_known")
-    marked = _marked(marked, sections, SECTION_KEY, "_taken")
+    chosen = _winners(sound.select("change_seq", *SECTION_KEY), SECTION_KEY, "first")
+
+    @cache
+    def known() -> tuple[DataFrame, DataFrame, DataFrame]:
+        return (
+            _narrowed(school.teacher, sound, ["teacher_id"]),
+            _narrowed(school.course, sound, ["course_id"]),
+            _narrowed(school.tc, sound, SECTION_KEY),
+        )
+
+    def grown() -> School:
+        teachers, courses, sections = known()
+        news = _matched(_matched(chosen, teachers, ["teacher_id"]), courses, ["course_id"])
+        news = _unmatched(news, sections, SECTION_KEY).select(*school.tc.columns)
+        return school.with_tables(tc=school.tc.unionByName(news))
+
+    def marked() -> DataFrame:
+        teachers, courses, sections = known()
+        rows = _marked(sound, teachers, ["teacher_id"], "_teacher_known")
+        rows = _marked(rows, courses, ["course_id"], "_course_known")
+        return _marked(rows, sections, SECTION_KEY, "_taken")
+
     return Outcome(
-        school.with_tables(tc=school.tc.unionByName(news.select(*school.tc.columns))),
-        _rejects(
+        grown,
+        lambda: _rejects(
             changes.columns,
             faulty,
-            marked,
+            marked(),
             SECTION_KEY,
             chosen,
             (_absent("_teacher_known") | _absent("_course_known"), NO_SUCH_ROW),
             (~_absent("_taken"), DUPLICATE),
         ),
+        semesters=lambda: _semesters(chosen),
     )
 
 
@@ -473,26 +546,38 @@ def _delete(
     snapshot, and the result drives every other table.
     """
     owner = getattr(school, tables[0])
-    sound, faulty = _judge(stage(changes, "changes"), (_any_null(key), NO_SUCH_ROW))
-    chosen = _winners(sound, key, "first")
-    known = _narrowed(owner, sound, key)
-    gone = stage(_matched(chosen.select(*key), known, key), "gone")
-    left, taken = {}, []
-    for name in tables:
-        table = getattr(school, name)
-        left[name] = _unmatched(table, gone, key)
-        taken.append(_removed(name, _matched(table, gone, key)))
+    sound, faulty = _judge(_batch(changes), (_any_null(key), NO_SUCH_ROW))
+    chosen = _winners(sound.select("change_seq", *key), key, "first")
+
+    @cache
+    def known() -> DataFrame:
+        return _narrowed(owner, sound, key)
+
+    @cache
+    def gone() -> DataFrame:
+        return stage(_matched(chosen.select(*key), known(), key), "gone", plain=True)
+
+    def left() -> School:
+        return school.with_tables(
+            **{name: _unmatched(getattr(school, name), gone(), key) for name in tables}
+        )
+
+    def taken() -> DataFrame:
+        parts = [_removed(name, _matched(getattr(school, name), gone(), key)) for name in tables]
+        return _long_form(school, parts)
+
     return Outcome(
-        school.with_tables(**left),
-        _rejects(
+        left,
+        lambda: _rejects(
             changes.columns,
             faulty,
-            _marked(sound, known, key, "_known"),
+            _marked(sound, known(), key, "_known"),
             key,
             chosen,
             (_absent("_known"), NO_SUCH_ROW),
         ),
-        _long_form(school, taken),
+        taken,
+        (lambda: _semesters(gone())) if "semester" in key else None,
     )
 
 
@@ -512,27 +597,42 @@ def enrol(school: School, changes: DataFrame) -> Outcome:
         (F.col("student_id").isNull(), UNKNOWN_USER),
         (_any_null(SECTION_KEY), NO_SUCH_ROW),
     )
-    offered = _narrowed(school.tc, sound, SECTION_KEY)
-    taken = _narrowed(school.sc, sound, ENROLMENT_KEY)
-    chosen = _winners(_matched(sound, offered, SECTION_KEY), ENROLMENT_KEY, "first")
-    added = (
-        _unmatched(chosen, taken, ENROLMENT_KEY)
-        .withColumn("score", F.lit(None).cast(school.sc.schema["score"].dataType))
-        .select(*school.sc.columns)
-    )
-    marked = _marked(sound, offered, SECTION_KEY, "_offered")
-    marked = _marked(marked, taken, ENROLMENT_KEY, "_taken")
+
+    @cache
+    def offered() -> DataFrame:
+        return _narrowed(school.tc, sound, SECTION_KEY)
+
+    @cache
+    def taken() -> DataFrame:
+        return _narrowed(school.sc, sound, ENROLMENT_KEY)
+
+    def chosen() -> DataFrame:
+        return _winners(_matched(sound, offered(), SECTION_KEY), ENROLMENT_KEY, "first")
+
+    def grown() -> School:
+        added = (
+            _unmatched(chosen(), taken(), ENROLMENT_KEY)
+            .withColumn("score", F.lit(None).cast(school.sc.schema["score"].dataType))
+            .select(*school.sc.columns)
+        )
+        return school.with_tables(sc=school.sc.unionByName(added))
+
+    def marked() -> DataFrame:
+        rows = _marked(sound, offered(), SECTION_KEY, "_offered")
+        return _marked(rows, taken(), ENROLMENT_KEY, "_taken")
+
     return Outcome(
-        school.with_tables(sc=school.sc.unionByName(added)),
-        _rejects(
+        grown,
+        lambda: _rejects(
             changes.columns,
             faulty,
-            marked,
+            marked(),
             ENROLMENT_KEY,
-            chosen,
+            chosen(),
             (_absent("_offered"), NO_SUCH_ROW),
             (~_absent("_taken"), DUPLICATE),
         ),
+        semesters=lambda: _semesters(chosen()),
     )
 
 
@@ -549,8 +649,8 @@ def drop(school: School, changes: DataFrame) -> Outcome:
     )
     chosen = _winners(sound, ENROLMENT_KEY, "first")
     return Outcome(
-        school.with_tables(sc=_unmatched(school.sc, chosen, ENROLMENT_KEY)),
-        _rejects(
+        lambda: school.with_tables(sc=_unmatched(school.sc, chosen, ENROLMENT_KEY)),
+        lambda: _rejects(
             changes.columns,
             faulty,
             _marked(sound, _narrowed(school.sc, sound, ENROLMENT_KEY), ENROLMENT_KEY, "_known"),
@@ -558,6 +658,7 @@ def drop(school: School, changes: DataFrame) -> Outcome:
             chosen,
             (_absent("_known"), NO_SUCH_ROW),
         ),
+        semesters=lambda: _semesters(chosen),
     )
 
 
@@ -568,13 +669,14 @@ def _set_scores(
     faulty: DataFrame,
     keep: str,
     score: Column,
+    payload: Sequence[str] = (),
 ) -> Outcome:
     """Put ``score`` where a change names an enrolment together with its teacher.
 
     The changes shrink to one per enrolment and teacher before they meet sc, which
     is read and shuffled once.
     """
-    chosen = _winners(sound, GRADED_KEY, keep)
+    chosen = _winners(sound.select("change_seq", *GRADED_KEY, *payload), GRADED_KEY, keep)
     news = chosen.select(*GRADED_KEY, F.lit(True).alias("_hit"), score.alias("_score"))
     sc = (
         school.sc.join(news, GRADED_KEY, "left")
@@ -582,8 +684,8 @@ def _set_scores(
         .select(*school.sc.columns)
     )
     return Outcome(
-        school.with_tables(sc=sc),
-        _rejects(
+        lambda: school.with_tables(sc=sc),
+        lambda: _rejects(
             columns,
             faulty,
             _marked(sound, _narrowed(school.sc, sound, GRADED_KEY), GRADED_KEY, "_known"),
@@ -591,6 +693,7 @@ def _set_scores(
             chosen,
             (_absent("_known"), NO_SUCH_ROW),
         ),
+        semesters=lambda: _semesters(chosen),
     )
 
 
@@ -611,7 +714,10 @@ def upsert_grades(
         (F.col("teacher_id").isNull(), UNKNOWN_USER),
         (_any_null(ENROLMENT_KEY), NO_SUCH_ROW),
     )
-    return _set_scores(school, changes.columns, sound, faulty, "last", F.col("_new_score"))
+    payload = [c for c in batch.columns if c not in GRADED_KEY and c != "change_seq"]
+    return _set_scores(
+        school, changes.columns, sound, faulty, "last", F.col("_new_score"), payload
+    )
 
 
 def delete_grades(school: School, changes: DataFrame) -> Outcome:
@@ -619,6 +725,6 @@ def delete_grades(school: School, changes: DataFrame) -> Outcome:
 
     changes: change_seq, teacher_id, student_id, course_id, semester.
     """
-    sound, faulty = _judge(stage(changes, "changes"), (_any_null(GRADED_KEY), NO_SUCH_ROW))
+    sound, faulty = _judge(_batch(changes), (_any_null(GRADED_KEY), NO_SUCH_ROW))
     empty = F.lit(None).cast(school.sc.schema["score"].dataType)
     return _set_scores(school, changes.columns, sound, faulty, "first", empty)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions.filters import fuzzy, opt_between, opt_eq
+from rollbook.functions.filters import fuzzy, given, opt_between, opt_eq
 from rollbook.functions.marks import or_zero
 from rollbook.operators.sections import SECTION_KEY
 from rollbook.school import School
@@ -42,9 +42,9 @@ def course_search(
     course = opt_between(course, "credits", min_credits, max_credits)
     sections = opt_eq(school.tc, "semester", semester)
     teacher = school.teacher.select("teacher_id", F.col("name").alias("teacher_name"))
-    if teacher_name is None and semester is None:
+    if not given(teacher_name) and not given(semester):
         found = _with_sections(course, sections).join(teacher, "teacher_id", "left")
-    elif teacher_name is None:
+    elif not given(teacher_name):
         found = course.join(sections, "course_id").join(teacher, "teacher_id", "left")
     else:
         teacher = fuzzy(teacher, "teacher_name", teacher_name)

@@ -11,8 +11,9 @@ from rollbook import operators as op
 from rollbook.functions.filters import fuzzy, with_null_label, with_zero_defaults
 from rollbook.operators.changes import Outcome
 from rollbook.school import School
-from rollbook.sources import batches, stage
+from rollbook.sources import batches, read_school, stage, write_snapshot
 from rollbook.sources.projection import Projection
+from rollbook.sources.staging import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,9 +25,9 @@ def _school(projection: Projection, reads: str) -> School:
     """The school with the tables staged that the plan would derive several times."""
     if reads == ONCE:
         return projection.school()
-    school = projection.school(stage(projection.sc(), "sc"))
+    school = projection.school(stage(projection.sc(), "sc", plain=True))
     if reads == SECTIONS_TOO:
-        school = school.with_tables(tc=stage(school.tc, "tc"))
+        school = school.with_tables(tc=stage(school.tc, "tc", plain=True))
     return school
 
 
@@ -38,6 +39,17 @@ def _staged(operator: Callable[[School], DataFrame]) -> Query:
     return lambda spark, root: operator(_school(Projection(spark, root), STAGED))
 
 
+def _of_semester(semester: str, operator: Callable[[School], DataFrame]) -> Query:
+    """The school's enrolments of one semester are all that is derived, once."""
+
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        projection = Projection(spark, root)
+        kept = projection.sc().filter(F.col("semester") == semester)
+        return operator(projection.school(stage(kept, "sc", plain=True)))
+
+    return run
+
+
 def _with_sections(operator: Callable[[School], DataFrame]) -> Query:
     return lambda spark, root: operator(_school(Projection(spark, root), SECTIONS_TOO))
 
@@ -84,14 +96,22 @@ READS: dict[str, Query] = {
             s, course_name="RED", teacher_name="supplier#", min_credits=3, max_credits=8
         )
     ),
+    "course_search_blank": _once(
+        lambda s: op.course_search(
+            s, course_name="", teacher_name="", semester="", min_credits="0", max_credits="4"
+        )
+    ),
     "course_detail": _with_sections(op.course_detail),
     "system_statistics": _staged(op.system_statistics),
     "course_statistics": _staged(op.course_statistics),
-    "course_statistics_semester": _staged(lambda s: op.course_statistics(s, semester="2000春")),
+    "course_statistics_semester": _of_semester(
+        "2000春", lambda s: op.course_statistics(s, semester="2000春")
+    ),
     "semester_statistics": _staged(op.semester_statistics),
     "teacher_statistics": _staged(op.teacher_statistics),
-    "teacher_statistics_department": _staged(
-        lambda s: op.teacher_statistics(s, semester="1997秋", department="nation_3")
+    "teacher_statistics_department": _of_semester(
+        "1997秋",
+        lambda s: op.teacher_statistics(s, semester="1997秋", department="nation_3"),
     ),
     "student_statistics": _once(op.student_statistics),
     "student_statistics_semester": _once(lambda s: op.student_statistics(s, semester="1996春")),
@@ -152,4 +172,24 @@ def _change_queries() -> dict[str, Query]:
     return found
 
 
-QUERIES: dict[str, Query] = {**READS, **_change_queries()}
+def _through_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """Enrolments per semester in a snapshot of which only the changed semesters are new."""
+    projection, folder = Projection(spark, root), scratch_folder(spark)
+    write_snapshot(_school(projection, STAGED), f"{folder}/v1")
+    school = read_school(spark, f"{folder}/v1")
+    outcome = op.delete_sections(school, batches.leaving_sections(school, projection))
+    write_snapshot(
+        outcome.school, f"{folder}/v2", ("tc", "sc"), f"{folder}/v1", outcome.semesters
+    )
+    return read_school(spark, f"{folder}/v2").sc.groupBy("semester").agg(
+        F.count("*").alias("enrolments"),
+        F.count("score").alias("graded"),
+        F.sum("score").alias("score_sum"),
+    )
+
+
+QUERIES: dict[str, Query] = {
+    **READS,
+    **_change_queries(),
+    "snapshot_semesters": _through_snapshots,
+}

@@ -136,6 +136,10 @@ FROM course c LEFT JOIN tc ON tc.course_id = c.course_id LEFT JOIN teacher t ON
 SELECT c.course_id, c.name, c.description, c.credits, tc.semester, tc.teacher_id, t.name AS teacher_name
 FROM course c LEFT JOIN tc ON tc.course_id = c.course_id LEFT JOIN teacher t ON t.teacher_id = tc.teacher_id
 WHERE c.name ILIKE '%red%' AND t.name ILIKE '%supplier#%' AND c.credits BETWEEN 3 AND 8""",
+    "course_search_blank": """
+SELECT c.course_id, c.name, c.description, c.credits, tc.semester, tc.teacher_id, t.name AS teacher_name
+FROM course c LEFT JOIN tc ON tc.course_id = c.course_id LEFT JOIN teacher t ON t.teacher_id = tc.teacher_id
+WHERE c.credits <= 4""",
     "course_detail": """
 SELECT c.course_id, c.name, c.description, c.credits, tc.semester, tc.teacher_id, t.name AS teacher_name,
   t.department, COUNT(sc.student_id) AS enrolled
@@ -249,6 +253,9 @@ _CHANGES: dict[str, tuple[str, list[str]]] = {}
 
 
 def _register(name: str, ctes: list[str], rejects: str, **outputs: str) -> None:
+    # a change delivered twice is one change
+    delivered = ctes[0].replace("batch AS (", "delivered AS (", 1)
+    ctes = [delivered, "batch AS (SELECT DISTINCT * FROM delivered)", *ctes[1:]]
     for suffix, body in outputs.items():
         key = name if suffix == "main" else f"{name}_{suffix}"
         _CHANGES[key] = (body, ctes)
@@ -260,7 +267,8 @@ _CUSTOMER_CHANGE = """
   SELECT {seq} AS change_seq, {id} AS user_id, CONCAT('{name}', CAST(k AS STRING)) AS username,
     CASE WHEN c_mktsegment = 'BUILDING' THEN 'dean' ELSE 'Student' END AS role, c_name AS name,
     CASE WHEN k % 3 = 0 THEN '' ELSE '女' END AS gender,
-    CASE WHEN k % 5 = 0 THEN 'unknown' ELSE '2005-06-15' END AS birth_date,
+    CASE k % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN '2005-06' WHEN 2 THEN '2005-06-15 or so'
+      ELSE '2005-06-15' END AS birth_date,
     CAST(NULL AS STRING) AS department, CAST(NULL AS STRING) AS introduction
   FROM (SELECT *, c_custkey * 2 + 2 AS k FROM customer) c"""
 _register(
@@ -285,7 +293,7 @@ _register(
     WHEN user_id IS NULL OR NULLIF(username, '') IS NULL THEN 'invalid_value'
     WHEN COALESCE(LOWER(role), '') NOT IN ('student', 'teacher', 'admin') THEN 'invalid_value'
     WHEN NULLIF(gender, '') NOT IN ('男', '女') THEN 'invalid_value'
-    WHEN NULLIF(birth_date, '') IS NOT NULL AND TRY_CAST(birth_date AS DATE) IS NULL THEN 'invalid_value'
+    WHEN birth_date <> '' AND (TRY_CAST(birth_date AS DATE) IS NULL OR birth_date NOT LIKE '____-__-__') THEN 'invalid_value'
     WHEN EXISTS (SELECT 1 FROM users u WHERE u.user_id = r.user_id)
       OR EXISTS (SELECT 1 FROM users u WHERE LOWER(u.username) = LOWER(r.username)) THEN 'duplicate'
     END AS reason FROM batch r)""",
@@ -352,12 +360,13 @@ _register(
         """batch AS (
   SELECT course_id * 2 AS change_seq, course_id,
     CASE WHEN course_id % 7 = 0 THEN NULL WHEN course_id % 7 = 1 THEN '' ELSE CONCAT(name, ' II') END AS name, description,
-    CASE WHEN course_id % 9 = 0 THEN 'many' ELSE CAST((credits + 3) % 13 AS STRING) END AS credits FROM course
+    CASE course_id % 9 WHEN 0 THEN 'many' WHEN 1 THEN '3.5' WHEN 2 THEN '4 '
+      ELSE CAST((credits + 3) % 13 AS STRING) END AS credits FROM course
   UNION ALL SELECT course_id * 2 + 1, course_id, CONCAT(name, ' III'), '', CAST(credits * 2 AS STRING) FROM course
   UNION ALL SELECT course_id * 2, -1 - course_id, CONCAT('new ', name), description, CAST(credits AS STRING) FROM course)""",
         """checked AS (
   SELECT r.*, CASE WHEN NULLIF(name, '') IS NULL OR COALESCE(TRY_CAST(credits AS INT), 0) NOT BETWEEN 1 AND 10
-    THEN 'invalid_value' END AS reason FROM batch r)""",
+    OR NOT regexp_full_match(credits, '[0-9]+') THEN 'invalid_value' END AS reason FROM batch r)""",
         *_judged("course_id", _LAST),
     ],
     "change_seq, course_id, name, description, credits",
@@ -476,13 +485,15 @@ _register(
          WHEN student_id % 26 = 2 THEN CONCAT('student', CAST(student_id AS STRING))
          ELSE CONCAT('TEACHER', CAST(teacher_id AS STRING)) END AS teacher_username,
     student_id, course_id, semester,
-    CASE WHEN COALESCE(score, 41) % 17 = 0 THEN 'good' ELSE CAST((COALESCE(score, 41) * 7) % 121 AS STRING) END AS score
+    CASE COALESCE(score, 41) % 17 WHEN 0 THEN 'good' WHEN 1 THEN CONCAT(CAST(COALESCE(score, 41) AS STRING), '.9')
+      WHEN 2 THEN '100.7' ELSE CAST((COALESCE(score, 41) * 7) % 121 AS STRING) END AS score
   FROM sc
   UNION ALL SELECT 2, CONCAT('teacher', CAST(teacher_id AS STRING)), student_id, course_id, semester,
     CAST((COALESCE(score, 41) * 3) % 131 AS STRING) FROM sc)""",
         _resolved("batch", "teacher_username", "teacher", "teacher_id"),
         f"""checked AS (
-  SELECT r.*, CASE WHEN COALESCE(TRY_CAST(score AS INT), -1) NOT BETWEEN 0 AND 100 THEN 'invalid_value'
+  SELECT r.*, CASE WHEN COALESCE(TRY_CAST(score AS INT), -1) NOT BETWEEN 0 AND 100
+      OR NOT regexp_full_match(score, '[0-9]+') THEN 'invalid_value'
     WHEN teacher_id IS NULL THEN 'unknown_user'
     WHEN NOT {_exists("sc", _ENROLMENT + ", teacher_id")} THEN 'no_such_row' END AS reason FROM resolved r)""",
         *_judged(_ENROLMENT, _LAST),
@@ -519,11 +530,12 @@ _register(
          ELSE CONCAT('student', CAST(student_id AS STRING)) END AS student_username,
     CASE WHEN student_id % 3 = 0 THEN 'x' ELSE '女' END AS gender, '2001-02-03' AS birth_date FROM student
   UNION ALL SELECT 2, CONCAT('STUDENT', CAST(student_id AS STRING)), '',
-    CASE student_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'soon' ELSE '2002-03-04' END FROM student)""",
+    CASE student_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'soon' WHEN 2 THEN '2002'
+      WHEN 3 THEN '2002-03-04 junk' ELSE '2002-03-04' END FROM student)""",
         _resolved("batch", "student_username", "student", "student_id"),
         """checked AS (
   SELECT r.*, CASE WHEN NULLIF(gender, '') NOT IN ('男', '女') THEN 'invalid_value'
-    WHEN birth_date <> '' AND TRY_CAST(birth_date AS DATE) IS NULL THEN 'invalid_value'
+    WHEN birth_date <> '' AND (TRY_CAST(birth_date AS DATE) IS NULL OR birth_date NOT LIKE '____-__-__') THEN 'invalid_value'
     WHEN student_id IS NULL THEN 'unknown_user' END AS reason FROM resolved r)""",
         *_judged("student_id", _LAST),
     ],
@@ -556,6 +568,13 @@ UNION ALL SELECT t.teacher_id, t.name, w.department, NULLIF(w.introduction, '')
 FROM teacher t JOIN won w ON w.teacher_id = t.teacher_id""",
 )
 
+_BODY, _WITH = _CHANGES["delete_sections_sc"]
+_CHANGES["snapshot_semesters"] = (
+    f"""SELECT semester, COUNT(*) AS enrolments, COUNT(score) AS graded,
+  CAST(SUM(score) AS BIGINT) AS score_sum FROM ({_BODY}) kept GROUP BY semester""",
+    _WITH,
+)
+
 ORACLE: dict[str, str] = {
     **{name: _sql(body.strip(), *_CTES.get(name, [])) for name, body in _READS.items()},
     **{name: _sql(body.strip(), *ctes) for name, (body, ctes) in _CHANGES.items()},

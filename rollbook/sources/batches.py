@@ -26,7 +26,8 @@ def new_users(school: School, projection: Projection) -> DataFrame:
             "CASE WHEN c_mktsegment = 'BUILDING' THEN 'dean' ELSE 'Student' END AS role",
             "c_name AS name",
             "CASE WHEN k % 3 = 0 THEN '' ELSE '女' END AS gender",
-            "CASE WHEN k % 5 = 0 THEN 'unknown' ELSE '2005-06-15' END AS birth_date",
+            "CASE k % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN '2005-06' WHEN 2 THEN '2005-06-15 or so'"
+            " ELSE '2005-06-15' END AS birth_date",
             "string(NULL) AS department",
             "string(NULL) AS introduction",
         )
@@ -78,7 +79,8 @@ def course_edits(school: School, projection: Projection) -> DataFrame:
         "CASE WHEN course_id % 7 = 0 THEN NULL WHEN course_id % 7 = 1 THEN ''"
         " ELSE concat(name, ' II') END AS name",
         "description",
-        "CASE WHEN course_id % 9 = 0 THEN 'many' ELSE string((credits + 3) % 13) END AS credits",
+        "CASE course_id % 9 WHEN 0 THEN 'many' WHEN 1 THEN '3.5' WHEN 2 THEN '4 '"
+        " ELSE string((credits + 3) % 13) END AS credits",
     )
     second = school.course.selectExpr(
         "course_id * 2 + 1 AS change_seq",
@@ -166,7 +168,8 @@ def grade_entries(school: School, projection: Projection) -> DataFrame:
         " WHEN student_id % 26 = 2 THEN concat('student', student_id)"
         " ELSE concat('TEACHER', teacher_id) END AS teacher_username",
         *enrolment,
-        "CASE WHEN mark % 17 = 0 THEN 'good' ELSE string(mark * 7 % 121) END AS score",
+        "CASE mark % 17 WHEN 0 THEN 'good' WHEN 1 THEN concat(mark, '.9') WHEN 2 THEN '100.7'"
+        " ELSE string(mark * 7 % 121) END AS score",
     )
     second = marked.selectExpr(
         "2L AS change_seq",
@@ -201,7 +204,8 @@ def student_edits(school: School, projection: Projection) -> DataFrame:
         "2L AS change_seq",
         "concat('STUDENT', student_id) AS student_username",
         "'' AS gender",
-        "CASE student_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'soon' ELSE '2002-03-04' END AS birth_date",
+        "CASE student_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'soon' WHEN 2 THEN '2002'"
+        " WHEN 3 THEN '2002-03-04 junk' ELSE '2002-03-04' END AS birth_date",
     )
     return first.union(second)
 

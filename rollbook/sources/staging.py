@@ -29,6 +29,14 @@ def _database(spark: SparkSession) -> str:
     return "rollbook_" + spark.conf.get("spark.app.id").replace("-", "_").lower()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted with what the application has staged."""
+    database = _database(spark)
+    folder = f"{shared_folder(spark)}/{database}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{folder}'")
+    return f"{folder}/scratch/{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str, plain: bool = False) -> DataFrame:
     """The same rows, computed once and kept in the shared folder until released.
 

@@ -51,6 +51,8 @@ def frame(spark, schema: str, changes: list[dict]):
 def walk(changes, reason, key, last=False):
     """Winners by key, and rejects; ``reason`` gives None for a valid change."""
     winners, rejects = {}, []
+    # a change delivered twice is one change
+    changes = [c for n, c in enumerate(changes) if c not in changes[:n]]
     for change in changes:
         if reason(change) is None:
             old = winners.get(key(change))
@@ -62,6 +64,7 @@ def walk(changes, reason, key, last=False):
             why = "superseded"
         if why is not None:
             rejects.append({**change, "reason": why})
+    assert len(winners) + len(rejects) == len(changes)
     return winners, rejects
 
 

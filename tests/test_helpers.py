@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import pytest
+
+from rollbook import operators as op
 from rollbook.functions.filters import (
     blank_to_null,
     fuzzy,
@@ -68,3 +71,35 @@ def test_report_views(spark):
     df = spark.createDataFrame([(1, None, None)], "a INT, b INT, c STRING")
     assert tuple(with_null_label(df).first()) == ("1", "未录入", "未录入")
     assert tuple(with_zero_defaults(df).first()) == (1, 0, None)
+
+
+def test_empty_text_does_not_restrict(school):
+    everything = op.course_search(school).count()
+    assert op.course_search(school, course_name="", teacher_name="").count() == everything == 5
+    assert op.course_search(school, semester="", min_credits="", max_credits="").count() == 5
+    assert op.course_statistics(school, semester="").count() == 4
+    assert op.course_search(school, min_credits="0", max_credits="0").count() == 2
+    with pytest.raises(ValueError):
+        op.course_search(school, min_credits="many")
+
+
+def test_only_whole_numbers_and_full_dates_are_read(spark, school):
+    row = "change_seq BIGINT, teacher_username STRING, student_id BIGINT, course_id BIGINT"
+    texts = ["59.9", "100.7", " 60", "+60", "60", "", None]
+    for kind, values in (("STRING", texts), ("DOUBLE", [59.9, 100.7, 60.0])):
+        changes = spark.createDataFrame(
+            [(n, "tess", 3, 10, "2024春", v) for n, v in enumerate(values)],
+            f"{row}, semester STRING, score {kind}",
+        )
+        outcome = op.upsert_grades(school, changes)
+        assert outcome.rejects.count() == len(values) - 1
+        assert {r.reason for r in outcome.rejects.collect()} == {"invalid_value"}
+        assert outcome.school.sc.filter("student_id = 3 AND semester = '2024春'").first().score == 60
+    days = ["2001", "2001-02", "2001-02-03 junk", "2001-02-30", "2001-02-03"]
+    changes = spark.createDataFrame(
+        [(n, "bob", "男", day) for n, day in enumerate(days)],
+        "change_seq BIGINT, student_username STRING, gender STRING, birth_date STRING",
+    )
+    outcome = op.update_student_profiles(school, changes)
+    assert outcome.rejects.count() == 4
+    assert str(outcome.school.student.filter("student_id = 3").first().birth_date) == "2001-02-03"

@@ -10,6 +10,7 @@ from rollbook import operators as op
 from rollbook.operators.changes import _resolved
 from rollbook.school import School
 from rollbook.sources import read_school, stage, write_snapshot
+from rollbook.sources.staging import shared_folder
 
 
 def plan(df) -> str:
@@ -167,7 +168,8 @@ def test_a_small_batch_does_not_shuffle_the_enrolments(spark, stored, conf, name
         outcome = operator(stored, changes)
         df = outcome.rejects if name == "rejects" else outcome.school.sc
         chains = [c for c in above_scan(plan(df), "sc") if "Union" not in c]
-        assert chains
+        # rejects, and new enrolments, look up keys narrowed to the batch's before
+        assert bool(chains) == (name == "sc" and operator is not op.enrol)
         for chain in chains:
             assert chain[-1] == "BroadcastHashJoin" and "Exchange" not in chain, operator.__name__
 
@@ -253,6 +255,47 @@ def test_lookups_split_a_hot_account_and_a_hot_enrolment(spark, skewed, split_ea
     assert [(r.reason, r["count"]) for r in hot] == [("superseded", 149_999)]
 
 
+def test_staging_needs_the_shared_folder():
+    class Unset:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Unset)
+
+
+def test_a_regular_batch_is_as_large_as_its_rows(spark, conf):
+    """Two million changes coded well would fit the threshold; in memory they do not."""
+    conf(autoBroadcastJoinThreshold="10MB")
+    other = spark.range(3_000_000).withColumnRenamed("id", "key")
+    regular = ["id div 1000 AS key", "id % 1000 AS part", "'2024春' AS semester"]
+    for rows, broadcast in ((2_000_000, False), (10, True)):
+        batch = stage(spark.range(rows).selectExpr(*regular), "changes", plain=True)
+        joined = other.join(batch.select("key", "part", "semester"), "key")
+        assert ("BroadcastHashJoin" in plan(joined)) == broadcast
+
+
+@pytest.mark.parametrize(
+    "operator, columns",
+    [
+        (op.delete_courses, "course_id"),
+        (op.delete_sections, "teacher_id, course_id, semester"),
+        (op.delete_grades, "teacher_id, student_id, course_id, semester"),
+    ],
+    ids=lambda x: getattr(x, "__name__", ""),
+)
+def test_rejects_without_payload_need_no_sort_and_no_keys_gone(spark, stored, operator, columns):
+    changes = stored.sc.selectExpr("1L AS change_seq", *columns.split(", "))
+    outcome = operator(stored, changes)
+    database = "rollbook_" + spark.conf.get("spark.app.id").replace("-", "_").lower()
+    gone = f"SHOW TABLES IN {database} LIKE 'gone*'"
+    before = spark.sql(gone).count()
+    assert "SortAggregate" not in plan(outcome.rejects)
+    assert spark.sql(gone).count() == before
+    outcome.school  # noqa: B018
+    assert spark.sql(gone).count() == before + (operator is not op.delete_grades)
+
+
 def test_staged_tables_go_to_the_shared_folder(spark):
     staged = stage(spark.range(5).selectExpr("id", "id * 2 AS twice"), "numbers")
     shared = spark.conf.get("spark.checkpoint.dir")

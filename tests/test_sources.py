@@ -47,7 +47,7 @@ def test_a_hot_semester_is_written_by_several_tasks(spark, school, tmp_path):
             "id AS student_id", "id AS course_id", "IF(id % 3 = 0, '2024春', '2024秋') AS semester",
             "id AS teacher_id", "INT(id % 101) AS score",
         )
-        write_snapshot(school.with_tables(sc=sc), str(tmp_path / "v1"), ("sc",))
+        write_snapshot(school.with_tables(sc=sc), str(tmp_path / "v1"))
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
     for semester in ("2024春", "2024秋"):
@@ -55,6 +55,42 @@ def test_a_hot_semester_is_written_by_several_tasks(spark, school, tmp_path):
         assert len([f for f in files if f.endswith(".parquet")]) > 1
 
 
+def grade(spark, score: int):
+    key = "change_seq BIGINT, teacher_username STRING, student_id BIGINT, course_id BIGINT"
+    row = (1, "tess", 3, 10, "2024春", score)
+    return spark.createDataFrame([row], f"{key}, semester STRING, score INT")
+
+
+def test_a_small_change_writes_its_semester_only(spark, school, tmp_path):
+    old, new = str(tmp_path / "v1"), str(tmp_path / "v2")
+    write_snapshot(school, old)
+    outcome = op.upsert_grades(read_school(spark, old), grade(spark, 77))
+    write_snapshot(outcome.school, new, ("sc",), old, outcome.semesters)
+    assert {d for d in os.listdir(new) if not d.startswith(".")} == {"sc", "manifest"}
+    assert {d for d in os.listdir(f"{new}/sc") if "=" in d} == {"semester=2024春"}
+    stored = read_school(spark, new)
+    for name in TABLES:
+        expected = outcome.school.sc if name == "sc" else getattr(school, name)
+        assert rows(getattr(stored, name)) == rows(expected)
+    # and once more, on top of a snapshot that is itself in two places
+    third = op.upsert_grades(stored, grade(spark, 78))
+    write_snapshot(third.school, str(tmp_path / "v3"), ("sc",), new, third.semesters)
+    assert rows(read_school(spark, str(tmp_path / "v3")).sc) == rows(third.school.sc)
+    assert read_school(spark, old).sc.filter("score = 77 OR score = 78").isEmpty()
+
+
+def test_an_incomplete_snapshot_is_refused(spark, school, tmp_path):
+    root = str(tmp_path / "v1")
+    write_snapshot(school, root)
+    for file in os.listdir(f"{root}/manifest"):
+        os.remove(f"{root}/manifest/{file}")
+    os.rmdir(f"{root}/manifest")
+    with pytest.raises(ValueError):
+        read_school(spark, root)
+    with pytest.raises(ValueError):
+        write_snapshot(school, str(tmp_path / "v2"), ("sc",))
+
+
 def test_text_ids_can_be_read(spark, tmp_path):
     from pyspark.sql import types as T
 
@@ -69,6 +105,12 @@ def test_split_column_needs_bounds(spark):
         read_jdbc(spark, "jdbc:none", "sc", split_column="student_id")
 
 
+def test_a_read_in_one_task_has_to_be_asked_for(spark):
+    for choice in ({}, {"predicates": []}, {"predicates": ["a"], "in_one_task": True}):
+        with pytest.raises(ValueError):
+            read_jdbc(spark, "jdbc:none", "sc", **choice)
+
+
 @pytest.fixture(scope="module")
 def projected(spark):
     return Projection(spark, SMALL).school()
