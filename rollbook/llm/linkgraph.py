@@ -104,8 +104,8 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> Dat
 
     def seeds(chosen: str, weight: str) -> DataFrame:
         rows = known.filter(chosen).select("host", F.col(weight).cast("double").alias("seed"))
-        whole = rows.agg(F.sum("seed").alias("whole"))  # one row
-        return rows.join(F.broadcast(whole)).select("host", (F.col("seed") / F.col("whole")).alias("seed"))
+        whole = rows.agg(F.sum("seed")).first()[0] or 1.0
+        return rows.select("host", (F.col("seed") / whole).alias("seed"))
 
     turned = edges.select(
         F.col("target").alias("source"), F.col("source").alias("target"), "links"
