@@ -44,7 +44,8 @@ def cross_polytope(spark: SparkSession, root: str) -> DataFrame:
 
 def revisit_resolution(spark: SparkSession, root: str) -> DataFrame:
     """The headers as text, name=value by name, and the body by its digest."""
-    found = revisits.resolve(revisits.captures_of(table(spark, root, "pages")))
+    captures = revisits.captures_of(table(spark, root, "pages"), stored=True)
+    found = revisits.resolve(captures, placed=True)
     named = F.transform(
         F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])
     )

@@ -13,12 +13,14 @@ response of each, of which there is a row per url and stretch.
 Defined results: captures without url or time are resolved to nothing (``no_response``);
 a response at the very time of a revisit counts as earlier; of several responses at one
 time the largest capture_id counts; a null body is a response all the same; null headers
-are none. Equal rows are captures of their own.
+are none. Equal rows are captures of their own, each told by its place (ROW): captures
+may share a capture_id or have none.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollbook.llm.shared import ROW, numbered
 from rollbook.sources.staging import stage
 
 #: Headers that a not-modified response may renew (public HTTP semantics).
@@ -47,14 +49,20 @@ def canonical(url: Column) -> Column:
     return F.when(F.locate("://", url) > 0, F.concat(host, path, query))
 
 
-def resolve(captures: DataFrame, stretch: int = STRETCH) -> DataFrame:
+def resolve(captures: DataFrame, stretch: int = STRETCH, placed: bool = False) -> DataFrame:
     """Per revisit: capture_id, url_key, at, response_id, status, body and headers.
 
     ``captures`` has capture_id, url, at (seconds), status, etag, modified, body and
     headers, a map with names in lower case. ``status`` is resolved, mismatch (the
     validators tell of another response) or no_response; only resolved rows have a body.
+    ``placed`` says that they have ROW too, which tells full responses apart; others are
+    written to the shared folder first.
     """
+    if not placed:
+        columns = ["capture_id", "url", "at", "status", "etag", "modified", "body", "headers"]
+        captures = numbered(captures, *columns)
     rows = captures.select(
+        *ROW,
         "capture_id",
         canonical(F.col("url")).alias("url_key"),
         "at",
@@ -65,9 +73,11 @@ def resolve(captures: DataFrame, stretch: int = STRETCH) -> DataFrame:
         F.when(F.col("status") == NOT_MODIFIED, F.col("headers")).alias("fresh"),
     ).filter(F.col("full") | (F.col("status") == NOT_MODIFIED))
     key = stage(rows, "captures")
-    own = F.when(F.col("full"), F.struct("at", "capture_id"))
+    own = F.when(F.col("full"), F.struct("at", "capture_id", *ROW))
     timed = key.filter("url_key IS NOT NULL AND at IS NOT NULL")
-    order = Window.partitionBy("url_key", "stretch").orderBy("at", F.col("full").desc(), "capture_id")
+    order = Window.partitionBy("url_key", "stretch").orderBy(
+        "at", F.col("full").desc(), "capture_id", *ROW
+    )
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = timed.withColumn("_near", F.last(own, ignorenulls=True).over(upto))
     # the last response of each stretch, carried over to later stretches of the url
@@ -81,18 +91,25 @@ def resolve(captures: DataFrame, stretch: int = STRETCH) -> DataFrame:
     asked = near.filter("NOT full").join(
         carried, (F.col("url_key") == F.col("_key")) & (F.col("stretch") == F.col("_stretch"))
     )
-    found = asked.select(
-        "capture_id", F.coalesce("_near", "_far")["capture_id"].alias("response_id")
+    # the columns go along: no capture_id has to tell a revisit from others
+    told = ["capture_id", "url_key", "at", "etag", "modified", "fresh"]
+    found = asked.select(*told, F.coalesce("_near", "_far").alias("_found"))
+    untimed = key.filter("NOT full AND (url_key IS NULL OR at IS NULL)").select(*told)
+    revisits = found.unionByName(untimed, allowMissingColumns=True).select(
+        *told,
+        F.col("_found").isNotNull().alias("_met"),
+        F.col("_found.capture_id").alias("response_id"),
+        *[F.col(f"_found.{c}").alias(f"_{c}") for c in ROW],
     )
-    revisits = key.filter("NOT full").join(found, "capture_id", "left")
     stored = captures.filter(F.col("status") == FULL).select(
-        F.col("capture_id").alias("response_id"),
+        *[F.col(c).alias(f"_its_{c}") for c in ROW],
         F.col("etag").alias("_etag"),
         F.col("modified").alias("_modified"),
         F.col("body").alias("_body"),
         F.col("headers").alias("_headers"),
     )
-    met = revisits.join(stored, "response_id", "left")
+    place = [F.col(f"_{c}") == F.col(f"_its_{c}") for c in ROW]
+    met = revisits.join(stored, place, "left")
 
     def weak(tag: str) -> Column:
         return F.regexp_replace(tag, "^W/", "")
@@ -103,7 +120,7 @@ def resolve(captures: DataFrame, stretch: int = STRETCH) -> DataFrame:
         .otherwise(F.lit(True))
     )
     status = (
-        F.when(F.col("response_id").isNull(), "no_response")
+        F.when(~F.col("_met"), "no_response")
         .when(agrees, "resolved")
         .otherwise("mismatch")
     )
@@ -124,14 +141,15 @@ def resolve(captures: DataFrame, stretch: int = STRETCH) -> DataFrame:
     )
 
 
-def captures_of(pages: DataFrame) -> DataFrame:
+def captures_of(pages: DataFrame, stored: bool = False) -> DataFrame:
     """Captures drawn from pages: each page's full response and a later revisit of it.
 
     Times, validators and headers follow from page_id alone: pages with one canonical url
     are visits of one resource. One revisit in five carries the etag of another response,
     one in three only a date, and one in seven comes before any response of its page.
+    Both have ROW, the place of the page.
     """
-    base = pages.select("page_id", "url", "html").filter("page_id IS NOT NULL")
+    base = numbered(pages, "page_id", "url", "html", stored=stored).filter("page_id IS NOT NULL")
     at = F.col("page_id") * 977 % 8_640_000
     etag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 12), F.lit('"'))
     day = F.concat(F.lit("day "), F.expr("page_id div 100").cast("string"))
@@ -141,6 +159,7 @@ def captures_of(pages: DataFrame) -> DataFrame:
         return F.create_map(*flat)
 
     full = base.select(
+        *ROW,
         (F.col("page_id") * 2).alias("capture_id"),
         "url",
         at.alias("at"),
@@ -157,6 +176,7 @@ def captures_of(pages: DataFrame) -> DataFrame:
         F.col("page_id") % 3 == 0, F.lit(None)
     ).otherwise(F.concat(F.lit("W/"), etag))
     again = base.select(
+        *ROW,
         (F.col("page_id") * 2 + 1).alias("capture_id"),
         "url",
         later.alias("at"),

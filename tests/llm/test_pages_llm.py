@@ -226,6 +226,33 @@ def test_revisits_take_the_latest_earlier_response(spark):
     assert got[6].headers == {"expires": "never"}
 
 
+def test_repeated_and_missing_capture_ids(spark):
+    kind = (
+        "capture_id INT, url STRING, at BIGINT, status INT, etag STRING, modified STRING,"
+        " body STRING, headers MAP<STRING, STRING>"
+    )
+    x, y = "http://x.org/", "http://y.org/"
+    rows = [(2, x, 10, 200, None, None, "a", None)] * 3 + [(3, x, 20, 304, None, None, None, None)] * 3
+    rows += [
+        (None, y, 1, 200, None, None, "b", None),
+        (None, y, 2, 304, None, None, None, None),
+        (3, None, 2, 304, None, None, None, None),
+        (2, y, 9, 200, None, None, "c", None),
+        (3, y, 9, 304, None, None, None, None),
+    ]
+    got = revisits.resolve(spark.createDataFrame(rows, kind)).collect()
+    assert sorted((str(r.capture_id), str(r.url_key), r.response_id or 0, r.status, r.body) for r in got) == [
+        ("3", "None", 0, "no_response", None),
+        *[("3", "x.org", 2, "resolved", "a")] * 3,
+        ("3", "y.org", 2, "resolved", "c"),
+        ("None", "y.org", 0, "resolved", "b"),
+    ]
+    # a page that stands three times has a revisit each
+    page = [(4, x, "<p>a</p>")] * 3
+    frame = spark.createDataFrame(page, "page_id BIGINT, url STRING, html STRING")
+    assert revisits.resolve(revisits.captures_of(frame), placed=True).count() == 3
+
+
 # ---------------------------------------------------------------- neighbours
 
 
