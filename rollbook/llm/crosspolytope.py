@@ -84,7 +84,7 @@ def _hashed(tables: int, probes: int):
 
 
 def _best(nearest: int):
-    """The nearest rows of a block for each query of a block, by exact cosine."""
+    """The nearest vec_ids of a block for each query of a block, each with its best row."""
 
     def run(table: pa.Table) -> pa.Table:
         asks = np.array(table.column("asks").to_pylist())
@@ -93,18 +93,25 @@ def _best(nearest: int):
         # a row's own sum, and not a matrix product's, is the same in every block
         length = np.sqrt((vectors * vectors).sum(axis=1))
         rows, row_ids, row_length = vectors[~asks], ids[~asks], length[~asks]
+        # rows of one vec_id side by side, so that each counts once, by its best
+        order = np.argsort(row_ids, kind="stable")
+        rows, row_ids, row_length = rows[order], row_ids[order], row_length[order]
+        each, first = np.unique(row_ids, return_index=True)
         out: list[tuple[int, int, float]] = []
         if len(rows):
             near = (vectors[asks] / length[asks, None]) @ (rows / row_length[:, None]).T
-            for query, v, size, scores in zip(ids[asks], vectors[asks], length[asks], near, strict=True):
-                there = row_ids != query
-                if not there.any():
+            best = np.maximum.reduceat(near, first, axis=1)
+            asked = zip(ids[asks], vectors[asks], length[asks], near, best, strict=True)
+            for query, v, size, scores, tops in asked:
+                others = each != query
+                if not others.any():
                     continue
-                least = np.sort(scores[there])[-nearest:][0] - 1e-9
-                chosen = np.flatnonzero(there & (scores >= least))
+                least = np.sort(tops[others])[-nearest:][0] - 1e-9
+                chosen = np.flatnonzero((row_ids != query) & (scores >= least))
                 exact = (rows[chosen] * v).sum(axis=1) / (row_length[chosen] * size)
-                order = np.lexsort((row_ids[chosen], -exact))[:nearest]
-                out += [(query, row_ids[chosen][k], exact[k]) for k in order]
+                order = np.lexsort((row_ids[chosen], -exact))
+                once = np.sort(np.unique(row_ids[chosen][order], return_index=True)[1])
+                out += [(query, row_ids[chosen][k], exact[k]) for k in order[once[:nearest]]]
         columns = zip(*out, strict=True) if out else ((), (), ())
         kinds = (pa.int64(), pa.int64(), pa.float64())
         arrays = [pa.array([*c], k) for c, k in zip(columns, kinds, strict=True)]

@@ -289,6 +289,17 @@ def test_the_driver_vectors_are_found_exactly(spark):
     assert got == brute_nearest(rows, 50, 5)  # so few that all buckets are looked into
 
 
+def test_rows_of_one_vec_id_do_not_push_others_out(spark):
+    draw = np.random.default_rng(3)
+    near = np.eye(8)[0] + 0.01 * draw.normal(size=(10, 8))
+    others = np.eye(8)[0] + 0.1 * draw.normal(size=(12, 8))
+    rows = [(0, np.eye(8)[0])] + [(1, v) for v in near] + [(n + 2, v) for n, v in enumerate(others)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id INT, embedding ARRAY<DOUBLE>")
+    got = sorted(crosspolytope.search(frame).collect(), key=lambda r: r["rank"])
+    want = list(dict.fromkeys(brute_nearest(rows, 50, len(rows))[0]))[:5]
+    assert want[0] == 1 and [r.vec_id for r in got] == want
+
+
 def test_vector_edges(spark):
     one = [1.0, 2.0, 3.0]
     rows = [
