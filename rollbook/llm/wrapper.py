@@ -13,8 +13,9 @@ Counting is an aggregation over (host, node, text), so a host may hold any share
 pages; only the reference trees and wrappers, of a size bounded by a page, travel by host.
 
 Defined results: pages without html, or without text in a block, have an empty text; a
-null url is a host of its own; of a host with fewer than ENOUGH pages only labels count;
-equal rows are pages of their own.
+null url is a host of its own; equal rows are pages of their own, but pages of a host
+with the same block texts are one witness of its template: of a host with fewer than
+ENOUGH distinct pages only labels count.
 """
 
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from rollbook.llm.dom import Matcher, parse
 from rollbook.llm.shared import ROW, numbered
 from rollbook.sources.staging import stage
 
-#: A node is template if one text has this share of at least ENOUGH pages of a host.
+#: A node is template if one text has this share of at least ENOUGH distinct pages of a host.
 CONSTANT, ENOUGH = 0.9, 8
 #: A slot is a menu if links make up this share of its characters.
 LINKED = 0.7
@@ -178,9 +179,24 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.select(ROW).columns, made], names=[*ROW, "kept"])
 
 
+def _distinct(trees: DataFrame) -> DataFrame:
+    """Of the pages of a host that have the same block texts, one each."""
+    paged = trees.withColumn("page", F.xxhash64(F.transform("blocks", lambda b: b["digest"])))
+    place = F.struct(*ROW)
+    groups = paged.groupBy("host", "page").agg(F.count("*").alias("many"), F.min(place).alias("kept"))
+    # only what stands more than once is joined, and may have any share of the pages
+    groups = groups.filter("many > 1").select(
+        F.col("host").alias("_host"), F.col("page").alias("_page"), "kept"
+    )
+    same = (F.col("host") == F.col("_host")) & (F.col("page") == F.col("_page"))
+    told = paged.join(stage(groups, "copies"), same, "left")
+    return told.filter(F.col("kept").isNull() | (F.col("kept") == place)).select(*trees.columns)
+
+
 def wrappers(trees: DataFrame) -> DataFrame:
     """Per host: its reference tree, the nodes to drop (with a digest: that text only) and
     its lists."""
+    trees = _distinct(trees)
     shapes = trees.groupBy("host", F.xxhash64("tree").alias("shape")).agg(
         F.count("*").alias("pages"), F.min("tree").alias("tree")
     )

@@ -70,6 +70,20 @@ def test_wrappers_take_the_template_away(pages):
     assert [t for i, t, _ in got if i == 207] == ["twice", "twice"]
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    same = "<div><p>One article</p><p>of two blocks</p></div>"
+    rows = [(n, "http://rows.org/a", same) for n in range(12)]
+    rows += [(n, f"http://ids.org/a?session={n}", same) for n in range(20, 32)] + [(40, None, same)] * 9
+    # ten distinct pages and many copies of one: a line on all is template, the copied one is not
+    shown = "<div><p>Top of all</p><p>Text {}</p></div>"
+    rows += [(n, f"http://mixed.org/{n}", shown.format(min(n, 109))) for n in range(100, 250)]
+    frame = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    got = [(r.page_id, r.text) for r in wrapper.extract(frame).collect()]
+    assert len(got) == len(rows)
+    for n, text in got:
+        assert text == ("One article\nof two blocks" if n < 100 else f"Text {min(n, 109)}")
+
+
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id BIGINT, url STRING, html STRING")
     assert wrapper.extract(none).count() == 0
