@@ -7,7 +7,8 @@ what each node of the reference is: a node with the same text on nearly all page
 template, one with as many children as the page likes is a list, and one made of links is
 a menu. Template and menus go, as do slots that are labelled as something beside the
 article (menus, headers, footers, sidebars, notices, adverts, forms, comments); the other
-slots are content, and so is everything in a list, whose items no position tells apart.
+slots are content, and so are the items of a list that no position tells apart: those with
+siblings of their own shape. Other children of a list are slots as elsewhere.
 
 Counting is an aggregation over (host, node, text), so a host may hold any share of the
 pages; only the reference trees and wrappers, of a size bounded by a page, travel by host.
@@ -18,6 +19,7 @@ with the same block texts are one witness of its template: of a host with fewer
 ENOUGH distinct pages only labels count.
 """
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -122,15 +124,27 @@ def _aligner() -> _Aligner:
     return _Aligner()
 
 
+def _alike(tree) -> list[bool]:
+    """Which nodes of a tree have siblings of the same shape."""
+    out = [False] * len(tree.tags)
+    for children in tree.children:
+        many = Counter(tree.shape[c] for c in children)
+        for child in children:
+            out[child] = many[tree.shape[child]] > 1
+    return out
+
+
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page and matched node: host, node, digest, characters, links and children."""
-    names = ["host", "node", "digest", "chars", "linked", "children"]
+    """Per page and matched node: host, node, digest, characters, links, children, and
+    whether a sibling in the page has the same shape."""
+    names = ["host", "node", "digest", "chars", "linked", "children", "alike"]
     align = _aligner()
     for batch in batches:
         rows: list[list] = [[] for _ in names]
         columns = (batch.column(c).to_pylist() for c in ("host", "tree", "blocks", "reference"))
         for name, tree, blocks, reference in zip(*columns, strict=True):
             _, page, pairs = align(reference, tree)
+            alike = _alike(page)
             own: dict[int, tuple] = {}
             for b in blocks:
                 digest, chars, linked = own.get(b["node"], (0, 0, 0))
@@ -138,10 +152,10 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest = b["digest"] if not chars else (digest * 31 + b["digest"]) % 2**62
                 own[b["node"]] = (digest, chars + b["chars"], linked + b["linked"])
             for node, there in pairs:
-                row = (name, node, *own.get(there, (0, 0, 0)), len(page.children[there]))
+                row = (name, node, *own.get(there, (0, 0, 0)), len(page.children[there]), alike[there])
                 for column, value in zip(rows, row, strict=True):
                     column.append(value)
-        kinds = [pa.string(), pa.int32(), *[pa.int64()] * 3, pa.int32()]
+        kinds = [pa.string(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.bool_()]
         arrays = [pa.array(r, k) for r, k in zip(rows, kinds, strict=True)]
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -151,10 +165,11 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     align = _aligner()
     for batch in batches:
         columns = (
-            batch.column(c).to_pylist() for c in ("tree", "blocks", "reference", "dropped", "lists")
+            batch.column(c).to_pylist()
+            for c in ("tree", "blocks", "reference", "dropped", "lists", "items")
         )
         kept = []
-        for tree, blocks, reference, dropped, lists in zip(*columns, strict=True):
+        for tree, blocks, reference, dropped, lists, items in zip(*columns, strict=True):
             if not dropped:
                 kept.append([not b["chrome"] for b in blocks])
                 continue
@@ -164,10 +179,12 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for node, children in enumerate(page.children):
                 for child in children:
                     parent[child] = node
+            lists, items = set(lists), set(items)
             in_list = [False] * len(page.tags)
             for node in range(1, len(page.tags)):  # parents come first
                 above = parent[node]
-                in_list[node] = in_list[above] or slot.get(above) in lists
+                item = slot.get(node) is None or slot[node] in items
+                in_list[node] = in_list[above] or (item and slot.get(above) in lists)
             dropped = {d["node"]: d["digest"] for d in dropped}
             flags = []
             for b in blocks:
@@ -194,8 +211,8 @@ def _distinct(trees: DataFrame) -> DataFrame:
 
 
 def wrappers(trees: DataFrame) -> DataFrame:
-    """Per host: its reference tree, the nodes to drop (with a digest: that text only) and
-    its lists."""
+    """Per host: its reference tree, the nodes to drop (with a digest: that text only),
+    its lists and the nodes with siblings of their shape on some page."""
     trees = _distinct(trees)
     shapes = trees.groupBy("host", F.xxhash64("tree").alias("shape")).agg(
         F.count("*").alias("pages"), F.min("tree").alias("tree")
@@ -211,7 +228,9 @@ def wrappers(trees: DataFrame) -> DataFrame:
         "host", "tree", "blocks", "reference"
     )
     slots = aligned.mapInArrow(
-        _slots, "host string, node int, digest bigint, chars bigint, linked bigint, children int"
+        _slots,
+        "host string, node int, digest bigint, chars bigint, linked bigint,"
+        " children int, alike boolean",
     )
     by_text = slots.groupBy("host", "node", "digest").agg(
         F.count("*").alias("pages"),
@@ -219,6 +238,7 @@ def wrappers(trees: DataFrame) -> DataFrame:
         F.sum("linked").alias("linked"),
         F.min("children").alias("least"),
         F.max("children").alias("most"),
+        F.max("alike").alias("alike"),
     )
     by_node = by_text.groupBy("host", "node").agg(
         F.sum("pages").alias("pages"),
@@ -227,6 +247,7 @@ def wrappers(trees: DataFrame) -> DataFrame:
         F.sum("linked").alias("linked"),
         F.min("least").alias("least"),
         F.max("most").alias("most"),
+        F.max("alike").alias("alike"),
     )
     told = by_node.join(hosts.select("host", "all_pages"), "host")
     enough = (F.col("all_pages") >= ENOUGH) & (F.col("chars") > 0)
@@ -238,6 +259,7 @@ def wrappers(trees: DataFrame) -> DataFrame:
             F.when(constant | menu, F.struct("node", digest.alias("digest")))
         ).alias("dropped"),
         F.collect_list(F.when(F.col("least") < F.col("most"), F.col("node"))).alias("lists"),
+        F.collect_list(F.when(F.col("alike"), F.col("node"))).alias("items"),
     )
     return hosts.select("host", "reference").join(described, "host")
 
@@ -252,7 +274,9 @@ def extract(pages: DataFrame, stored: bool = False) -> DataFrame:
     )
     trees = stage(trees, "trees")
     told = stage(wrappers(trees), "wrappers")
-    kept = trees.join(told, "host").select(*ROW, "tree", "blocks", "reference", "dropped", "lists")
+    kept = trees.join(told, "host").select(
+        *ROW, "tree", "blocks", "reference", "dropped", "lists", "items"
+    )
     kept = kept.mapInArrow(_kept, "row_file bigint, row_index bigint, kept array<boolean>")
     texts = rows.select(*ROW, F.col("page_id").cast("bigint"), "url", "html").mapInArrow(
         _texts,

@@ -84,6 +84,22 @@ def test_copies_of_a_page_are_no_template(spark):
         assert text == ("One article\nof two blocks" if n < 100 else f"Text {min(n, 109)}")
 
 
+def test_an_optional_block_does_not_hide_the_template(spark):
+    page = (
+        "<body>{}<div><a href=a>Home</a><b><a href=b>News</a></b></div><div><i>Notice to all</i></div>"
+        "<section><h1>Title {}</h1><p>Dear reader</p>{}</section><div><u>All rights kept</u></div></body>"
+    )
+    rows = []
+    for n in range(20):
+        parts = "".join(f"<p>Part {k} of {n}</p>" for k in range(1 + n % 3))
+        rows.append((n, f"http://some.org/{n}", page.format("<em>Banner</em>" * (n == 7), n, parts)))
+    frame = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    got = {r.page_id: r.text for r in wrapper.extract(frame).collect()}
+    for n in range(20):  # the first paragraph is one of a list
+        lines = ["Banner"] * (n == 7) + [f"Title {n}", "Dear reader"]
+        assert got[n] == "\n".join(lines + [f"Part {k} of {n}" for k in range(1 + n % 3)])
+
+
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id BIGINT, url STRING, html STRING")
     assert wrapper.extract(none).count() == 0
