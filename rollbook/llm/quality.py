@@ -3,7 +3,7 @@
 Every word has up to three units: its letters in lower case, its shape of capitals and
 its marks. A unit stands in one of ``UNITS`` rows by its hash and has a sparse ternary
 index vector drawn from that number. A unit's context vector sums the index vectors of the
-words around it over the fitting sample; the sums are whole numbers made by a Spark
+words around it over all documents, which takes no labels; the sums are whole numbers made by a Spark
 aggregation, so they do not depend on how rows are dealt out. A document is the mean of
 its units' vectors with a few figures on repetition, and a two-layer network, fitted with
 numpy on at most ``sample`` labelled rows and calibrated by a temperature on rows it has
@@ -34,6 +34,8 @@ FIGURES = 5
 #: Fixed by the contract.
 FOLDS, HELD_OUT, ACCEPT = 4, 2, 0.7
 _MOST_KNOWN = 200_000
+#: Words whose contexts are summed in one go.
+_AT_ONCE = 20_000
 
 
 @cache
@@ -84,20 +86,38 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's sums of index vectors around each unit, as rows (unit, vector)."""
     vectors, of = index_vectors(), units()
     sums = np.zeros((UNITS + 1, WIDTH), dtype=np.int64)
+
+    def add(texts: list[list[str]]) -> None:
+        # each distinct word is looked up and added once
+        number: dict[str, int] = {}
+        word = np.array([number.setdefault(w, len(number)) for words in texts for w in words])
+        if not len(word):
+            return
+        ids = np.array([of(w) for w in number])
+        own = vectors[ids].sum(axis=1, dtype=np.int32)[word]
+        total = np.zeros((len(own) + 1, WIDTH), dtype=np.int32)
+        np.cumsum(own, axis=0, out=total[1:])
+        sizes = np.array([len(words) for words in texts])
+        end = np.repeat(np.cumsum(sizes), sizes)
+        start = end - np.repeat(sizes, sizes)
+        at = np.arange(len(own))
+        low, high = np.maximum(at - AROUND, start), np.minimum(at + AROUND + 1, end)
+        around = total[high] - total[low] - own
+        order = np.argsort(word, kind="stable")
+        first = np.searchsorted(word[order], np.arange(len(number)))
+        by_word = np.add.reduceat(around[order], first, axis=0, dtype=np.int64)
+        for column in ids.T:
+            np.add.at(sums, column, by_word)
+
     for batch in batches:
+        texts, many = [], 0
         for text in batch.column("text"):
-            found = [of(w) for w in (text.as_py() or "").split()]
-            if not found:
-                continue
-            ids = np.array(found)
-            own = vectors[ids].sum(axis=1, dtype=np.int64)
-            total = np.zeros((len(own) + 1, WIDTH), dtype=np.int64)
-            np.cumsum(own, axis=0, out=total[1:])
-            at = np.arange(len(own))
-            low, high = np.maximum(at - AROUND, 0), np.minimum(at + AROUND + 1, len(own))
-            around = total[high] - total[low] - own
-            for column in ids.T:
-                np.add.at(sums, column, around)
+            texts.append((text.as_py() or "").split())
+            many += len(texts[-1])
+            if many >= _AT_ONCE:
+                add(texts)
+                texts, many = [], 0
+        add(texts)
     there = np.flatnonzero(sums[:UNITS].any(axis=1))
     for part in np.array_split(there, len(there) // 1000 + 1):
         yield pa.RecordBatch.from_arrays(
@@ -211,7 +231,8 @@ def held_out() -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000):
-    """The word vectors and the network, fitted on at most ``sample`` labelled rows."""
+    """The word vectors of all documents, and the network, fitted on at most ``sample``
+    labelled rows."""
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     chosen = (
         usable.groupBy("doc_id")
@@ -221,7 +242,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000):
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = rows.dropDuplicates(["doc_id"])
-    vectors = word_vectors(rows)
+    vectors = word_vectors(docs)
 
     def pooled(batches):
         for batch in batches:

@@ -133,6 +133,26 @@ def test_held_out_labels_do_not_matter(spark, small):
     assert texts(quality.judged(small, labels)) == texts(quality.judged(small, turned))
 
 
+def test_contexts_cover_documents_without_labels(spark):
+    rows = [(n, f"plain words {n} and more words about it") for n in range(12)]
+    rows += [(100, "Zyx qua, zyx"), (101, None), (102, "qua")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(12)], "doc_id BIGINT, quality INT")
+    index, of = quality.index_vectors().astype(int), quality.units()
+    sums = np.zeros(index.shape)
+    for _, text in rows:
+        words = [list(of(w)) for w in (text or "").split()]
+        for i, word in enumerate(words):
+            for near in words[max(0, i - quality.AROUND) : i] + words[i + 1 : i + 1 + quality.AROUND]:
+                for unit in word:
+                    sums[unit] += index[near].sum(axis=0)
+    sums[quality.UNITS] = 0
+    size = np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    vectors, _ = quality.learn(docs, labels)
+    assert np.allclose(vectors, index / np.sqrt(quality.NONZERO) + sums / size, atol=1e-5)
+    assert sums[of("zyx")[0]].any()
+
+
 def test_classifier_edges(spark, edges, nothing):
     labels = spark.createDataFrame(
         [(1, 1), (2, 1), (2, 0), (7, 0), (9, None), (None, 1), (11, 5), (8, 1)],
