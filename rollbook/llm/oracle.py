@@ -141,8 +141,78 @@ SELECT capture_id, url_key, ts AS "at", response_id, status,
     ';content-type=text/html;date=', ts, ';etag=', etag) END AS headers
 FROM met"""
 
+# Roles a turn may take, by the state before it; inserts between turns, never more than two.
+_TURNS = """WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS entries),
+original AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS key FROM conversations),
+hashed AS (
+  SELECT o.*, xor(list_reduce(
+      list_prepend(4294967295::UBIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::UBIGINT)),
+      lambda c, b: xor(c >> 8, t.entries[1 + (xor(c, b) & 255)::INTEGER])), 4294967295::UBIGINT) % 20 AS kind
+  FROM original o, crc_table t),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, range(2) copy(n) WHERE kind <> 0 AND (n = 0 OR kind = 3)),
+placed AS (
+  SELECT *, left(role, 1) AS initial, rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+told AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM placed),
+faulty AS (
+  SELECT *, CASE WHEN words = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(words, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS previous FROM told),
+inserts(state, made, middle, cost, written) AS (VALUES
+  (0, '', 0, 0, []), (0, 'I', 2, 2, ['user:']), (0, 'II', 3, 4, ['user:', 'assistant:']),
+  (1, '', 1, 0, []), (1, 'I', 2, 2, ['user:']), (1, 'II', 3, 4, ['user:', 'assistant:']),
+  (2, '', 2, 0, []), (2, 'I', 3, 2, ['assistant:']),
+  (3, '', 3, 0, []), (3, 'I', 2, 2, ['user:'])),
+takes(middle, role, initial, state) AS (VALUES
+  (0, 'system', 's', 1), (0, 'user', 'u', 2), (1, 'user', 'u', 2), (3, 'user', 'u', 2), (2, 'assistant', 'a', 3)),
+edits AS (
+  SELECT f.conv_id, f.i, n.middle, 'D' AS edit, 3 AS cost, n.middle AS state, []::VARCHAR[] AS written
+  FROM faulty f, (SELECT DISTINCT middle FROM inserts) n
+  UNION ALL
+  SELECT f.conv_id, f.i, t.middle, CASE WHEN f.initial = t.initial THEN 'K' ELSE 'R' END,
+    CASE WHEN f.initial = t.initial THEN 0 ELSE 2 END + (f.fault = 't')::INTEGER, t.state,
+    [concat(CASE WHEN f.initial = t.initial THEN f.role ELSE t.role END, ':', f.text)]
+  FROM faulty f, takes t WHERE f.fault NOT IN ('b', 'd') AND (f.initial = t.initial OR t.initial <> 's')),
+best AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS state,
+    {'cost': 0::BIGINT, 'audit': '', 'written': []::VARCHAR[]} AS way FROM damaged
+  UNION ALL
+  SELECT b.conv_id, e.i, e.state, min({
+    'cost': (b.way).cost + n.cost + e.cost, 'audit': concat((b.way).audit, n.made, e.edit),
+    'written': list_concat((b.way).written, list_concat(n.written, e.written))}) AS way
+  FROM best b JOIN inserts n ON n.state = b.state
+    JOIN edits e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.i = b.i + 1 AND e.middle = n.middle
+  GROUP BY b.conv_id, e.i, e.state),
+ended AS (
+  SELECT b.conv_id, min({
+    'cost': (b.way).cost + n.cost, 'audit': concat((b.way).audit, n.made),
+    'written': list_concat((b.way).written, n.written)}) AS way
+  FROM best b JOIN (SELECT conv_id, count(*) AS turns FROM damaged GROUP BY conv_id) c
+      ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.turns = b.i
+    JOIN inserts n ON n.state = b.state WHERE n.middle IN (0, 3) GROUP BY b.conv_id),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (previous IS NOT NULL AND concat(previous, initial) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id)
+SELECT o.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+  coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, coalesce((e.way).cost, 0)::BIGINT AS cost,
+  coalesce((e.way).audit, '') AS audit,
+  sha256(coalesce(array_to_string((e.way).written, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+  LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+  LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
 ORACLE: dict[str, str] = {
     "op5_revisit_resolution": _REVISITS,
     "op7_link_graph": _LINK_GRAPH,
     "op10_source_schedule": _SCHEDULE,
+    "op11_turn_alignment": _TURNS,
 }

@@ -15,9 +15,12 @@ from rollbook.llm import (
     linkgraph,
     outliers,
     packing,
+    personal,
     quality,
     revisits,
     schedule,
+    turns,
+    whitening,
     wrapper,
 )
 from rollbook.llm.oracle import ORACLE  # noqa: F401
@@ -80,6 +83,19 @@ def source_schedule(spark: SparkSession, root: str) -> DataFrame:
     return schedule.taken(table(spark, root, "documents"), stored=True)
 
 
+def turn_alignment(spark: SparkSession, root: str) -> DataFrame:
+    return turns.audited(table(spark, root, "conversations"), stored=True)
+
+
+def jacobi_whitening(spark: SparkSession, root: str) -> DataFrame:
+    found = whitening.whitened(table(spark, root, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def semi_markov_pii(spark: SparkSession, root: str) -> DataFrame:
+    return personal.reported(table(spark, root, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wrapper_text": wrapper_text,
     "op2_robust_outliers": robust_outliers,
@@ -91,4 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_histogram_packing": histogram_packing,
     "op9_line_dedup": line_dedup,
     "op10_source_schedule": source_schedule,
+    "op11_turn_alignment": turn_alignment,
+    "op12_jacobi_whitening": jacobi_whitening,
+    "op13_semi_markov_pii": semi_markov_pii,
 }

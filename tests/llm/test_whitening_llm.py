@@ -1,0 +1,106 @@
+"""Whitening against exact sums and a textbook eigendecomposition, and edge cases."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+from conftest import SMALL
+
+from rollbook.llm import whitening
+
+COLUMNS = "vec_id BIGINT, embedding ARRAY<DOUBLE>, x STRING, component STRING, n INT"
+
+
+def table(spark, vectors):
+    return spark.createDataFrame([(i, v, "x", None, 1) for i, v in vectors], COLUMNS)
+
+
+def brute(vectors) -> dict:
+    """(vec_id, component) to n, deviation, whitened up to its sign, share."""
+    kept = [
+        (i, tuple(math.floor(256 * c) for c in v))
+        for i, v in vectors
+        if v and all(c is not None and math.isfinite(c) for c in v)
+    ]
+    fit = np.array(sorted({x for _, x in kept}), dtype=object)
+    n, sums = len(fit), fit.sum(axis=0)
+    away = (fit - sums / n).astype(float)
+    values, axes = np.linalg.eigh(away.T @ away / n)
+    values, axes = values[::-1], axes[:, ::-1]
+    found = {}
+    for i, x in kept:
+        deviation = sum((n * a - s) ** 2 for a, s in zip(x, sums))
+        for c in range(4):
+            point = float((np.array(x) - sums / n).astype(float) @ axes[:, c]) / math.sqrt(values[c])
+            found.setdefault((i, c + 1), []).append((n, deviation, point, values[c] / values.sum()))
+    return found
+
+
+def same(got, vectors):
+    want = brute(vectors)
+    assert len(got) == sum(map(len, want.values()))
+    signs = {}
+    for r in got:
+        # one vec_id may have several vectors
+        n, _, point, share = next(w for w in want[r.vec_id, r.component] if w[1] == int(r.deviation))
+        assert r.n == n
+        assert r.explained == pytest.approx(share, rel=1e-9)
+        assert abs(r.whitened) == pytest.approx(abs(point), rel=1e-8, abs=1e-10)
+        if abs(point) > 1e-6:
+            assert signs.setdefault(r.component, r.whitened * point > 0) == (r.whitened * point > 0)
+        assert 0 <= r.identity_error < 1e-9
+
+
+def test_equals_brute_force(spark):
+    frame = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    vectors = [(r.vec_id, r.embedding) for r in frame.collect()]
+    same(whitening.whitened(frame).collect(), vectors)
+
+
+def test_edge_cases(spark):
+    draw = np.random.default_rng(3)
+    good = [(i, list(map(float, draw.normal(size=6) * [9, 5, 3, 2, 1, 0.1]))) for i in range(80)]
+    good += good[:5] * 30 + [(None, good[0][1]), (7, good[9][1])]
+    bad = [
+        (200, None),
+        (201, []),
+        (202, [1.0, None, 1.0, 1.0, 1.0, 1.0]),
+        (203, [math.nan] * 6),
+        (204, [math.inf] + [0.0] * 5),
+        (205, [1e300] + [0.0] * 5),
+    ]
+    same(whitening.whitened(table(spark, [*good, *bad, (206, [1.0, 2.0])])).collect(), good)
+
+
+def test_large_entries_stay_exact(spark):
+    vectors = [(i, [float(2**40 + i * i), float(-(2**41) - i), float(i % 3)]) for i in range(9)]
+    x = [[256 * int(c) for c in v] for _, v in vectors]
+    sums = [sum(c) for c in zip(*x)]
+    got = {r.vec_id: int(r.deviation) for r in whitening.whitened(table(spark, vectors)).collect()}
+    assert got == {i: sum((9 * a - s) ** 2 for a, s in zip(v, sums)) for i, v in enumerate(x)}
+
+
+@pytest.mark.parametrize("vectors", [[], [(1, None)], [(1, [1.0, 2.0])] * 3])
+def test_nothing_to_fit(spark, vectors):
+    got = whitening.whitened(table(spark, vectors))
+    assert got.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    assert got.collect() == []
+
+
+@pytest.mark.parametrize("size, rank", [(1, 1), (5, 5), (9, 4), (64, 64)])
+def test_components(size, rank):
+    factor = np.random.default_rng(size).normal(size=(size, rank)) * np.logspace(0, -3, rank)
+    matrix = factor @ factor.T
+    values, axes = whitening.components(matrix)
+    assert len(values) == rank and np.all(np.diff(values) <= 0)
+    assert np.allclose(axes.T @ axes, np.eye(rank), atol=1e-12)
+    assert np.allclose(matrix @ axes, axes * values, atol=1e-12 * values[0])
+
+
+def test_pivoted_cholesky_gives_the_matrix():
+    factor = np.random.default_rng(0).normal(size=(8, 5))
+    lower, order = whitening.pivoted_cholesky(factor @ factor.T)
+    assert lower.shape == (8, 5) and np.allclose(lower, np.tril(lower))
+    assert np.allclose(lower @ lower.T, (factor @ factor.T)[np.ix_(order, order)])
