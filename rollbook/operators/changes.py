@@ -16,10 +16,15 @@ How hot keys are kept apart, whatever share of the batch they hold:
 
 * the winning change per key is an aggregate, reduced before the shuffle;
 * losing changes are told from it by a join on key and ``change_seq``, whose hash
-  spreads the changes to one key over all partitions;
+  spreads the changes to one key over all partitions, or by the next;
 * lookups left join many changes (left) with one row per key (right), the form in
   which adaptive execution splits a skewed left side.
 
+Changes to enrolments are merged in one pass: they are reduced to one per key, meet the
+table's keys by the same partitioning, and what comes out, the winner of each key with
+what the table knows of it, is staged as a verdict. Refused changes are told by one join
+with it, and only they are made distinct.
+
 How a small batch stays cheap on a large table: the batch is staged once it is
 cleaned and its account names are looked up, so it is computed once and the plans
 that follow know its size: staged files are plain, so that they are as large as the
@@ -126,6 +131,43 @@ def _batch(changes: DataFrame) -> DataFrame:
     return stage(changes.distinct(), "changes", plain=True)
 
 
+def _merged(chosen: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The verdict on each key of the batch, staged: ``_won``, the winning change without
+    its key, and ``_there``, TRUE where the key is among ``keys``, else NULL.
+
+    The table is narrowed to the keys of the batch first: one shuffle of both if the batch
+    is large, a broadcast of the batch if it is small. The winners meet the outcome where
+    they are.
+    """
+    rest = [c for c in chosen.columns if c not in on]
+    winners = chosen.select(*on, F.struct(*rest).alias("_won"))
+    found = _matched(keys.select(*on), chosen, on)
+    return stage(_marked(winners, found, on, "_there"), "verdicts", plain=True)
+
+
+def _refused(
+    columns: Sequence[str],
+    faulty: DataFrame,
+    sound: DataFrame,
+    key: Sequence[str],
+    verdicts: DataFrame,
+    *checks: tuple[Column, str],
+) -> DataFrame:
+    """All refused changes in the shape they came in, plus ``reason``, each once.
+
+    ``faulty`` are those refused on their own; the checks read what the verdict says of a
+    sound one. What passes them without being the winner of its key is superseded.
+    """
+    content = F.struct(*verdicts.schema["_won"].dataType.names)
+    reason = F.coalesce(
+        *(F.when(condition, F.lit(text)) for condition, text in checks),
+        F.when(~content.eqNullSafe(F.col("_won")), F.lit(SUPERSEDED)),
+    )
+    lost = sound.join(verdicts, list(key), "left").withColumn("reason", reason)
+    lost = lost.filter(F.col("reason").isNotNull()).select(*columns, "reason")
+    return faulty.select(*columns, "reason").unionByName(lost).distinct()
+
+
 def _narrowed(table: DataFrame, batch: DataFrame, on: Sequence[str]) -> DataFrame:
     """The keys in the table that the batch can meet, staged: no more than the batch has.
 
@@ -199,6 +241,11 @@ def _with_account(changes: DataFrame, *lookup) -> DataFrame:
     return _batch(_resolved(changes, *lookup))
 
 
+def _as_delivered(changes: DataFrame) -> DataFrame:
+    """The changes, staged; equal ones are told apart by no step that follows."""
+    return stage(changes, "changes", plain=True)
+
+
 def _clean(changes: DataFrame, texts: Sequence[str] = (), ints: Sequence[str] = ()) -> DataFrame:
     """Add ``_new_*`` columns with blanks as NULL and numbers read; originals stay."""
     copies = changes.withColumns({f"_new_{c}": F.col(c) for c in (*texts, *ints)})
@@ -591,7 +638,9 @@ def enrol(school: School, changes: DataFrame) -> Outcome:
     section depends on the teacher, who is not part of the enrolment key, so it
     is looked up before one change per key is chosen.
     """
-    batch = _with_account(changes, school, "student_username", "student", "student_id")
+    batch = _as_delivered(
+        _resolved(changes, school, "student_username", "student", "student_id")
+    )
     sound, faulty = _judge(
         batch,
         (F.col("student_id").isNull(), UNKNOWN_USER),
@@ -603,36 +652,32 @@ def enrol(school: School, changes: DataFrame) -> Outcome:
         return _narrowed(school.tc, sound, SECTION_KEY)
 
     @cache
-    def taken() -> DataFrame:
-        return _narrowed(school.sc, sound, ENROLMENT_KEY)
-
-    def chosen() -> DataFrame:
-        return _winners(_matched(sound, offered(), SECTION_KEY), ENROLMENT_KEY, "first")
+    def verdicts() -> DataFrame:
+        chosen = _winners(_matched(sound, offered(), SECTION_KEY), ENROLMENT_KEY, "first")
+        return _merged(chosen, school.sc, ENROLMENT_KEY)
 
     def grown() -> School:
         added = (
-            _unmatched(chosen(), taken(), ENROLMENT_KEY)
+            verdicts()
+            .filter(_absent("_there"))
+            .select(*ENROLMENT_KEY, "_won.teacher_id")
             .withColumn("score", F.lit(None).cast(school.sc.schema["score"].dataType))
             .select(*school.sc.columns)
         )
         return school.with_tables(sc=school.sc.unionByName(added))
 
-    def marked() -> DataFrame:
-        rows = _marked(sound, offered(), SECTION_KEY, "_offered")
-        return _marked(rows, taken(), ENROLMENT_KEY, "_taken")
-
     return Outcome(
         grown,
-        lambda: _rejects(
+        lambda: _refused(
             changes.columns,
             faulty,
-            marked(),
+            _marked(sound, offered(), SECTION_KEY, "_offered"),
             ENROLMENT_KEY,
-            chosen(),
+            verdicts(),
             (_absent("_offered"), NO_SUCH_ROW),
-            (~_absent("_taken"), DUPLICATE),
+            (~_absent("_there"), DUPLICATE),
         ),
-        semesters=lambda: _semesters(chosen()),
+        semesters=lambda: _semesters(verdicts()),
     )
 
 
@@ -641,7 +686,9 @@ def drop(school: School, changes: DataFrame) -> Outcome:
 
     changes: change_seq, student_username, course_id, semester.
     """
-    batch = _with_account(changes, school, "student_username", "student", "student_id")
+    batch = _as_delivered(
+        _resolved(changes, school, "student_username", "student", "student_id")
+    )
     sound, faulty = _judge(
         batch,
         (F.col("student_id").isNull(), UNKNOWN_USER),
@@ -650,13 +697,13 @@ def drop(school: School, changes: DataFrame) -> Outcome:
     chosen = _winners(sound, ENROLMENT_KEY, "first")
     return Outcome(
         lambda: school.with_tables(sc=_unmatched(school.sc, chosen, ENROLMENT_KEY)),
-        lambda: _rejects(
+        lambda: _refused(
             changes.columns,
             faulty,
-            _marked(sound, _narrowed(school.sc, sound, ENROLMENT_KEY), ENROLMENT_KEY, "_known"),
+            sound,
             ENROLMENT_KEY,
-            chosen,
-            (_absent("_known"), NO_SUCH_ROW),
+            _merged(chosen, school.sc, ENROLMENT_KEY),
+            (_absent("_there"), NO_SUCH_ROW),
         ),
         semesters=lambda: _semesters(chosen),
     )
@@ -685,13 +732,13 @@ def _set_scores(
     )
     return Outcome(
         lambda: school.with_tables(sc=sc),
-        lambda: _rejects(
+        lambda: _refused(
             columns,
             faulty,
-            _marked(sound, _narrowed(school.sc, sound, GRADED_KEY), GRADED_KEY, "_known"),
+            sound,
             GRADED_KEY,
-            chosen,
-            (_absent("_known"), NO_SUCH_ROW),
+            _merged(chosen, school.sc, GRADED_KEY),
+            (_absent("_there"), NO_SUCH_ROW),
         ),
         semesters=lambda: _semesters(chosen),
     )
@@ -706,7 +753,9 @@ def upsert_grades(
     (number or text).
     """
     batch = _clean(changes, ints=["score"])
-    batch = _with_account(batch, school, "teacher_username", "teacher", "teacher_id")
+    batch = _as_delivered(
+        _resolved(batch, school, "teacher_username", "teacher", "teacher_id")
+    )
     in_range = F.col("_new_score").between(rules.min_score, rules.max_score)
     sound, faulty = _judge(
         batch,
@@ -725,6 +774,6 @@ def delete_grades(school: School, changes: DataFrame) -> Outcome:
 
     changes: change_seq, teacher_id, student_id, course_id, semester.
     """
-    sound, faulty = _judge(_batch(changes), (_any_null(GRADED_KEY), NO_SUCH_ROW))
+    sound, faulty = _judge(_as_delivered(changes), (_any_null(GRADED_KEY), NO_SUCH_ROW))
     empty = F.lit(None).cast(school.sc.schema["score"].dataType)
     return _set_scores(school, changes.columns, sound, faulty, "first", empty)
