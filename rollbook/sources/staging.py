@@ -10,9 +10,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -37,13 +41,47 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{folder}/scratch/{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, plain: bool = False) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder until released.
+def _width(column: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes in memory, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        wide = F.octet_length(column) + 16
+    elif isinstance(kind, T.StructType):
+        wide = reduce(Column.__add__, [_width(column[f.name], f.dataType) for f in kind], F.lit(8))
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        wide = F.octet_length(F.array_join(column, "", "")) + 16 * F.size(column)
+    elif isinstance(kind, T.ArrayType) and not isinstance(
+        kind.elementType, (T.ArrayType, T.MapType, T.StructType)
+    ):
+        wide = 8 * F.size(column) + 16
+    elif isinstance(kind, (T.ArrayType, T.MapType)):
+        wide = F.octet_length(F.to_json(F.struct(column.alias("v"))))
+    else:
+        return F.lit(8)
+    return F.coalesce(F.greatest(wide, F.lit(8)), F.lit(8))
 
-    With ``plain`` the files are neither compressed nor coded by dictionaries: their
-    size then follows the rows' size in memory, which is what the choice of a
-    broadcast goes by.
-    """
+
+def rows_width(df: DataFrame) -> int:
+    """Rows times width: what the frame takes in memory, about, in bytes."""
+    wide = reduce(Column.__add__, [_width(df[f.name], f.dataType) for f in df.schema], F.lit(8))
+    return df.agg(F.sum(wide.cast("bigint"))).first()[0] or 0
+
+
+_UNITS = {"": 1, "b": 1, "k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40}
+
+
+def _broadcast_limit(spark: SparkSession) -> int:
+    """The largest size that the session broadcasts by itself; negative if none."""
+    sizes = []
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        text = spark.conf.get(key, None)
+        found = re.fullmatch(r"(-?\d+)([bkmgt]?)b?", (text or "").strip().lower())
+        if found:
+            sizes.append(int(found[1]) * _UNITS[found[2]])
+    return max(sizes, default=-1)
+
+
+def _written(df: DataFrame, name: str, plain: bool) -> str:
+    """The name of a new table with these rows."""
     spark = df.sparkSession
     database = _database(spark)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{shared_folder(spark)}/{database}'")
@@ -52,6 +90,32 @@ def stage(df: DataFrame, name: str, plain: bool = False) -> DataFrame:
     if plain:
         options = {"compression": "none", "parquet.enable.dictionary": "false"}
     df.write.options(**options).saveAsTable(table, format="parquet")
+    return table
+
+
+def _files_size(spark: SparkSession, table: str) -> int:
+    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS NOSCAN")
+    told = spark.sql(f"DESCRIBE EXTENDED {table}").filter("col_name = 'Statistics'").first()
+    return int(told["data_type"].split(" ")[0])
+
+
+def stage(df: DataFrame, name: str, plain: bool = False, sized: bool = False) -> DataFrame:
+    """The same rows, computed once and kept in the shared folder until released.
+
+    The size of the files is what the choice of a broadcast goes by. With ``plain`` they are
+    neither compressed nor coded by dictionaries, so that it follows the rows' size in
+    memory. ``sized`` is for larger tables that are joined: they are compressed, but if that
+    makes files small enough to broadcast of rows that are not, by their number and width,
+    they are written again, plainly.
+    """
+    spark = df.sparkSession
+    table = _written(df, name, plain)
+    if sized and not plain:
+        limit = _broadcast_limit(spark)
+        if _files_size(spark, table) <= limit < rows_width(spark.table(table)):
+            honest = _written(spark.table(table), name, True)
+            spark.sql(f"DROP TABLE {table}")
+            table = honest
     return spark.table(table)
 
 

@@ -10,7 +10,7 @@ from rollbook import operators as op
 from rollbook.operators.changes import _resolved
 from rollbook.school import School
 from rollbook.sources import read_school, stage, write_snapshot
-from rollbook.sources.staging import shared_folder
+from rollbook.sources.staging import rows_width, shared_folder
 
 
 def plan(df) -> str:
@@ -275,6 +275,27 @@ def test_a_regular_batch_is_as_large_as_its_rows(spark, conf):
         assert ("BroadcastHashJoin" in plan(joined)) == broadcast
 
 
+def test_like_texts_are_as_large_as_their_rows(spark, conf):
+    """95 MB of texts of one shape compress to some kilobytes; ten rows of them are small."""
+    conf(autoBroadcastJoinThreshold="10MB")
+    other = spark.range(3_000_000).withColumnRenamed("id", "key")
+    for rows, broadcast in ((40_000, False), (10, True)):
+        tree = spark.range(rows).selectExpr("id AS key", "repeat('<div><p class=a>', 149) AS tree")
+        kept = stage(tree, "trees", sized=True)
+        assert kept.count() == rows
+        assert ("BroadcastHashJoin" in plan(other.join(kept, "key"))) == broadcast
+
+
+def test_width_of_nested_rows(spark):
+    rows = spark.sql(
+        "SELECT 1L AS a, 'xyz' AS b, array(1, 2, 3) AS c, array('ab', 'c', NULL) AS d, "
+        "named_struct('e', 'text', 'f', 2) AS g, map('k', 'v') AS h, CAST(NULL AS STRING) AS i, array(array(1)) AS j"
+    )
+    assert 100 < rows_width(rows) < 300
+    assert rows_width(rows.union(rows)) == 2 * rows_width(rows)
+    assert rows_width(rows.limit(0)) == 0
+
+
 @pytest.mark.parametrize(
     "operator, columns",
     [
