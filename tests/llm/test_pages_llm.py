@@ -347,3 +347,80 @@ def test_vector_edges(spark):
     assert set(by[0]) == {1, 2, 3, 10, 150} and by[0][-1] == 10
     assert set(by) == {0, 150} and len(by[150]) == 5
     assert crosspolytope.search(frame.limit(0)).count() == 0
+
+
+def test_what_is_compared_grows_slower_than_the_index():
+    """Production settings at three sizes: recall of 0.9, and ever smaller shares compared."""
+    draw = np.random.default_rng(4)
+    shares = []
+    for known in (2_000, 8_000, 32_000):
+        vectors = draw.normal(size=(known, 64))
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        axes = crosspolytope.parts(known, 64)
+        filed = crosspolytope.buckets(vectors, axes, crosspolytope.TABLES, 1)[:, :, 0]
+        found = met = 0
+        for query in range(0, known, known // 40):
+            asked = vectors[query : query + 1]
+            looked = crosspolytope.buckets(
+                asked, axes, crosspolytope.TABLES, crosspolytope.probes_for(axes, known)
+            )[0]
+            seen = np.zeros(known, dtype=bool)
+            for table, joint in enumerate(looked):
+                seen |= np.isin(filed[:, table], joint)
+            near = unit @ unit[query]
+            near[query] = -2
+            found += seen[np.argsort(-near)[:5]].sum()
+            met += seen.sum()
+        asks = len(range(0, known, known // 40))
+        assert found >= 0.9 * 5 * asks
+        shares.append(met / asks / known)
+    assert shares[1] < 0.75 * shares[0] and shares[2] < 0.75 * shares[1]
+
+
+def test_probes_are_the_nearest_joint_buckets():
+    vectors = np.random.default_rng(5).normal(size=(20, 12))
+    axes = (32, 32, 4)
+    for row, tables in zip(vectors, crosspolytope.buckets(vectors, axes, 2, 60)):
+        unit = crosspolytope.scaled(row[None])
+        unit /= np.linalg.norm(unit)
+        for table, joint in enumerate(tables):
+            one, two, three = (crosspolytope._signed(unit, table, p, c)[0] for p, c in enumerate(axes))
+            total = (one[:, None, None] + two[None, :, None] + three[None, None, :]).ravel()
+            assert np.allclose(np.sort(total[joint]), np.sort(total)[-60:])
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 5e-324, 1.7e308])
+def test_doubles_of_any_size(spark, size):
+    draw = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in draw.uniform(0.5, 1, 8) * size * draw.choice((-1, 1), 8)]) for i in range(30)]
+    if size < 1e-300:
+        rows = [(i, [float(v) for v in draw.integers(1, 9, 8) * size]) for i in range(30)]
+    frame = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    got = crosspolytope.search(frame, every=30).collect()
+    exact = {i: [np.ldexp(x, -int(np.frexp(np.abs(v).max())[1])) for x in v] for i, v in rows}
+    scores = sorted(
+        ((float(np.dot(exact[0], v) / np.linalg.norm(exact[0]) / np.linalg.norm(v)), -i) for i, v in exact.items() if i),
+        reverse=True,
+    )
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [-i for _, i in scores[:5]]
+    assert [r.score for r in sorted(got, key=lambda r: r["rank"])] == pytest.approx([s for s, _ in scores[:5]])
+
+
+def test_a_cell_of_copies_is_dealt_into_blocks(spark, monkeypatch):
+    """Most rows share a bucket: they are compared block by block, and none is lost."""
+    monkeypatch.setattr(crosspolytope, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(crosspolytope, "BLOCK_QUERIES", 5)
+    draw = np.random.default_rng(7)
+    near = draw.normal(size=16)
+    rows = [(i, [float(v) for v in near + draw.normal(size=16) * 1e-3]) for i in range(600)]
+    frame = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    got = {}
+    for r in crosspolytope.search(frame).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for query, ranked in got.items():
+        scores = unit @ unit[query]
+        scores[query] = -2
+        assert set(ranked.values()) == set(np.argsort(-scores)[:5])
+    assert sorted(got) == list(range(0, 600, 50))
