@@ -52,13 +52,13 @@ class Encoder:
     """Token ids of texts, as little-endian unsigned 32-bit numbers.
 
     The tokenizer splits a text into pieces and codes each on its own, and no piece
-    holds white space. So the ids of a text are those of what stands between its blanks
-    and line ends, one after another; and those of a plain word, one of the characters
-    above, are those of its runs of letters or marks and its single digits. Ids of short
-    words and of pieces are kept, as many as fit the bounds.
+    holds white space. So the ids of a plain text, one of the characters above, are those
+    of its runs of letters or marks and its single digits, one after another; and those of
+    any other text are those of what stands between its blanks and line ends. Ids of pieces
+    and of short words are kept, as many as fit the bounds.
     """
 
-    def __init__(self, path: str, most_words: int = 300_000, most_pieces: int = 900_000):
+    def __init__(self, path: str, most_words: int = 100_000, most_pieces: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a process per core
         from tokenizers import Tokenizer
 
@@ -71,39 +71,34 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        plain = "<|" not in text and _PLAIN.fullmatch(text) is not None
-        words = text.lower().split() if plain else text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.words) > self.most_words:
-            self.words = {}
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
-        self.words |= zip(new, self.coded_plain(new) if plain else self.coded(new), strict=True)
-        ids = b"".join(map(self.words.__getitem__, words))
-        for word in new:
-            if len(word) > 32:
-                del self.words[word]
+        if "<|" not in text and _PLAIN.fullmatch(text) is not None:
+            pieces = _PIECE.findall(text.lower())
+            return self._known(pieces, self.pieces, self.coded_plain, self.most_pieces)
+        words = text.replace("\n", " ").split(" ")
+        return self._known(words, self.words, self.coded, self.most_words)
+
+    def _known(self, parts: list[str], known: dict[str, bytes], code: Callable, most: int) -> bytes:
+        """The ids of the parts; new ones are coded together."""
+        if len(known) > most:
+            known.clear()
+        new = list(itertools.filterfalse(known.__contains__, set(parts)))
+        if new:
+            known |= zip(new, code(new), strict=True)
+        ids = b"".join(map(known.__getitem__, parts))
+        for part in new:
+            if len(part) > 32:
+                del known[part]
         return ids
 
     def coded(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def coded_plain(self, words: list[str]) -> list[bytes]:
-        if len(self.pieces) > self.most_pieces:
-            self.pieces = {}
-        parts = [_PIECE.findall(w) for w in words]
-        new = [p for p in dict.fromkeys(itertools.chain(*parts)) if p not in self.pieces]
-        if new:
-            found = self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0]
-            ids = np.array(found.ids, dtype="<u4")
-            bounds = [0, *(4 * np.flatnonzero(self.last[ids]) + 4).tolist()]
-            each = map(ids.tobytes().__getitem__, map(slice, bounds, bounds[1:]))
-            self.pieces |= zip(new, each, strict=True)
-        known = self.pieces.__getitem__
-        return [known(p[0]) if len(p) == 1 else b"".join(map(known, p)) for p in parts]
+    def coded_plain(self, pieces: list[str]) -> Iterator[bytes]:
+        found = self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, dtype="<u4")
+        bounds = [0, *(4 * np.flatnonzero(self.last[ids]) + 4).tolist()]
+        return map(ids.tobytes().__getitem__, map(slice, bounds, bounds[1:]))
 
 
 @cache
