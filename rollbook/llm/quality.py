@@ -3,21 +3,23 @@
 Every word has up to three units: its letters in lower case, its shape of capitals and
 its marks. A unit stands in one of ``UNITS`` rows by its hash and has a sparse ternary
 index vector drawn from that number. A unit's context vector sums the index vectors of the
-words around it over all documents, which takes no labels; the sums are whole numbers made by a Spark
-aggregation, so they do not depend on how rows are dealt out. A document is the mean of
-its units' vectors with a few figures on repetition, and a two-layer network, fitted with
+words around it over all documents, which takes no labels; the sums are whole numbers made
+by a Spark aggregation, so they do not depend on how rows are dealt out. A document is the
+mean of its units' vectors with a few figures on repetition, and a two-layer network, fitted with
 numpy on at most ``sample`` labelled rows and calibrated by a temperature on rows it has
 not seen, gives the probability.
 
 Defined results: null and empty texts have no units and are scored all the same; rows
 whose doc_id has the remainder 2 are never learnt from; labels that are null or neither 0
-nor 1 are ignored, and of several labels of one document the least counts; without labels
+nor 1 are ignored, and of several labels of one document the least counts, and of several
+texts of one doc_id the least by hash is learnt from; without labels
 of both kinds every score is 0.5. Equal rows are scored each; no other column is read.
 """
 
+import itertools
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -33,9 +35,11 @@ UNITS, WIDTH, NONZERO, AROUND = 2**15, 64, 8, 2
 FIGURES = 5
 #: Fixed by the contract.
 FOLDS, HELD_OUT, ACCEPT = 4, 2, 0.7
-_MOST_KNOWN = 200_000
+_MOST_KNOWN = 500_000
+#: Marks that commonly end a word, none a letter.
+_ENDS = ".,;:!?)]}\"'%$#*&"
 #: Words whose contexts are summed in one go.
-_AT_ONCE = 20_000
+_AT_ONCE = 400_000
 
 
 @cache
@@ -56,24 +60,62 @@ def _shape(letters: str) -> str:
     return "title" if letters[1:].islower() else "mixed"
 
 
-class Units:
-    """The three unit numbers of a word; UNITS stands for none."""
+@cache
+def _kind(text: str) -> int:
+    """The unit of a shape."""
+    return zlib.crc32(f" {text}".encode()) % UNITS
+
+
+def _units_of(word: str) -> tuple[int, int, int]:
+    """The unit numbers of a word's letters, shape and marks; UNITS stands for none."""
+    letters, marks = word, ""
+    if not word.isalpha():
+        letters = word.rstrip(_ENDS)
+        marks = word[len(letters) :]
+        if not letters.isalpha():
+            letters = "".join(filter(str.isalpha, word))
+            marks = "".join(c for c in word if not c.isalpha())
+    return (
+        zlib.crc32(letters.lower().encode()) % UNITS if letters else UNITS,
+        _kind(_shape(letters)) if letters else UNITS,
+        zlib.crc32(f" {marks}".encode()) % UNITS if marks else UNITS,
+    )
 
-    def __init__(self):
-        self.known: dict[str, tuple[int, int, int]] = {}
+
+class Units:
+    """Numbers of words, and the three units of each; as many as fit the bounds are kept."""
+
+    def __init__(self, most: int = _MOST_KNOWN, most_chars: int = 64 * _MOST_KNOWN):
+        self.most, self.most_chars = most, most_chars
+        self.codes: dict[str, int] = {}
+        self.units = np.zeros((1024, 3), dtype=np.int32)
+        self.chars = 0
+
+    def numbers(self, words: Collection[str]) -> np.ndarray:
+        """Per word a row of ``units``, which holds until the next call."""
+        new = list(itertools.filterfalse(self.codes.__contains__, set(words)))
+        if new and (len(self.codes) + len(new) > self.most or self.chars > self.most_chars):
+            self.codes, self.chars, new = {}, 0, list(set(words))
+        if new:
+            known = len(self.codes)
+            if known + len(new) > len(self.units):
+                grown = np.zeros((2 * (known + len(new)), 3), dtype=np.int32)
+                grown[:known] = self.units[:known]
+                self.units = grown
+            each = itertools.chain.from_iterable(map(_units_of, new))
+            self.units[known : known + len(new)] = np.fromiter(each, np.int32).reshape(-1, 3)
+            self.codes.update(zip(new, range(known, known + len(new))))
+            self.chars += sum(map(len, new))
+        return np.fromiter(map(self.codes.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def of_all(self, words: Collection[str]) -> np.ndarray:
+        """A row of three unit numbers for each word."""
+        rows = self.numbers(words)
+        return self.units[rows]
 
     def __call__(self, word: str) -> tuple[int, int, int]:
-        found = self.known.get(word)
-        if found is None:
-            letters = "".join(filter(str.isalpha, word))
-            marks = "".join(c for c in word if not c.isalpha())
-            parts = (letters.lower(), letters and f" {_shape(letters)}", marks and f" {marks[:8]}")
-            found = tuple(zlib.crc32(p.encode()) % UNITS if p else UNITS for p in parts)
-            if len(self.known) >= _MOST_KNOWN:
-                self.known.clear()
-            if len(word) <= 64:
-                self.known[word] = found
-        return found
+        """The three unit numbers of a word; UNITS stands for none."""
+        return _units_of(word)
 
 
 @cache
@@ -82,42 +124,103 @@ def units() -> Units:
     return Units()
 
 
-def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's sums of index vectors around each unit, as rows (unit, vector)."""
-    vectors, of = index_vectors(), units()
-    sums = np.zeros((UNITS + 1, WIDTH), dtype=np.int64)
-
-    def add(texts: list[list[str]]) -> None:
-        # each distinct word is looked up and added once
-        number: dict[str, int] = {}
-        word = np.array([number.setdefault(w, len(number)) for words in texts for w in words])
-        if not len(word):
+@cache
+def _entries() -> np.ndarray:
+    """Per unit the places of its index vector's entries, twice the column and one more if
+    negative; for no unit a column of its own."""
+    vectors = index_vectors()
+    places = np.full((UNITS + 1, NONZERO), 2 * WIDTH, dtype=np.int64)
+    for unit, row in enumerate(vectors[:UNITS]):
+        columns = np.flatnonzero(row)
+        places[unit] = 2 * columns + (row[columns] < 0)
+    return places
+
+
+def _add(sums: np.ndarray, rows: np.ndarray, vectors: np.ndarray) -> None:
+    """Add vectors to rows, several to one."""
+    order = np.argsort(rows, kind="stable")
+    first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    if len(first):
+        sums[rows[order][first]] += np.add.reduceat(vectors[order], first, axis=0)
+
+
+def _products(
+    keys: list[np.ndarray], rows: int, columns: int, left: np.ndarray, right: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of ``row * columns + column``, as a matrix, times the vectors of its
+    columns, and its transpose times those of its rows. Whole numbers, exact as doubles."""
+    if rows * columns <= 1 << 23:
+        counts = sum(np.bincount(k, minlength=rows * columns) for k in keys).astype(float)
+        counts = counts.reshape(rows, columns)
+        return (counts @ right).astype(np.int64), (counts.T @ left).astype(np.int64)
+    met, many = np.unique(np.concatenate(keys), return_counts=True)
+    row, column = np.divmod(met, columns)
+    forth = np.zeros((rows, right.shape[1]), dtype=np.int64)
+    back = np.zeros((columns, left.shape[1]), dtype=np.int64)
+    _add(forth, row, right[column].astype(np.int64) * many[:, None])
+    _add(back, column, left[row].astype(np.int64) * many[:, None])
+    return forth, back
+
+
+class Contexts:
+    """Sums of index vectors around each unit.
+
+    Letters are many units, shapes and marks few kinds of pairs. So what stands around
+    letters is counted by entry for neighbours' letters, and by kind for the rest; what
+    stands around a kind is, the window being even, the same counts read the other way.
+    """
+
+    def __init__(self):
+        self.vectors = index_vectors().astype(float)
+        self.wide = 2 * WIDTH + 2
+        self.letters = np.zeros((UNITS + 1) * self.wide, dtype=np.int64)
+        self.sums = np.zeros((UNITS + 1, WIDTH), dtype=np.int64)
+
+    def add(self, texts: list[list[str]]) -> None:
+        # AROUND places that hold no word keep texts apart
+        gap = [""] * AROUND
+        words = list(itertools.chain.from_iterable(part for text in texts for part in (text, gap)))
+        if len(words) == len(gap) * len(texts):
             return
-        ids = np.array([of(w) for w in number])
-        own = vectors[ids].sum(axis=1, dtype=np.int32)[word]
-        total = np.zeros((len(own) + 1, WIDTH), dtype=np.int32)
-        np.cumsum(own, axis=0, out=total[1:])
-        sizes = np.array([len(words) for words in texts])
-        end = np.repeat(np.cumsum(sizes), sizes)
-        start = end - np.repeat(sizes, sizes)
-        at = np.arange(len(own))
-        low, high = np.maximum(at - AROUND, start), np.minimum(at + AROUND + 1, end)
-        around = total[high] - total[low] - own
-        order = np.argsort(word, kind="stable")
-        first = np.searchsorted(word[order], np.arange(len(number)))
-        by_word = np.add.reduceat(around[order], first, axis=0, dtype=np.int64)
-        for column in ids.T:
-            np.add.at(sums, column, by_word)
+        ids = units().of_all(words)
+        letters = ids[:, 0].astype(np.int64)
+        kinds, kind = np.unique(ids[:, 1].astype(np.int64) * (UNITS + 1) + ids[:, 2], return_inverse=True)
+        shapes, marks = np.divmod(kinds, UNITS + 1)
+        each = self.vectors[shapes] + self.vectors[marks]
+        places = _entries()[letters]
+        many = len(kinds)
+        met, pairs = [], []
+        for away in range(1, AROUND + 1):
+            later, earlier = slice(away, None), slice(None, -away)
+            for own, other in ((later, earlier), (earlier, later)):
+                flat = letters[own, None] * self.wide + places[other]
+                self.letters += np.bincount(flat.ravel(), minlength=len(self.letters))
+                met.append(letters[own] * many + kind[other])
+                pairs.append(kind[own] * many + kind[other])
+        forth, around = _products(met, UNITS + 1, many, self.vectors, each)
+        self.sums += forth
+        around += _products(pairs, many, many, each, each)[0]
+        np.add.at(self.sums, shapes, around)
+        np.add.at(self.sums, marks, around)
+
+    def total(self) -> np.ndarray:
+        counted = self.letters.reshape(UNITS + 1, self.wide)[:, : 2 * WIDTH]
+        return self.sums + counted[:, ::2] - counted[:, 1::2]
+
 
+def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sums of index vectors around each unit, as rows (unit, vector)."""
+    found = Contexts()
     for batch in batches:
         texts, many = [], 0
         for text in batch.column("text"):
             texts.append((text.as_py() or "").split())
             many += len(texts[-1])
             if many >= _AT_ONCE:
-                add(texts)
+                found.add(texts)
                 texts, many = [], 0
-        add(texts)
+        found.add(texts)
+    sums = found.total()
     there = np.flatnonzero(sums[:UNITS].any(axis=1))
     for part in np.array_split(there, len(there) // 1000 + 1):
         yield pa.RecordBatch.from_arrays(
@@ -146,8 +249,8 @@ def features(text: "str | None", vectors: np.ndarray) -> np.ndarray:
     out = np.zeros(WIDTH + FIGURES, dtype=np.float32)
     if not words:
         return out
-    of, counts = units(), Counter(words)
-    ids = np.array([of(w) for w in counts])
+    counts = Counter(words)
+    ids = units().of_all(counts)
     share = np.fromiter(counts.values(), dtype=np.float32, count=len(counts)) / len(words)
     out[:WIDTH] = sum(share @ vectors[column] for column in ids.T)
     same = sum(map(str.__eq__, words, words[1:])) / len(words)
@@ -241,7 +344,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000):
         .limit(sample)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.dropDuplicates(["doc_id"])
+    # of several texts of a doc_id the least by hash, however the rows are dealt out
+    told = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), told.alias("told"))
+    rows = rows.select("doc_id", "quality", "told.text")
     vectors = word_vectors(docs)
 
     def pooled(batches):

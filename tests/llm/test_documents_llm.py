@@ -375,3 +375,66 @@ def test_pipeline_stages(spark, small, tmp_path):
         docs = spark.read.parquet(str(tmp_path / str(number)))
         assert docs.count()
     assert corpus_pipeline.run(spark, SMALL).count() == docs.count()
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    """Also where several texts have one doc_id."""
+    rows = [(i // 3, f"{prose(i, 40)} {i} !!", 1 if i % 2 else 0) for i in range(240)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id BIGINT, text STRING")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id BIGINT, quality INT")
+    found = [
+        sorted((r.doc_id, r.score) for r in quality.judged(docs.repartition(n, "text"), labels).collect())
+        for n in (3, 7)
+    ]
+    assert found[0] == found[1]
+
+
+def test_contexts_equal_plain_loops():
+    """Sums around each unit, over texts whose words hold letters, marks and both."""
+    texts = [r[1] for r in document_rows() if r[1] and len(r[1]) < 5000][:10] + ["a B! c-d ## B! é9é", "x", ""]
+    vectors, want = quality.index_vectors(), collections.defaultdict(lambda: np.zeros(quality.WIDTH, dtype=int))
+    for text in texts:
+        words = text.split()
+        ids = [quality._units_of(w) for w in words]
+        for i, own in enumerate(ids):
+            for j in range(max(0, i - quality.AROUND), min(len(ids), i + quality.AROUND + 1)):
+                for unit in own if i != j else ():
+                    want[unit] = want[unit] + vectors[list(ids[j])].sum(axis=0, dtype=int)
+    found = quality.Contexts()
+    for n in range(0, len(texts), 4):  # several rounds add up
+        found.add([t.split() for t in texts[n : n + 4]])
+    total = found.total()
+    for unit in range(quality.UNITS):
+        assert np.array_equal(total[unit], want[unit] if unit in want else np.zeros(quality.WIDTH))
+
+
+def test_products_of_counts():
+    keys = [np.array([0, 5, 5, 7]), np.array([2])]
+    left, right = np.arange(8.0).reshape(4, 2), np.arange(6.0).reshape(2, 3)
+    counts = np.bincount(np.concatenate(keys), minlength=8).reshape(4, 2)
+    forth, back = quality._products(keys, 4, 2, left, right)
+    assert np.array_equal(forth, counts @ right) and np.array_equal(back, counts.T @ left)
+    # too many columns to hold a matrix: the same rows, and columns that do not occur are zero
+    wide = 1 << 22
+    spread = [np.array([0, 2 * wide + 1, 2 * wide + 1, 3 * wide + 1]), np.array([wide])]
+    tall = np.concatenate([right, np.zeros((wide - 2, 3))])
+    forth, back = quality._products(spread, 4, wide, left, tall)
+    assert np.array_equal(forth, counts @ right) and np.array_equal(back[:2], counts.T @ left)
+
+
+def test_pooling_and_network_equal_plain_loops():
+    draw = np.random.default_rng(1)
+    vectors = draw.normal(size=(quality.UNITS + 1, quality.WIDTH)).astype(np.float32)
+    net = quality.fit(draw.normal(size=(40, 69)), draw.integers(0, 2, 40), rounds=5)
+    for text in ["One two, two!", "x", "a b a b", *[prose(i, 50) for i in range(7)]]:
+        words = text.split()
+        pooled = sum(vectors[u] for w in words for u in quality._units_of(w)) / len(words)
+        got = quality.features(text, vectors)
+        assert np.allclose(got[: quality.WIDTH], pooled, atol=1e-4)
+        assert got[quality.WIDTH + 1] == pytest.approx(sum(a == b for a, b in zip(words, words[1:])) / len(words))
+        hidden = [
+            np.tanh(sum((got[i] - net.mean[i]) / net.scale[i] * net.first[i, h] for i in range(69)) + net.bias[h])
+            for h in range(len(net.bias))
+        ]
+        logit = (sum(hidden[h] * net.second[h] for h in range(len(hidden))) + net.shift) / net.temperature
+        assert net.probability(got[None])[0] == pytest.approx(1 / (1 + np.exp(-logit)))
