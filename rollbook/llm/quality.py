@@ -277,8 +277,10 @@ class Network:
     temperature: float = 1.0
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        hidden = np.tanh((x - self.mean) / self.scale @ self.first + self.bias)
-        return (hidden @ self.second + self.shift) / self.temperature
+        # row by row, so that a score does not depend on the rows it is computed with
+        seen = np.einsum("ri,ih->rh", (x - self.mean) / self.scale, self.first)
+        hidden = np.tanh(seen + self.bias)
+        return (np.einsum("rh,h->r", hidden, self.second) + self.shift) / self.temperature
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logit(x), -60, 60)))
