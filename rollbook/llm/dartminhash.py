@@ -11,24 +11,29 @@ empty go on to higher ranks.
 
 Bands of the signature are buckets. Equal multisets count as one node beforehand. Every
 node of a bucket is compared, exactly, with the most central node there (whose buckets
-hold the most). Nodes that this leaves apart from a centre they met are compared with
-the few nodes that agree with them in the most bands in a row. Classes are the connected
-components of the links found. The number of comparisons follows the number of nodes,
-not the square of a group.
+hold the most), which links groups of near copies. Where a bucket still holds nodes of
+several components, an exact join finds the rest: of the units of a multiset, in an order
+from rare to common, a pair of 0.8 or more must share one of the first fifth of the longer
+and of the first ninth of the shorter. Units that stand in one component only come first
+and join nothing, so groups that are linked, and crowds of texts on one template that are
+less alike, name no candidates. Classes are the connected components of the links found.
 
 Defined results: texts of one to four words are one shingle; texts without words (null
 too) have no shingles and are equal to each other; a class is named by its least doc_id,
 and by null if it has none; equal rows are in one class. No other column is read.
 """
 
+from __future__ import annotations
+
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.llm.components import components
@@ -39,24 +44,18 @@ WORDS, SIMILAR = 5, 0.8
 #: A pair at 0.8 shares one of 26 bands of 5 coordinates with probability 0.99997.
 BANDS, PER_BAND = 26, 5
 COORDINATES = BANDS * PER_BAND
-#: A finer bucket is one of so many bands in a row; up to FEW nodes of it all meet.
-DEPTHS, FEW = (1, 2, 3, 4, 6, 8, 12, 18), 12
 _BLANKS = {ord(c): " " for c in "\t\n\x0b\x0c\r"}
-_MOST_KNOWN = 300_000
+_MOST_KNOWN = 500_000
 _known: dict[str, int] = {}
 
 
 def _hashes(words: list[str]) -> np.ndarray:
     """64-bit hashes; those of frequent words are kept in the process."""
-    try:
-        return np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
-    except KeyError:
-        pass
-    if len(_known) > _MOST_KNOWN:
+    new = list(itertools.filterfalse(_known.__contains__, set(words)))
+    if len(_known) + len(new) > _MOST_KNOWN:
         _known.clear()
-    for word in words:
-        if word not in _known:
-            _known[word] = xxhash.xxh64_intdigest(word)
+        new = list(set(words))
+    _known.update(zip(new, map(xxhash.xxh64_intdigest, new)))
     return np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
@@ -117,11 +116,11 @@ def _thrown(sets: list, k: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
         dart = _mixed(draw + np.uint64(0xD1B54A32D192ED03))
         darts.append((owner * k + (dart % np.uint64(k)).astype(np.int64), rank, dart))
     cell, rank, dart = (np.concatenate(x) for x in zip(*darts, strict=True))
-    order = np.lexsort((rank, cell))
-    cell, dart = cell[order], dart[order]
-    earliest = np.flatnonzero(np.diff(cell, prepend=-1))
-    out, there = np.zeros(len(sets) * k, np.uint64), np.zeros(len(sets) * k, bool)
-    out[cell[earliest]], there[cell[earliest]] = dart[earliest], True
+    first = np.full(len(sets) * k, np.inf)
+    np.minimum.at(first, cell, rank)
+    earliest = np.flatnonzero(rank == first[cell])[::-1]  # of equal ranks the first one stays
+    out, there = np.zeros(len(sets) * k, np.uint64), np.isfinite(first)
+    out[cell[earliest]] = dart[earliest]
     return out.reshape(-1, k), ~there.reshape(-1, k).all(axis=1)
 
 
@@ -168,33 +167,71 @@ def _similarities(one: pd.Series, other: pd.Series) -> pd.Series:
     return pd.Series([similarity(of(a), of(b)) for a, b in zip(one, other, strict=True)], dtype=float)
 
 
-def _closest(nodes: DataFrame, component: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs for the nodes that share a bucket with a centre of another component.
-
-    Bands in a row make finer buckets. Starting at each band, a node goes as deep as it
-    takes to be among FEW or less, and meets all of those: the ones most like it, and at
-    most FEW for each start, however large a group of near copies is.
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The units of each text's multiset: an element of weight c is c units."""
+    names = ["node", "component", "size", "unit"]
+    for whole in batches:
+        for at in range(0, len(whole), 100):
+            batch = whole.slice(at, 100)
+            made = []
+            for text in batch.column("text"):
+                elements, counts = shingles(text.as_py())
+                first = np.repeat(np.cumsum(counts) - counts, counts)
+                nth = (np.arange(len(first)) - first).astype(np.uint64)
+                made.append(_mixed(np.repeat(elements, counts) + nth).view(np.int64))
+            sizes = np.array([len(units) for units in made])
+            owner = np.repeat(np.arange(len(made)), sizes)
+            named = batch.select(["node", "component"]).take(pa.array(owner))
+            columns = (pa.array(sizes[owner]), pa.array(np.concatenate(made)))
+            yield pa.RecordBatch.from_arrays([*named.columns, *columns], names=names)
+
+
+def _first(share: float) -> Column:
+    """So many units of a node that two nodes that share no less than ``share`` of its units
+    have one of these in common."""
+    return F.col("size") - F.ceil(share * F.col("size") - 1e-9) + 1
+
+
+def _apart(component: DataFrame, met: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of nodes of unlike components that may be similar: all that are, and few more.
+
+    Only nodes of a bucket that holds several components take part. Of a pair at least one
+    is not of the component that a unit's nodes are mostly of, so these ask and all answer,
+    and the nodes of a large component do not meet each other.
     """
-    theirs = component.select(F.col("node").alias("centre"), F.col("component").alias("other"))
-    apart = tried.join(component, "node").join(theirs, "centre").filter("component <> other")
-    restless = stage(apart.select("node").distinct(), "restless")
-    around = nodes.join(component, "node").select("node", "component", "buckets")
-    start = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    ring = F.concat("buckets", "buckets")
-    levels = [F.xxhash64(F.slice(ring, F.col("start") + 1, depth)) for depth in DEPTHS]
-    deep = around.withColumn("start", start).select(
-        "node", "component", "start", F.posexplode(F.array(*levels)).alias("level", "key")
+    placed = met.select("node", "bucket").join(component, "node")
+    sides = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = sides.filter("low < high").select("bucket")
+    crowd = placed.join(mixed, "bucket").select("node", "component").distinct()
+    crowd = stage(crowd, "crowd", plain=True)
+    units = texts.join(crowd, "node").select("node", "component", "text")
+    units = stage(units.mapInArrow(_units, "node bigint, component bigint, size bigint, unit bigint"), "units")
+
+    spread = units.groupBy("unit").agg(
+        F.count("*").alias("many"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    joining = units.join(spread.filter("low < high").select("unit", "many"), "unit")
+    own = Window.partitionBy("node")
+    at = F.row_number().over(own.orderBy("many", "unit")) + F.col("size") - F.count("*").over(own)
+    # a pair shares 2 * 0.8 / 1.8 of the shorter at least
+    postings = joining.withColumn("at", at).filter(F.col("at") <= _first(SIMILAR))
+    short = F.col("at") <= _first(2 * SIMILAR / (1 + SIMILAR))
+    postings = stage(postings.select("unit", "node", "component", "size", short.alias("short")), "postings")
+
+    counts = postings.groupBy("unit", "component").agg(F.count("*").alias("many"))
+    most = counts.groupBy("unit").agg(F.max(F.struct("many", "component")).alias("most"))
+    asking = postings.join(most, "unit").filter("component <> most.component")
+    asking = asking.select(
+        "unit", *[F.col(c).alias(f"a_{c}") for c in ("node", "component", "size", "short")]
     )
-    deep = stage(deep, "deep")
-    sizes = deep.groupBy("level", "key").agg(F.count("*").alias("many")).filter("many > 1")
-    sized = deep.join(sizes, ["level", "key"])
-    fine = sized.filter(F.col("many") <= FEW).groupBy("node", "start").agg(F.min("level").alias("level"))
-    mine = fine.join(restless, "node").join(deep, ["node", "start", "level"])
-    met = deep.select(
-        "level", "key", F.col("node").alias("centre"), F.col("component").alias("other")
+    early = F.when(F.col("size") < F.col("a_size"), F.col("short"))
+    early = early.when(F.col("size") > F.col("a_size"), F.col("a_short"))
+    alike = F.least("size", "a_size") >= SIMILAR * F.greatest("size", "a_size") - 1e-9
+    pairs = postings.join(asking, "unit").filter("component <> a_component")
+    pairs = pairs.filter(alike & early.otherwise(F.col("short") | F.col("a_short"))).select(
+        F.least("node", "a_node").alias("node"), F.greatest("node", "a_node").alias("centre")
     )
-    pairs = mine.join(met, ["level", "key"]).filter("component <> other")
-    return stage(pairs.select("node", "centre").distinct(), "closest")
+    return stage(pairs.distinct(), "candidates")
 
 
 def grouped(docs: DataFrame, stored: bool = False) -> DataFrame:
@@ -218,9 +255,9 @@ def grouped(docs: DataFrame, stored: bool = False) -> DataFrame:
     placed = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1")
     met = stage(placed.join(shared, "bucket"), "met")
-    central = stage(met.groupBy("node").agg(F.sum("many").alias("weight")), "central")
+    central = stage(met.groupBy("node").agg(F.sum("many").alias("weight")), "central", sized=True)
     needed = nodes.join(central, "node").select("node", *ROW)
-    texts = stage(rows.join(needed, ROW).select("node", "text"), "texts")
+    texts = stage(rows.join(needed, ROW).select("node", "text"), "texts", sized=True)
     similar = F.pandas_udf(_similarities, "double")
     theirs = texts.select(F.col("node").alias("centre"), F.col("text").alias("centre_text"))
 
@@ -235,7 +272,7 @@ def grouped(docs: DataFrame, stored: bool = False) -> DataFrame:
     tried = stage(met.select("node", "bucket").join(best, "bucket").filter("node <> centre"), "tried")
     links = linked(tried.select("node", "centre").distinct())
     first = stage(components(central.select("node"), links), "first")
-    links = links.union(linked(_closest(nodes, first, tried)))
+    links = links.union(linked(_apart(first, met, texts)))
     component = components(nodes.select("node"), links)
     by_digest = nodes.join(component, "node").select("digest", "digest_too", "component")
     return signed.join(by_digest, ["digest", "digest_too"]).select(*ROW, "doc_id", "component")
@@ -246,7 +283,7 @@ def classes(docs: DataFrame, stored: bool = False) -> DataFrame:
     rows = stage(grouped(docs, stored), "grouped")
     # staged, so that a large class can be split where it is joined
     least = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    least = stage(least, "least")
+    least = stage(least, "least", sized=True)
     return rows.join(least, "component").select("doc_id", "class_id")
 
 

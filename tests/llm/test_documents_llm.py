@@ -209,6 +209,46 @@ def test_classes_are_those_of_all_pairs(spark, small):
     assert got == brute_classes(rows)
 
 
+def test_a_crowd_on_one_template(spark):
+    """3,000 texts of 0.6 to 0.75 to each other, among them pairs of 0.8 and more: none is lost."""
+    draw = random.Random(12)
+    base = prose(30, 400).split()
+
+    def changed(words, count):
+        words = list(words)
+        for at in draw.sample(range(0, len(words) - 6, 6), count):
+            words[at] = f"w{draw.randrange(10**9)}"
+        return words
+
+    rows = [changed(base, draw.randint(12, 16)) for _ in range(2900)]
+    rows += [changed(rows[draw.randrange(2900)], draw.randint(5, 12)) for _ in range(100)]
+    sets = [dict(zip(*(x.tolist() for x in dartminhash.shingles(" ".join(r))), strict=True)) for r in rows]
+    assert all(set(s.values()) <= {1} for s in sets)  # plain sets, so overlaps are a product
+    seen = collections.Counter(e for s in sets for e in s)
+    column = {e: n for n, e in enumerate(e for e, c in seen.items() if c > 1)}
+    there = np.zeros((len(sets), len(column)), dtype=np.float32)
+    for n, s in enumerate(sets):
+        there[n, [column[e] for e in s if e in column]] = 1
+    both, size = there @ there.T, np.array([len(s) for s in sets])
+    alike = both / (size[:, None] + size[None, :] - both) >= 0.8
+    parent = list(range(len(sets)))
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in np.argwhere(np.triu(alike, 1)).tolist():
+        parent[root(a)] = root(b)
+    least: dict[int, int] = {}
+    for n in range(len(sets)):
+        least[root(n)] = min(n, least.get(root(n), n))
+    frame = spark.createDataFrame([(n, " ".join(r)) for n, r in enumerate(rows)], "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r.class_id for r in dartminhash.classes(frame).collect()}
+    assert got == {n: least[root(n)] for n in range(len(sets))}
+    assert 2850 < len(set(got.values())) < 2960
+
+
 def test_near_duplicate_edges(edges, nothing):
     got = dartminhash.classes(edges, stored=True).collect()
     by_id = {r.doc_id: r.class_id for r in got}
