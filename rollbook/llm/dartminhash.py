@@ -12,11 +12,11 @@ empty go on to higher ranks.
 Bands of the signature are buckets. Equal multisets count as one node beforehand. Every
 node of a bucket is compared, exactly, with the most central node there (whose buckets
 hold the most), which links groups of near copies. Where a bucket still holds nodes of
-several components, an exact join finds the rest: of the units of a multiset, in an order
-from rare to common, a pair of 0.8 or more must share one of the first fifth of the longer
-and of the first ninth of the shorter. Units that stand in one component only come first
-and join nothing, so groups that are linked, and crowds of texts on one template that are
-less alike, name no candidates. Classes are the connected components of the links found.
+several components, its nodes meet block by block: those of other components than most
+against all, by the units of their multisets, and only links leave a block. Nodes that can
+have no link to another component are left out before: in an order of units from rare to
+common, with those that stand in one component first, a pair of 0.8 or more shares one of
+the first fifth. Classes are the connected components of the links found.
 
 Defined results: texts of one to four words are one shingle; texts without words (null
 too) have no shingles and are equal to each other; a class is named by its least doc_id,
@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.components import components
@@ -44,6 +44,8 @@ WORDS, SIMILAR = 5, 0.8
 #: A pair at 0.8 shares one of 26 bands of 5 coordinates with probability 0.99997.
 BANDS, PER_BAND = 26, 5
 COORDINATES = BANDS * PER_BAND
+#: Nodes of a bucket that are compared at a time.
+BLOCK_ROWS, BLOCK_ASKS = 512, 128
 _BLANKS = {ord(c): " " for c in "\t\n\x0b\x0c\r"}
 _MOST_KNOWN = 500_000
 _known: dict[str, int] = {}
@@ -169,7 +171,6 @@ def _similarities(one: pd.Series, other: pd.Series) -> pd.Series:
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The units of each text's multiset: an element of weight c is c units."""
-    names = ["node", "component", "size", "unit"]
     for whole in batches:
         for at in range(0, len(whole), 100):
             batch = whole.slice(at, 100)
@@ -179,59 +180,90 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first = np.repeat(np.cumsum(counts) - counts, counts)
                 nth = (np.arange(len(first)) - first).astype(np.uint64)
                 made.append(_mixed(np.repeat(elements, counts) + nth).view(np.int64))
-            sizes = np.array([len(units) for units in made])
-            owner = np.repeat(np.arange(len(made)), sizes)
-            named = batch.select(["node", "component"]).take(pa.array(owner))
-            columns = (pa.array(sizes[owner]), pa.array(np.concatenate(made)))
-            yield pa.RecordBatch.from_arrays([*named.columns, *columns], names=names)
-
-
-def _first(share: float) -> Column:
-    """So many units of a node that two nodes that share no less than ``share`` of its units
-    have one of these in common."""
-    return F.col("size") - F.ceil(share * F.col("size") - 1e-9) + 1
+            arrays = [*batch.select(["node", "component"]).columns, pa.array(made, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "component", "units"])
+
+
+def _links(table: pa.Table) -> pa.Table:
+    """Of the nodes that ask and those that answer: the pairs of SIMILAR or more."""
+    asks = table.column("asks").to_numpy()
+    node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+    units = table.column("units").combine_chunks()
+    sizes = units.value_lengths().to_numpy()
+    each, code = np.unique(units.flatten().to_numpy(), return_inverse=True)
+    ends = np.cumsum(sizes)
+    rows = np.flatnonzero(~asks)
+    filed = np.concatenate([code[:0], *[code[ends[r] - sizes[r] : ends[r]] for r in rows]])
+    first = np.cumsum(sizes[rows]) - sizes[rows]
+    found: list[tuple[int, int]] = []
+    for ask in np.flatnonzero(asks) if len(rows) else ():
+        own = np.zeros(len(each), dtype=np.int64)
+        own[code[ends[ask] - sizes[ask] : ends[ask]]] = 1
+        both = np.add.reduceat(own[filed], first)
+        enough = both >= SIMILAR * (sizes[rows] + sizes[ask] - both) - 1e-9
+        enough &= component[rows] != component[ask]
+        found += [(node[r], node[ask]) for r in rows[enough]]
+    columns = zip(*found, strict=True) if found else ((), ())
+    return pa.table([pa.array([*c], pa.int64()) for c in columns], names=["node", "centre"])
 
 
 def _apart(component: DataFrame, met: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of nodes of unlike components that may be similar: all that are, and few more.
-
-    Only nodes of a bucket that holds several components take part. Of a pair at least one
-    is not of the component that a unit's nodes are mostly of, so these ask and all answer,
-    and the nodes of a large component do not meet each other.
-    """
+    """All links between nodes of unlike components that share a bucket."""
     placed = met.select("node", "bucket").join(component, "node")
     sides = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = sides.filter("low < high").select("bucket")
-    crowd = placed.join(mixed, "bucket").select("node", "component").distinct()
-    crowd = stage(crowd, "crowd", plain=True)
-    units = texts.join(crowd, "node").select("node", "component", "text")
-    units = stage(units.mapInArrow(_units, "node bigint, component bigint, size bigint, unit bigint"), "units")
-
-    spread = units.groupBy("unit").agg(
-        F.count("*").alias("many"), F.min("component").alias("low"), F.max("component").alias("high")
+    crowd = stage(placed.join(mixed, "bucket"), "crowd", plain=True)
+    units = texts.join(crowd.select("node", "component").distinct(), "node")
+    units = units.select("node", "component", "text").mapInArrow(
+        _units, "node bigint, component bigint, units array<bigint>"
+    )
+    units = stage(units, "units", sized=True)
+
+    single = units.select("node", "component", F.size("units").alias("size"), F.explode("units").alias("unit"))
+    spread = single.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    joint = single.join(spread.filter("low < high").select("unit"), "unit")
+    counts = joint.groupBy("node", "size").agg(F.count("*").alias("joint"))
+    able = counts.filter(F.col("joint") >= F.ceil(SIMILAR * F.col("size") - 1e-9))
+    able = stage(able.select("node"), "able", plain=True)
+
+    there = crowd.join(able, "node")
+    sizes = there.groupBy("bucket", "component").agg(F.count("*").alias("many"))
+    shape = sizes.groupBy("bucket").agg(
+        F.max(F.struct("many", "component")).alias("most"), F.sum("many").alias("rows")
     )
-    joining = units.join(spread.filter("low < high").select("unit", "many"), "unit")
-    own = Window.partitionBy("node")
-    at = F.row_number().over(own.orderBy("many", "unit")) + F.col("size") - F.count("*").over(own)
-    # a pair shares 2 * 0.8 / 1.8 of the shorter at least
-    postings = joining.withColumn("at", at).filter(F.col("at") <= _first(SIMILAR))
-    short = F.col("at") <= _first(2 * SIMILAR / (1 + SIMILAR))
-    postings = stage(postings.select("unit", "node", "component", "size", short.alias("short")), "postings")
-
-    counts = postings.groupBy("unit", "component").agg(F.count("*").alias("many"))
-    most = counts.groupBy("unit").agg(F.max(F.struct("many", "component")).alias("most"))
-    asking = postings.join(most, "unit").filter("component <> most.component")
-    asking = asking.select(
-        "unit", *[F.col(c).alias(f"a_{c}") for c in ("node", "component", "size", "short")]
+    shape = shape.select(
+        "bucket",
+        F.col("most.component").alias("most"),
+        F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("row_blocks"),
+        F.ceil((F.col("rows") - F.col("most.many")) / BLOCK_ASKS).cast("int").alias("ask_blocks"),
+    )
+    shape = stage(shape.filter("ask_blocks > 0"), "shape", plain=True)
+    dealt = there.join(shape, "bucket").withColumn("spread", F.xxhash64("node", "bucket"))
+
+    def block(count: str) -> Column:
+        return F.pmod(F.col("spread"), F.col(count)).cast("int")
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    answers = dealt.select(
+        "bucket",
+        "node",
+        F.lit(False).alias("asks"),
+        block("row_blocks").alias("row_block"),
+        every("ask_blocks").alias("ask_block"),
     )
-    early = F.when(F.col("size") < F.col("a_size"), F.col("short"))
-    early = early.when(F.col("size") > F.col("a_size"), F.col("a_short"))
-    alike = F.least("size", "a_size") >= SIMILAR * F.greatest("size", "a_size") - 1e-9
-    pairs = postings.join(asking, "unit").filter("component <> a_component")
-    pairs = pairs.filter(alike & early.otherwise(F.col("short") | F.col("a_short"))).select(
-        F.least("node", "a_node").alias("node"), F.greatest("node", "a_node").alias("centre")
+    questions = dealt.filter("component <> most").select(
+        "bucket",
+        "node",
+        F.lit(True).alias("asks"),
+        every("row_blocks").alias("row_block"),
+        block("ask_blocks").alias("ask_block"),
     )
-    return stage(pairs.distinct(), "candidates")
+    meeting = answers.unionByName(questions).join(units, "node")
+    meeting = meeting.groupBy("bucket", "row_block", "ask_block")
+    links = meeting.applyInArrow(_links, "node bigint, centre bigint")
+    return stage(links.distinct(), "found")
 
 
 def grouped(docs: DataFrame, stored: bool = False) -> DataFrame:
@@ -272,7 +304,7 @@ def grouped(docs: DataFrame, stored: bool = False) -> DataFrame:
     tried = stage(met.select("node", "bucket").join(best, "bucket").filter("node <> centre"), "tried")
     links = linked(tried.select("node", "centre").distinct())
     first = stage(components(central.select("node"), links), "first")
-    links = links.union(linked(_apart(first, met, texts)))
+    links = links.union(_apart(first, met, texts))
     component = components(nodes.select("node"), links)
     by_digest = nodes.join(component, "node").select("digest", "digest_too", "component")
     return signed.join(by_digest, ["digest", "digest_too"]).select(*ROW, "doc_id", "component")
