@@ -36,7 +36,7 @@ TABLES = 6
 FILL, REACH = 4, 4  # vectors a bucket holds on average; probes for the root of all buckets
 MOST_PARTS = 4
 CELL = 1024  # buckets
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 256
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 4096
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
