@@ -478,3 +478,22 @@ def test_pooling_and_network_equal_plain_loops():
         ]
         logit = (sum(hidden[h] * net.second[h] for h in range(len(hidden))) + net.shift) / net.temperature
         assert net.probability(got[None])[0] == pytest.approx(1 / (1 + np.exp(-logit)))
+
+
+@pytest.mark.parametrize("rows", [None, []], ids=["edges", "empty"])
+def test_pipeline_on_edge_cases(spark, tmp_path, rows):
+    """Every stage takes nulls, repeated rows, long texts, extra columns and empty tables."""
+    documents(spark, rows).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 13)], "doc_id BIGINT, quality INT, toxic INT")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    known = {r[0] for r in (document_rows() if rows is None else rows)}
+    assert {r.doc_id for r in got} <= known
+    filled = collections.Counter()
+    for r in got:
+        assert 0 < r.length <= 2048 and 0 <= r.offset <= 2048 - r.length
+        filled[r.sequence_id] += r.length
+    for sequence, length in filled.items():
+        assert length <= 2048
+        ends = sorted((r.offset, r.length) for r in got if r.sequence_id == sequence)
+        assert [o for o, _ in ends] == [sum(n for _, n in ends[:i]) for i in range(len(ends))]
