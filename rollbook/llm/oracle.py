@@ -110,18 +110,31 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(SUM(GREATEST(0, LEAST(start + size, reach) - start)) AS BIGINT) AS taken
 FROM placed GROUP BY row, doc_id, size, source_size, target"""
 
-_REVISITS = """WITH parts AS (
-  SELECT *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^#]*)', 1) AS rest FROM pages WHERE page_id IS NOT NULL),
+# a url by the rules of http: scheme, authority, path, query, each cut where the next begins
+_REVISITS = """WITH trimmed AS (
+  SELECT page_id, html, regexp_replace(translate(url, concat(chr(9), chr(10), chr(13)), ''),
+    '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') AS url FROM pages WHERE page_id IS NOT NULL),
+schemed AS (
+  SELECT *, strpos(url, '://') AS colon, split_part(url, '#', 1) AS whole FROM trimmed),
+parts AS (
+  SELECT *, regexp_full_match(left(url, colon - 1), '[A-Za-z][A-Za-z0-9+.-]*') AS proper,
+    lower(left(url, colon - 1)) AS scheme, split_part(substr(whole, colon + 3), '?', 1) AS place,
+    substr(whole, colon + 3) AS rest FROM schemed),
+hosted AS (
+  SELECT *, lower(split_part(place, '/', 1)) AS authority, substr(place, length(split_part(place, '/', 1)) + 1) AS path,
+    CASE WHEN strpos(rest, '?') > 0 THEN substr(rest, strpos(rest, '?') + 1) ELSE '' END AS asked FROM parts),
 keyed AS (
-  SELECT *, list_sort([p for p in string_split(regexp_extract(rest, '\\?(.*)$', 1), '&')
-    if p <> '' AND NOT regexp_matches(p, '^(?:utm_[^=&]*|ref|fbclid|gclid)(?:=|$)')]) AS query FROM parts),
+  SELECT *, CASE WHEN scheme = 'http' AND ends_with(authority, ':80') THEN left(authority, -3)
+      WHEN scheme = 'https' AND ends_with(authority, ':443') THEN left(authority, -4) ELSE authority END AS served,
+    list_sort([p for p in string_split(asked, '&')
+      if p <> '' AND NOT regexp_matches(p, '^(?:utm_[^=&]*|ref|fbclid|gclid)(?:=|$)')]) AS query FROM hosted),
+named AS (
+  SELECT *, CASE WHEN starts_with(served, 'www.') THEN substr(served, 5) ELSE served END AS host FROM keyed),
 visits AS (
   SELECT page_id, html, page_id * 977 % 8640000 AS ts,
-    CASE WHEN strpos(url, '://') > 0 THEN CONCAT(
-      regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\\.', ''), ':(80|443)$', ''),
-      regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', ''),
+    CASE WHEN colon > 1 AND proper AND host <> '' THEN CONCAT(host, rtrim(path, '/'),
       CASE WHEN len(query) > 0 THEN CONCAT('?', array_to_string(query, '&')) ELSE '' END) END AS url_key,
-    CONCAT('"', substr(md5(html), 1, 12), '"') AS etag, page_id // 100 AS day FROM keyed),
+    CONCAT('"', substr(md5(html), 1, 12), '"') AS etag, page_id // 100 AS day FROM named),
 revisits AS (
   SELECT page_id, url_key, page_id * 2 + 1 AS capture_id, day,
     CASE WHEN page_id % 7 = 3 THEN ts - 500 ELSE ts + 86400 * (page_id % 4) END AS ts,

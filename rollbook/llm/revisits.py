@@ -6,11 +6,13 @@ validators it carries must agree with that response: an etag by weak comparison,
 last-modified date. Headers of a not-modified response that may renew a stored one
 replace its headers of that name; all others stay as stored.
 
-The latest earlier response is found in two steps, so a url may have any share of the
-captures: within a stretch of time by a window, and from earlier stretches by the last
-response of each, of which there is a row per url and stretch.
+The latest earlier response is found in steps, so a url may have any share of the
+captures: captures of one second are aggregated, seconds of a stretch of time that have a
+capture are put in order by a window, of at most STRETCH rows, and from earlier stretches
+comes the last response of each, of which there is a row per url and stretch.
 
-Defined results: captures without url or time are resolved to nothing (``no_response``);
+Defined results: captures without time, or whose url is null, does not begin with a scheme
+or has no host, are resolved to nothing (``no_response``);
 a response at the very time of a revisit counts as earlier; of several responses at one
 time the largest capture_id counts; a null body is a response all the same; null headers
 are none. Equal rows are captures of their own, each told by its place (ROW): captures
@@ -35,18 +37,28 @@ STRETCH = 86_400
 def canonical(url: Column) -> Column:
     """A url without scheme, www, default port, fragment, tracking and trailing slash.
 
-    Host in lower case, parameters in order; null without ``://``.
+    Blanks and control characters around a url and line ends and tabs within are no part
+    of it. Host in lower case, parameters in order; null for what does not begin with a
+    scheme and ``://`` or has no host.
     """
-    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^#]*)", 1)
+    url = F.regexp_replace(url, r"[\t\n\r]+|^[\x00-\x20]+|[\x00-\x20]+$", "")
+    begins = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    rest = F.regexp_extract(url, begins + "([^#]*)", 1)
     host = F.lower(F.regexp_extract(rest, r"^([^/?]*)", 1))
-    host = F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), r":(80|443)$", "")
+    host = (
+        F.when(scheme == "http", F.regexp_replace(host, ":80$", ""))
+        .when(scheme == "https", F.regexp_replace(host, ":443$", ""))
+        .otherwise(host)
+    )
+    host = F.regexp_replace(host, r"^www\.", "")
     path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), r"/+$", "")
     asked = F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&")
     kept = F.array_sort(
         F.filter(asked, lambda p: (p != "") & ~p.rlike(f"^(?:{TRACKING})(?:=|$)"))
     )
     query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    return F.when(F.locate("://", url) > 0, F.concat(host, path, query))
+    return F.when((scheme != "") & (host != ""), F.concat(host, path, query))
 
 
 def resolve(captures: DataFrame, stretch: int = STRETCH, placed: bool = False) -> DataFrame:
@@ -75,25 +87,30 @@ def resolve(captures: DataFrame, stretch: int = STRETCH, placed: bool = False) -
     key = stage(rows, "captures")
     own = F.when(F.col("full"), F.struct("at", "capture_id", *ROW))
     timed = key.filter("url_key IS NOT NULL AND at IS NOT NULL")
-    order = Window.partitionBy("url_key", "stretch").orderBy(
-        "at", F.col("full").desc(), "capture_id", *ROW
-    )
+    # one row per url and second: its best response, or the latest of the stretch before it
+    seconds = timed.groupBy("url_key", "stretch", "at").agg(F.max(own).alias("_own"))
+    order = Window.partitionBy("url_key", "stretch").orderBy("at")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = timed.withColumn("_near", F.last(own, ignorenulls=True).over(upto))
+    near = seconds.withColumn("_near", F.last("_own", ignorenulls=True).over(upto))
     # the last response of each stretch, carried over to later stretches of the url
-    lasts = timed.groupBy("url_key", "stretch").agg(F.max(own).alias("_last"))
+    lasts = seconds.groupBy("url_key", "stretch").agg(F.max("_own").alias("_last"))
     past = Window.partitionBy("url_key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = lasts.select(
         F.col("url_key").alias("_key"),
         F.col("stretch").alias("_stretch"),
         F.last("_last", ignorenulls=True).over(past).alias("_far"),
     )
-    asked = near.filter("NOT full").join(
+    known = near.join(
         carried, (F.col("url_key") == F.col("_key")) & (F.col("stretch") == F.col("_stretch"))
+    ).select(
+        "_key", F.col("at").alias("_at"), F.coalesce("_near", "_far").alias("_found")
+    )
+    asked = timed.filter("NOT full").join(
+        known, (F.col("url_key") == F.col("_key")) & (F.col("at") == F.col("_at"))
     )
     # the columns go along: no capture_id has to tell a revisit from others
     told = ["capture_id", "url_key", "at", "etag", "modified", "fresh"]
-    found = asked.select(*told, F.coalesce("_near", "_far").alias("_found"))
+    found = asked.select(*told, "_found")
     untimed = key.filter("NOT full AND (url_key IS NULL OR at IS NULL)").select(*told)
     revisits = found.unionByName(untimed, allowMissingColumns=True).select(
         *told,

@@ -283,6 +283,52 @@ def test_repeated_and_missing_capture_ids(spark):
     assert revisits.resolve(revisits.captures_of(frame), placed=True).count() == 3
 
 
+def test_malformed_urls_share_no_key(spark):
+    urls = {
+        " http://a.com/x": "a.com/x",
+        "\thttp://b.org/\ny ": "b.org/y",
+        "1x://c.net/z": None,
+        "://d.net/z": None,
+        "d.net/?u=http://e.com/": None,
+        "http:///x": None,
+        "http://:80/x": None,
+        "http://www.f.com:80/": "f.com",
+        "https://f.com:80/": "f.com:80",
+        "HTTPS://F.com:443?b&a#c?d": "f.com?a&b",
+        "": None,
+        None: None,
+    }
+    rows = []
+    for n, url in enumerate(urls):
+        rows += [(2 * n, url, 1, 200, None, None, f"body {n}", None, 0)]
+        rows += [(2 * n + 1, url, 2, 304, None, None, None, None, 0)]
+    kind = (
+        "capture_id INT, url STRING, at BIGINT, status INT, etag STRING, modified STRING,"
+        " body STRING, headers MAP<STRING, STRING>, seconds INT"
+    )
+    got = {r.capture_id: r for r in revisits.resolve(spark.createDataFrame(rows, kind)).collect()}
+    for n, key in enumerate(urls.values()):
+        r = got[2 * n + 1]
+        assert (r.url_key, r.body) == (key, None if key is None else f"body {n}")
+
+
+def test_a_hot_url_within_a_day(spark):
+    draw = random.Random(4)
+    rows = []
+    for n in range(3000):
+        full = draw.random() < 0.3
+        at = draw.randrange(400) * 500
+        rows.append((n, "http://hot.org/", at, 200 if full else 304, None, None, f"b{n}", None))
+    kind = (
+        "capture_id INT, url STRING, at BIGINT, status INT, etag STRING, modified STRING,"
+        " body STRING, headers MAP<STRING, STRING>"
+    )
+    got = {r.capture_id: r.response_id for r in revisits.resolve(spark.createDataFrame(rows, kind)).collect()}
+    full = [(r[2], r[0]) for r in rows if r[3] == 200]
+    want = {r[0]: max((f for f in full if f[0] <= r[2]), default=(0, None))[1] for r in rows if r[3] == 304}
+    assert got == want
+
+
 # ---------------------------------------------------------------- neighbours
 
 
