@@ -119,6 +119,13 @@ def stage(df: DataFrame, name: str, plain: bool = False, sized: bool = False) ->
     return spark.table(table)
 
 
+def forget(staged: DataFrame) -> None:
+    """Drop one staged table, with its files, that nothing is going to read any more."""
+    spark = staged.sparkSession
+    for file in staged.inputFiles()[:1]:
+        spark.sql(f"DROP TABLE IF EXISTS {_database(spark)}.{file.split('/')[-2]}")
+
+
 def release(spark: SparkSession) -> None:
     """Drop what this application has staged, with its files."""
     spark.sql(f"DROP DATABASE IF EXISTS {_database(spark)} CASCADE")

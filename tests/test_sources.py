@@ -11,6 +11,7 @@ from rollbook import operators as op
 from rollbook.school import TABLES, schemas
 from rollbook.sources import read_jdbc, read_school, write_snapshot
 from rollbook.sources.projection import Projection
+from rollbook.sources.staging import forget, stage
 
 
 def test_snapshot_round_trip(spark, school, tmp_path):
@@ -159,3 +160,12 @@ def test_figures_add_up(projected):
     assert status.filter("enrolled <> graded + pending").isEmpty()
     enrolled = op.course_statistics(projected).agg(F.sum("enrolled")).first()[0]
     assert enrolled == projected.sc.count() == status.agg(F.sum("enrolled")).first()[0]
+
+
+def test_a_staged_table_is_dropped_alone(spark):
+    kept, gone = stage(spark.range(5), "kept"), stage(spark.range(3), "gone")
+    name = gone.inputFiles()[0].split("/")[-2]
+    forget(gone)
+    assert kept.count() == 5
+    assert not any(spark.catalog.tableExists(f"{d.name}.{name}") for d in spark.catalog.listDatabases())
+    forget(stage(spark.range(0), "empty"))
