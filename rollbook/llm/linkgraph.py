@@ -3,20 +3,23 @@
 Rules judge urls by host and path. Where none fits, the host's place in the link graph
 does: trust spreads from hosts whose judged pages are all allowed along links, distrust
 from hosts whose pages are all blocked against them, each by personalised PageRank over
-host edges; a host with more distrust than trust is blocked.
+host edges; a host with more distrust than trust is blocked. Rounds go on until what
+they still move is below TOLERANCE, so no length of a chain is built in; a walk at a host
+without links out starts anew at the seeds, which is the same as ranks scaled to sum to 1.
 
 Built-in functions only. Edges are counted per pair of hosts before anything is joined,
 and ranks are sums combined before they are sent, so a hub is no task's load.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path and fits
-no rule; hosts that nothing reaches are allowed; null html has no links; equal rows are
+no rule; hosts that nothing reaches are allowed, as are those whose distrust exceeds their
+trust by TOLERANCE of all at most; null html has no links; equal rows are
 pages of their own.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.sources.staging import stage
+from rollbook.sources.staging import forget, stage
 
 #: Fixed by the contract: verdict, host, path.
 RULES = [
@@ -26,7 +29,12 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-DAMPING, ROUNDS = 0.85, 20
+DAMPING = 0.85
+#: Of all rank, what may be still to come when rounds end, and what a verdict must exceed.
+TOLERANCE = 1e-9
+#: Rounds between two writes to the shared folder, each with a test of convergence.
+STRIDE = 4
+TRUST, DISTRUST = 0, 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""
 
@@ -61,28 +69,45 @@ def links(pages: DataFrame) -> DataFrame:
     return edges.groupBy("source", "target").agg(F.count("*").cast("double").alias("links"))
 
 
-def ranks(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank: host and rank, for (source, target, links) and (host, seed).
+def ranks(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Personalised PageRanks: walk, host and rank, which sums to 1 per walk.
 
-    ``seed`` is a host's share of the restarts; a host without links out ends a walk.
+    ``edges`` has walk, source, target and links, ``seeds`` walk, host and seed, a weight of
+    restarts. Several walks, told by a number, go on together.
     """
-    out = edges.groupBy("source").agg(F.sum("links").alias("all"))
-    shares = edges.join(out, "source").select(
-        F.col("source").alias("host"), "target", (F.col("links") / F.col("all")).alias("share")
+    out = edges.groupBy("walk", "source").agg(F.sum("links").alias("all"))
+    shares = edges.join(out, ["walk", "source"]).select(
+        "walk", F.col("source").alias("host"), "target", (F.col("links") / F.col("all")).alias("share")
     )
-    shares = stage(shares, "shares")
-    start = seeds.select("host", ((1 - DAMPING) * F.col("seed")).alias("rank"))
-    now = start
-    if shares.isEmpty():  # every walk ends where it starts
-        return now
-    for _ in range(rounds):
-        moved = now.join(shares, "host").select(
-            F.col("target").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("rank")
-        )
-        now = stage(
-            start.unionByName(moved).groupBy("host").agg(F.sum("rank").alias("rank")), "ranks"
-        )
-    return now
+    shares = stage(shares, "shares", sized=True)
+    whole = seeds.groupBy("walk").agg(F.sum("seed").alias("all"))
+    start = seeds.join(whole, "walk").select("walk", "host", (F.col("seed") / F.col("all")).alias("rank"))
+    start = stage(start, "seeds", sized=True)
+
+    def masses(rows: DataFrame) -> dict[int, float]:
+        """The sum of each walk, of which there are a few."""
+        return {r["walk"]: r["mass"] for r in rows.groupBy("walk").agg(F.sum("rank").alias("mass")).collect()}
+
+    now, mass = start, masses(start)
+    while True:
+        # a round only adds: what hosts without links out lose is made good by the scaling
+        after = now
+        for _ in range(STRIDE):
+            moved = shares.join(after, ["walk", "host"]).select(
+                "walk", F.col("target").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("rank")
+            )
+            after = start.unionByName(moved).groupBy("walk", "host").agg(F.sum("rank").alias("rank"))
+        before = now
+        now, last = stage(after, "ranks", sized=True), mass
+        if before is not start:
+            forget(before)
+        mass = masses(now)
+        # each stride adds DAMPING ** STRIDE of the one before at most
+        ahead = DAMPING**STRIDE / (1 - DAMPING**STRIDE)
+        if all(ahead * (mass[walk] - last[walk]) <= TOLERANCE * mass[walk] for walk in mass):
+            break
+    summed = now.groupBy("walk").agg(F.sum("rank").alias("all"))
+    return now.join(summed, "walk").select("walk", "host", (F.col("rank") / F.col("all")).alias("rank"))
 
 
 def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -94,29 +119,32 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> Dat
         placed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("_ruled")),
         "judged",
     )
-    edges = stage(links(placed), "edges")
+    edges = stage(links(placed), "edges", sized=True)
     known = judged.filter("host <> ''").groupBy("host").agg(
         F.count("*").alias("pages"),
         F.count_if(F.col("_ruled") == "allow").alias("allowed"),
         F.count_if(F.col("_ruled") == "block").alias("blocked"),
     )
-    known = stage(known, "hosts")
-
-    def seeds(chosen: str, weight: str) -> DataFrame:
-        rows = known.filter(chosen).select("host", F.col(weight).cast("double").alias("seed"))
-        whole = rows.agg(F.sum("seed")).first()[0] or 1.0
-        return rows.select("host", (F.col("seed") / whole).alias("seed"))
+    known = stage(known, "hosts", sized=True)
 
+    trusted = known.filter("allowed > 0 AND blocked = 0").select(
+        F.lit(TRUST).alias("walk"), "host", F.col("allowed").cast("double").alias("seed")
+    )
+    blocked = known.filter("blocked = pages").select(
+        F.lit(DISTRUST).alias("walk"), "host", F.col("blocked").cast("double").alias("seed")
+    )
     turned = edges.select(
-        F.col("target").alias("source"), F.col("source").alias("target"), "links"
+        F.lit(DISTRUST).alias("walk"), F.col("target").alias("source"), F.col("source").alias("target"), "links"
+    )
+    ranked = ranks(
+        edges.select(F.lit(TRUST).alias("walk"), *edges.columns).unionByName(turned),
+        trusted.unionByName(blocked),
     )
-    trust = ranks(edges, stage(seeds("allowed > 0 AND blocked = 0", "allowed"), "trusted"))
-    distrust = ranks(turned, stage(seeds("blocked = pages", "blocked"), "blocked"))
-    # what hosts nobody judges get: only those more distrusted than trusted are listed
-    worse = distrust.join(trust.withColumnRenamed("rank", "trust"), "host", "left").filter(
-        F.col("rank") > F.coalesce("trust", F.lit(0.0))
+    of_host = ranked.groupBy("host").agg(
+        F.sum(F.when(F.col("walk") == TRUST, -F.col("rank")).otherwise(F.col("rank"))).alias("surplus")
     )
-    distrusted = worse.select("host", F.lit("block").alias("_spread"))
+    # only those more distrusted than trusted are joined
+    distrusted = of_host.filter(F.col("surplus") > TOLERANCE).select("host", F.lit("block").alias("_spread"))
     final = F.coalesce("_ruled", "_spread", F.lit("allow"))
     return judged.join(distrusted, "host", "left").select(
         "page_id", "host", "path", "rule", final.alias("verdict")

@@ -4,8 +4,6 @@ Written from what each query returns; chunks, stretches of time and cells, by wh
 operators spread their work, have no part here.
 """
 
-from rollbook.llm.linkgraph import ROUNDS
-
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,23 +32,22 @@ _RULED = " ".join(f"WHEN {_fits(h, p)} THEN '{v}'" for h, p, v in _RULES)
 
 
 def _ranked(name: str, source: str, target: str, seeds: str) -> str:
-    """CTEs: a round each of a personalised PageRank; the last is ``name``."""
-    parts = [
-        f"{name}_0 AS (SELECT host, 0.15 * seed / SUM(seed) OVER () AS rank FROM ({seeds}))",
-        f"""{name}_share AS (SELECT {source} AS host, {target} AS target,
-  links / SUM(links) OVER (PARTITION BY {source}) AS share FROM edges)""",
-    ]
-    for n in range(1, ROUNDS + 1):
-        parts.append(
-            f"""{name}_{n} AS (SELECT host, SUM(rank) AS rank FROM (
-  SELECT host, rank FROM {name}_0
-  UNION ALL SELECT s.target, 0.85 * r.rank * s.share FROM {name}_{n - 1} r JOIN {name}_share s ON s.host = r.host)
-  GROUP BY host)"""
-        )
-    return ",\n".join([*parts, f"{name} AS (SELECT * FROM {name}_{ROUNDS})"])
-
-
-_LINK_GRAPH = f"""WITH placed AS (
+    """CTEs: a personalised PageRank; the last, with host and rank, is ``name``.
+
+    What restarts send is followed link by link until a host gets less than 1e-15 of it;
+    a host's rank is what came to it of what came to all.
+    """
+    return f"""{name}_share AS (SELECT {source} AS host, {target} AS target,
+  links / SUM(links) OVER (PARTITION BY {source}) AS share FROM edges),
+{name}_sent AS (
+  SELECT 0 AS n, host, seed / SUM(seed) OVER () AS mass FROM ({seeds})
+  UNION ALL
+  SELECT r.n + 1, s.target, 0.85 * SUM(r.mass * s.share) FROM {name}_sent r JOIN {name}_share s ON s.host = r.host
+  GROUP BY r.n, s.target HAVING SUM(r.mass * s.share) > 1e-15),
+{name} AS (SELECT host, SUM(mass) / SUM(SUM(mass)) OVER () AS rank FROM {name}_sent GROUP BY host)"""
+
+
+_LINK_GRAPH = f"""WITH RECURSIVE placed AS (
   SELECT page_id, html, {_host("rest")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM (SELECT page_id, html, {_rest("url")} AS rest FROM pages)),
 judged AS (SELECT *, CASE {_RULE} END AS rule, CASE {_RULED} END AS ruled FROM placed),
@@ -66,10 +63,10 @@ edges AS (
 hosts AS (
   SELECT host, COUNT(*) AS pages, COUNT(*) FILTER (ruled = 'allow') AS allowed,
     COUNT(*) FILTER (ruled = 'block') AS blocked FROM judged WHERE host <> '' GROUP BY host),
-{_ranked("trust", "source", "target", "SELECT host, allowed AS seed FROM hosts WHERE allowed > 0 AND blocked = 0")},
-{_ranked("distrust", "target", "source", "SELECT host, blocked AS seed FROM hosts WHERE blocked = pages")}
+{_ranked("trust", "source", "target", "SELECT host, CAST(allowed AS DOUBLE) AS seed FROM hosts WHERE allowed > 0 AND blocked = 0")},
+{_ranked("distrust", "target", "source", "SELECT host, CAST(blocked AS DOUBLE) AS seed FROM hosts WHERE blocked = pages")}
 SELECT j.page_id, j.host, j.path, j.rule,
-  COALESCE(j.ruled, CASE WHEN d.rank > COALESCE(t.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict
+  COALESCE(j.ruled, CASE WHEN d.rank - COALESCE(t.rank, 0) > 1e-9 THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN trust t ON t.host = j.host LEFT JOIN distrust d ON d.host = j.host"""
 
 _SCHEDULE = """WITH sized AS (

@@ -6,12 +6,14 @@ import html
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from conftest import SMALL
 from edge_cases import stored
 
 from rollbook.llm import crosspolytope, dom, linkgraph, revisits, wrapper
+from rollbook.llm.oracle import ORACLE
 
 ARTICLE = """<!DOCTYPE html><html><head><title>t</title><script>var a="<p>no</p>";</script></head><body>
 <header>Site &amp; name</header><nav><ul><li><a href="/a">A{n}</a><li><a href="/b">B</a></ul></nav>
@@ -193,23 +195,59 @@ def test_ranks_by_power_iteration(spark):
     draw = random.Random(2)
     edges = {(draw.randrange(9), draw.randrange(9)): float(draw.randint(1, 5)) for _ in range(30)}
     frame = spark.createDataFrame(
-        [(f"h{a}", f"h{b}", n) for (a, b), n in edges.items() if a != b],
-        "source STRING, target STRING, links DOUBLE",
+        [(0, f"h{a}", f"h{b}", n) for (a, b), n in edges.items() if a != b and a != 5],
+        "walk INT, source STRING, target STRING, links DOUBLE",
     )
-    seeds = spark.createDataFrame([("h1", 0.25), ("h2", 0.75)], "host STRING, seed DOUBLE")
+    seeds = spark.createDataFrame([(0, "h1", 1.0), (0, "h2", 3.0)], "walk INT, host STRING, seed DOUBLE")
     got = {r.host: r["rank"] for r in linkgraph.ranks(frame, seeds).collect()}
     m = np.zeros((9, 9))
     for (a, b), n in edges.items():
-        if a != b:
+        if a != b and a != 5:
             m[b, a] = n
-    m = m / np.maximum(m.sum(axis=0), 1e-9)
     start = np.zeros(9)
-    start[1], start[2] = 0.15 * 0.25, 0.15 * 0.75
+    start[1], start[2] = 0.25, 0.75
+    for a in range(9):  # without links out the walk goes back to the seeds
+        m[:, a] = m[:, a] / m[:, a].sum() if m[:, a].any() else start
     now = start
-    for _ in range(linkgraph.ROUNDS):
-        now = start + 0.85 * m @ now
+    for _ in range(300):
+        now = 0.15 * start + 0.85 * m @ now
     for n in range(9):
-        assert got.get(f"h{n}", 0) == pytest.approx(now[n])
+        assert got.get(f"h{n}", 0) == pytest.approx(now[n], abs=3e-9)
+
+
+def same_by_sql(frame):
+    """Verdicts of pages by Spark and by the SQL twin."""
+    pages = frame.toPandas()  # noqa: F841
+    base = duckdb.connect()
+    base.register("pages", pages)
+    want = {r[0]: r[-1] for r in base.execute(ORACLE["op7_link_graph"]).fetchall()}
+    got = {r.page_id: r.verdict for r in linkgraph.verdicts(frame).collect()}
+    assert got == want
+    return got
+
+
+def test_distrust_has_no_longest_way(spark):
+    rows = [(0, "http://h0.net/es/", None)]
+    rows += [(n, f"http://h{n}.org/", f'<a href="http://h{n - 1}.{"net" if n == 1 else "org"}/x">') for n in range(1, 31)]
+    rows += [(31, "http://other.org/", '<a href="http://h31.org/">')]
+    got = same_by_sql(spark.createDataFrame(rows, "page_id INT, url STRING, html STRING"))
+    assert [got[n] for n in range(32)] == ["block"] * 31 + ["allow"]
+
+
+def test_a_graph_of_ten_thousand_hosts(spark):
+    draw = random.Random(8)
+    ends = ["com", "org", "org", "org", "de", "de", "net"]
+    names = [f"h{n}.{draw.choice(ends)}" for n in range(10_000)]
+    rows = []
+    for n, name in enumerate(names):
+        # early hosts are linked to most; a hub has links to a tenth of all
+        links = [names[int(len(names) * draw.random() ** 3)] for _ in range(draw.randrange(6) if n else 1000)]
+        html = "".join(f'<a href="//{to}/">' for to in links)
+        rows.append((n, f"http://{name}/{draw.choice(['es', 'fr', 'de'])}/", html, 7))
+    frame = spark.createDataFrame(rows, "page_id INT, url STRING, html STRING, rank INT")
+    got = same_by_sql(frame.drop("rank"))
+    assert got == {r.page_id: r.verdict for r in linkgraph.verdicts(frame).collect()}
+    assert 0 < sum(v == "block" for v in got.values()) < len(got)
 
 
 # ---------------------------------------------------------------- revisits
