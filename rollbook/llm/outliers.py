@@ -1,24 +1,27 @@
 """Quality rules with robust multivariate outliers: minimum covariance determinant.
 
 Statistics of each text become a vector of rates, drawn a little towards a usual rate so
-that short texts do not look odd, and held as whole thousandths. Per language and source,
-the MCD estimates come from COVERED of the rows: starting from those nearest the
-coordinatewise medians, concentration steps take the mean and covariance of the nearest
-rows and find the nearest rows again, which lowers the determinant each time. Variances
-have a floor, so a statistic that is the same nearly everywhere counts by that floor. A
-document is rejected if its squared Mahalanobis distance, scaled to the chi-squared
-median, is beyond the cut.
+that short texts do not look odd, and held as whole thousandths. Per language and source
+the estimates come from half of the distinct vectors, (n + p + 1) / 2 of n in p dimensions,
+so that less than half of a group may be junk, and copies count once. There are several
+starts: the vectors nearest the coordinatewise medians, and those nearest each of some
+vectors drawn by hash. From each, concentration steps take the mean and covariance of the
+nearest half and find the nearest again, as long as that lowers the determinant; the least
+determinant is kept. Its distances, scaled to the chi-squared median, give every vector
+within the 0.975 quantile a vote in the final mean and covariance. A document is rejected
+if its squared Mahalanobis distance by those is beyond the 0.999 quantile. Variances have a
+floor, so a statistic that is the same nearly everywhere counts by that floor.
 
 Built-in functions only. The estimates are aggregates over groups whose size does not
 matter; medians and shares are exact and need memory for the distinct values only, which
 whole thousandths bound.
 
 Defined results: a null text has no words; documents that fail the base rules take no
-part in the estimates; in a group of fewer than FEWEST others the method rejects none;
+part in the estimates; in a group of fewer than FEWEST other vectors the method rejects none;
 null languages and sources are groups of their own; equal rows are documents of their own.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.llm.shared import SPACE, WORD
@@ -35,12 +38,16 @@ VECTOR = [
     ("1000 * n_dup_lines / (n_lines + 10)", 60.0),
     ("1000 * n_repeat_words / (n_words + 50)", 60.0),
 ]
-COVERED, STEPS, FEWEST = 0.75, 4, 12
-#: The median and the 1 - 1e-7 quantile of chi-squared with four degrees of freedom.
-MIDDLE, CUT = 3.356694, 39.9
+#: Starts a group, and how much of a logarithm a step must take off the determinant.
+STARTS, GAIN, FEWEST = 6, 1e-3, 12
+#: The median, the 0.975 and the 0.999 quantile of chi-squared with four degrees of freedom.
+MIDDLE, NEAR, CUT = 3.356694, 11.143287, 18.466827
+#: Makes the covariance of what is within NEAR that of all: 0.975 by the share of six degrees.
+WIDER = 1.06446
 #: Consistent with the standard deviation of normal rows.
 MAD = 1.4826
 GROUP = ["lang", "source"]
+START = [*GROUP, "start"]
 
 
 def repeated(words: Column) -> Column:
@@ -125,51 +132,100 @@ def _coordinates() -> list[str]:
     return [f"x{i}" for i in range(len(VECTOR))]
 
 
-def _by_group(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Each row with the estimates of its group, of which there is a row each."""
+def _by_group(rows: DataFrame, estimates: DataFrame, keys: list[str] = GROUP) -> DataFrame:
+    """Each row with the estimates of its group, of which there are a few rows."""
     named = estimates.select(
-        *[F.col(g).alias(f"_{g}") for g in GROUP], *[c for c in estimates.columns if c not in GROUP]
+        *[F.col(k).alias(f"_{k}") for k in keys], *[c for c in estimates.columns if c not in keys]
     )
     same = F.lit(True)
-    for g in GROUP:
-        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
-    return rows.join(named, same, "left").drop(*[f"_{g}" for g in GROUP])
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(named, same, "left").drop(*[f"_{k}" for k in keys])
 
 
-def _first_distance(rows: DataFrame) -> DataFrame:
-    """Rows with the distance from their group's medians in deviations from them."""
+def _first_distances(rows: DataFrame) -> DataFrame:
+    """Rows by start, with the distance from its centre in deviations from the medians."""
     xs = _coordinates()
-    medians = rows.groupBy(*GROUP).agg(*[F.median(x).alias(f"m_{x}") for x in xs])
-    medians = stage(medians, "medians")
-    off = _by_group(rows, medians)
-    spread = off.groupBy(*GROUP).agg(
-        *[F.median(F.abs(F.col(x) - F.col(f"m_{x}"))).alias(f"s_{x}") for x in xs]
+    drawn = [
+        F.min_by(x, F.xxhash64(F.lit(s), *xs)).alias(f"c_{s}_{x}") for s in range(1, STARTS) for x in xs
+    ]
+    centres = rows.groupBy(*GROUP).agg(*[F.median(x).alias(f"c_0_{x}") for x in xs], *drawn)
+    centres = stage(centres, "centres")
+    spread = _by_group(rows, centres).groupBy(*GROUP).agg(
+        *[F.median(F.abs(F.col(x) - F.col(f"c_0_{x}"))).alias(f"s_{x}") for x in xs]
+    )
+    listed = F.array(
+        *[
+            F.struct(F.lit(s).alias("start"), *[F.col(f"c_{s}_{x}").alias(f"m_{x}") for x in xs])
+            for s in range(STARTS)
+        ]
     )
-    told = _by_group(off, stage(spread, "spreads"))
+    begun = stage(centres.select(*GROUP, F.inline(listed)), "begun")
+    told = _by_group(_by_group(rows, begun), stage(spread, "spreads"))
     terms = [
-        (F.col(x) - F.col(f"m_{x}"))
-        / F.greatest(MAD * F.col(f"s_{x}"), F.lit(floor))
+        (F.col(x) - F.col(f"m_{x}")) / F.greatest(MAD * F.col(f"s_{x}"), F.lit(floor))
         for x, (_, floor) in zip(xs, VECTOR, strict=True)
     ]
-    return told.select(*rows.columns, sum((t * t for t in terms[1:]), terms[0] * terms[0]).alias("d"))
+    distance = sum((t * t for t in terms[1:]), terms[0] * terms[0])
+    return told.select("start", *rows.columns, distance.alias("d"))
 
 
-def _estimates(rows: DataFrame) -> DataFrame:
-    """Per group: the mean and covariance of the COVERED rows of least distance ``d``."""
-    xs = _coordinates()
+def _nearest(rows: DataFrame) -> DataFrame:
+    """Of the rows of each start the half of least distance ``d``, and what ties with it.
+
+    Distances are told apart to a thousandth, and their counts put in order: of those
+    there are some tens of thousands at most, whatever the number of rows.
+    """
     binned = rows.withColumn("bin", F.floor(1000 * F.log1p("d")))
-    reach = binned.groupBy(*GROUP).agg(F.percentile("bin", COVERED).alias("reach"))
-    near = _by_group(binned, stage(reach, "reaches")).filter("bin <= reach")
+    counts = binned.groupBy(*START, "bin").agg(F.count("*").alias("many"))
+    whole = Window.partitionBy(*START)
+    before = F.sum("many").over(whole.orderBy("bin")) - F.col("many")
+    half = F.floor((F.sum("many").over(whole) + len(VECTOR) + 1) / 2)
+    within = counts.select(*START, "bin", (before < half).alias("within")).filter("within")
+    reach = stage(within.groupBy(*START).agg(F.max("bin").alias("reach")), "reaches")
+    return _by_group(binned, reach, START).filter("bin <= reach")
+
+
+def _estimates(near: DataFrame, keys: list[str] = START, wider: float = 1.0) -> DataFrame:
+    """Per key: the mean and covariance of its rows, and the logarithm of the determinant."""
+    xs = _coordinates()
     sums = [F.count("*").alias("n"), *[F.sum(x).alias(f"t_{x}") for x in xs]]
     pairs = [(i, j) for i in range(len(xs)) for j in range(i + 1)]
     sums += [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"t_{i}_{j}") for i, j in pairs]
-    total = near.groupBy(*GROUP).agg(*sums)
+    total = near.groupBy(*keys).agg(*sums)
     mean = [F.col(f"t_{x}") / F.col("n") for x in xs]
     out = [m.alias(f"mean_{x}") for m, x in zip(mean, xs, strict=True)]
     for i, j in pairs:
         floor = VECTOR[i][1] ** 2 if i == j else 0.0
-        out.append((F.col(f"t_{i}_{j}") / F.col("n") - mean[i] * mean[j] + floor).alias(f"c_{i}_{j}"))
-    return stage(_cholesky(total.select(*GROUP, "n", *out)), "estimates")
+        covered = F.col(f"t_{i}_{j}") / F.col("n") - mean[i] * mean[j]
+        out.append((wider * covered + floor).alias(f"c_{i}_{j}"))
+    told = _cholesky(total.select(*keys, "n", *out))
+    roots = [F.ln(f"l_{i}_{i}") for i in range(len(xs))]
+    return told.withColumn("volume", 2 * sum(roots[1:], roots[0]))
+
+
+def _concentrated(rows: DataFrame) -> DataFrame:
+    """Per group the estimates of least determinant that concentration reaches from any start."""
+    best = _estimates(_nearest(_first_distances(rows))).withColumn("fresh", F.lit(True))
+    best = stage(best, "estimates")
+    # each round lowers some determinant by GAIN, and floors bound them all from below
+    while not best.filter("fresh").isEmpty():
+        again = _estimates(_nearest(_distance(rows, best.filter("fresh"))))
+        both = best.withColumn("fresh", F.lit(False)).unionByName(again.withColumn("fresh", F.lit(True)))
+        least = Window.partitionBy(*START).orderBy(F.col("volume") + F.when(F.col("fresh"), GAIN).otherwise(0.0), "fresh")
+        best = stage(both.withColumn("_n", F.row_number().over(least)).filter("_n = 1").drop("_n"), "estimates")
+    first = Window.partitionBy(*GROUP).orderBy("volume", "start")
+    chosen = best.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    return stage(chosen.drop("_n", "start", "fresh", "volume"), "concentrated")
+
+
+def _scales(measured: DataFrame) -> DataFrame:
+    """Per group: what brings the median of ``d`` to that of chi-squared, and the rows."""
+    middle = measured.groupBy(*GROUP).agg(
+        F.percentile(F.floor(1000 * F.log1p("d")), 0.5).alias("middle"), F.count("*").alias("others")
+    )
+    scale = F.expm1(F.col("middle") / 1000) / MIDDLE
+    return stage(middle.select(*GROUP, scale.alias("scale"), "others"), "scales")
 
 
 def _cholesky(groups: DataFrame) -> DataFrame:
@@ -187,9 +243,9 @@ def _cholesky(groups: DataFrame) -> DataFrame:
 
 
 def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Rows with their squared Mahalanobis distance ``d`` by their group's estimates."""
-    keep = [c for c in rows.columns if c != "d"]
-    told = _by_group(rows.select(*keep), estimates.drop("n"))
+    """Rows with their squared Mahalanobis distance ``d`` by each estimate of their group."""
+    keep = [*rows.columns, *[c for c in estimates.columns if c == "start"]]
+    told = _by_group(rows, estimates.drop("n", "volume", "fresh"))
     for i, x in enumerate(_coordinates()):
         rest = F.col(x) - F.col(f"mean_{x}")
         for k in range(i):
@@ -207,18 +263,13 @@ def judged(docs: DataFrame) -> DataFrame:
         ),
         "statistics",
     )
-    inner = told.filter("NOT base_failed").select(*GROUP, *_coordinates())
-    estimates = _estimates(_first_distance(inner))
-    for _ in range(STEPS):
-        estimates = _estimates(_distance(inner, estimates))
-    measured = _distance(inner, estimates)
-    middle = measured.groupBy(*GROUP).agg(
-        F.percentile(F.floor(1000 * F.log1p("d")), 0.5).alias("middle"), F.count("*").alias("others")
-    )
-    scale = F.greatest(F.expm1(F.col("middle") / 1000) / MIDDLE, F.lit(1.0))
-    scales = stage(middle.select(*GROUP, scale.alias("scale"), "others"), "scales")
+    inner = stage(told.filter("NOT base_failed").select(*GROUP, *_coordinates()).distinct(), "vectors")
+    raw = _distance(inner, _concentrated(inner))
+    close = _by_group(raw, _scales(raw)).filter(F.col("d") <= NEAR * F.greatest("scale", F.lit(1.0)))
+    estimates = stage(_estimates(close, GROUP, WIDER).drop("volume"), "reweighted")
+    scales = _scales(_distance(inner, estimates))
     final = _by_group(_distance(told, estimates), scales)
-    distance = F.col("d") / F.col("scale")
+    distance = F.col("d") / F.greatest("scale", F.lit(1.0))
     odd = (F.col("others") >= FEWEST) & (distance > CUT)
     return final.select(
         "doc_id",

@@ -87,25 +87,67 @@ def test_outliers_of_a_group_are_rejected_and_its_others_kept(spark):
     assert kept == {*range(60), 200}
 
 
+@pytest.mark.parametrize("share", [0.3, 0.4, 0.45])
+def test_junk_that_is_much_of_a_group(spark, share):
+    """Junk of one kind, in a group that also holds many copies of one junk text."""
+    good = 150
+    junk = int(good * share / (1 - share))
+    rows = [(n, prose(n, 120 + n), "en", "a") for n in range(good)]
+    rows += [(1000 + n, re.sub(r"(\w) ", r"\1### ", prose(n, 90)), "en", "a") for n in range(junk)]
+    rows += [(2000 + n, re.sub(r"(\w) ", r"\1### ", prose(7, 90)), "en", "a") for n in range(2 * good)]
+    frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING")
+    kept = {r.doc_id for r in outliers.judged(frame).filter("kept").collect()}
+    assert kept == set(range(good))
+
+
 def test_estimates_follow_the_plain_formulas(spark):
-    """One concentration step by numpy, from the distances that the operator starts with."""
+    """Every start concentrated by numpy, and the least determinant, in two groups."""
     draw = np.random.default_rng(3)
-    x = np.round(draw.normal(0, 300, (80, 4)) + [1500, 0, 0, 0])
     columns = ", ".join(f"x{i} DOUBLE" for i in range(4))
-    rows = spark.createDataFrame(
-        [("en", "a", *map(float, row)) for row in x], f"lang STRING, source STRING, {columns}"
-    )
     floors = np.array([f for _, f in outliers.VECTOR])
-    off = np.abs(x - np.median(x, axis=0))
-    spread = np.maximum(1.4826 * np.median(off, axis=0), floors)
-    d = (((x - np.median(x, axis=0)) / spread) ** 2).sum(axis=1)
-    bins = np.floor(1000 * np.log1p(d))
-    near = x[bins <= np.percentile(bins, 75)]
-    mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) + np.diag(floors**2)
-    want = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-    estimates = outliers._estimates(outliers._first_distance(rows))
-    got = outliers._distance(rows.withColumn("d", F.lit(0.0)), estimates).collect()
-    np.testing.assert_allclose(sorted(r.d for r in got), np.sort(want), rtol=1e-9)
+    data, groups = [], {}
+    for group, junk in ((("en", "a"), 30), ((None, None), 0)):
+        x = np.round(draw.normal(0, 300, (80, 4)) + [1500, 0, 0, 0])
+        x[:junk] = np.round(x[:junk] / 9 + [0, 5000, 900, 0])
+        groups[group] = x
+        data += [(*group, *map(float, row)) for row in x]
+    rows = spark.createDataFrame(data, f"lang STRING, source STRING, {columns}")
+
+    def nearest(x, d):
+        bins = np.floor(1000 * np.log1p(d))
+        return x[bins <= np.sort(bins)[(len(x) + 4 + 1) // 2 - 1]]
+
+    def estimate(near):
+        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) + np.diag(floors**2)
+        return np.linalg.slogdet(cov)[1], mean, cov
+
+    def distance(x, mean, cov):
+        return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+    first = outliers._first_distances(rows).collect()
+    got = outliers._distance(rows, outliers._concentrated(rows)).collect()
+    for group, x in groups.items():
+        spread = np.maximum(1.4826 * np.median(np.abs(x - np.median(x, axis=0)), axis=0), floors)
+        ways = []
+        for start in range(outliers.STARTS):
+            begun = [r for r in first if (r.lang, r.source, r.start) == (*group, start)]
+            at = np.array([[r.x0, r.x1, r.x2, r.x3] for r in begun])
+            d = np.array([r.d for r in begun])
+            if start == 0:
+                np.testing.assert_allclose(d, (((at - np.median(x, axis=0)) / spread) ** 2).sum(axis=1))
+            else:
+                centre = at[np.argmin(d)]
+                np.testing.assert_allclose(d, (((at - centre) / spread) ** 2).sum(axis=1), atol=1e-9)
+            best = estimate(nearest(at, d))
+            while True:
+                again = estimate(nearest(at, distance(at, *best[1:])))
+                if again[0] + outliers.GAIN >= best[0]:
+                    break
+                best = again
+            ways.append(best)
+        want = distance(x, *min(ways, key=lambda w: w[0])[1:])
+        mine = [r.d for r in got if (r.lang, r.source) == group]
+        np.testing.assert_allclose(np.sort(mine), np.sort(want), rtol=1e-8)
 
 
 def test_outliers_without_rows(nothing):
