@@ -36,6 +36,9 @@ def small(spark):
     return spark.read.parquet(f"{SMALL}/documents.parquet")
 
 
+MIDDLE = SMALL.replace("0.001", "0.01")
+
+
 def texts(df) -> list:
     return sorted(map(str, (r.asDict() for r in df.collect())))
 
@@ -326,6 +329,45 @@ def test_repeated_passages_stay_once(edges, nothing):
     assert linededup.removals(nothing, stored=True).count() == 0
 
 
+def fifties(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[n : n + 50]) for n in range(len(words) - 49)}
+
+
+def test_no_passage_of_fifty_words_stays_shared(spark):
+    """By brute force over all windows of 50 words of the driver's documents."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    before = sorted((r.doc_id, r.text) for r in docs.collect())
+    after = sorted((r.doc_id, r.text) for r in linededup.removals(docs, stored=True).collect())
+    shared = []
+    for rows in (before, after):
+        seen, found = set(), 0
+        for _, text in rows:
+            own = fifties(text)
+            found += bool(own & seen)
+            seen |= own
+        shared.append(found)
+    assert shared[0] > 100 and shared[1] == 0
+
+
+@pytest.mark.parametrize("end", [".", "", "。"])
+def test_a_passage_within_sentences_goes(end):
+    """Texts without a stop or a capital around and in the passage, in several scripts."""
+    for alphabet in ("abcdefgilmnoprstuvd", "αβγδεζηθικλμνξοπρστυ", "абвгдежзиклмнопрстуф"):
+        draw = random.Random(alphabet)
+        word = lambda: "".join(draw.choices(alphabet, k=draw.randint(2, 7)))
+        missed = 0
+        for _ in range(40):
+            passage = " ".join(word() for _ in range(60)) + end
+            texts = [" ".join([*(word() for _ in range(9)), passage, *(word() for _ in range(9))]) for _ in range(2)]
+            first, later = (linededup.digests(t, *linededup.units(t)[:2]).tolist() for t in texts)
+            marked = [n for n, d in enumerate(later) if d in set(first)]
+            cut = linededup.spans(texts[1], marked, linededup.LEAST)
+            rest = "".join(texts[1][: cut[0][0]] + texts[1][cut[-1][1] :]) if cut else texts[1]
+            missed += bool(fifties(rest) & fifties(texts[0]))
+        assert missed <= 1
+
+
 def test_marked_units_are_those_of_plain_counting(spark, small):
     """The same rule, walked over all documents in order."""
     seen, want = set(), {}
