@@ -24,7 +24,7 @@ CLOSES = {
     "option": {"option"},
 }
 HOLDS = set("ul ol dl table tbody thead section article main div nav aside body html".split())
-#: What is around an article, by element, role and the words in class and id.
+#: What is around an article, by element, role and whole names in class and id.
 CHROME = set("nav footer aside form button menu dialog".split())
 CHROME_ROLES = set("navigation banner contentinfo complementary search form dialog alert".split())
 CHROME_WORDS = set(
@@ -34,6 +34,15 @@ CHROME_WORDS = set(
     " reply replies related share sharing social widget pagination pager toolbar skip copyright".split()
 )
 HEADINGS = set("header banner topbar".split())
+#: Words that make names of parts of a page together with those above, as in site-footer.
+NEUTRAL = set(
+    "site page main global top bottom left right primary secondary user post posts article blog box"
+    " bar block body list item items links link section area wrapper wrap container content inner"
+    " outer holder panel group row col text form buttons button message banner header widget title"
+    " note unit slot zone thread feed more icon icons".split()
+)
+#: An element with this share of a page's text is no menu or advert, whatever its name.
+MOST = 0.8
 DEEPEST = 200
 
 _TOKEN = re.compile(
@@ -69,8 +78,55 @@ def _is_chrome(tag: str, attributes: str, inside: bool) -> bool:
         return True
     if found.get("role") in CHROME_ROLES:
         return True
-    words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}"))
-    return bool(words & CHROME_WORDS) or (not inside and bool(words & HEADINGS))
+    return any(_names_chrome(n, inside) for n in f"{found.get('class', '')} {found.get('id', '')}".split())
+
+
+def _names_chrome(name: str, inside: bool) -> bool:
+    """Whether a name in class or id tells of a part around the article, as a whole.
+
+    All its words must: ``site-footer`` and ``comment-list`` do, ``no-sidebar``,
+    ``has-comments`` and ``search-algorithms`` do not.
+    """
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    telling = CHROME_WORDS if inside else CHROME_WORDS | HEADINGS
+    return any(w in telling for w in words) and all(w in telling or w in NEUTRAL for w in words)
+
+
+def _judge(page: Page, parents: list[int], labelled: list[bool]) -> None:
+    """Sets what is chrome: labelled elements and what is in them.
+
+    Labels are not believed of an element that holds the article: the article or main
+    element of most text, if that is as much as all that no label takes; else, where there
+    is none, any element with MOST of the text.
+    """
+    chars = [0] * len(parents)
+    for node, text in zip(page.block_nodes, page.texts, strict=True):
+        chars[node] += len(text)
+    own = chars[:]
+    for node in range(len(parents) - 1, 0, -1):  # children come after their parents
+        chars[parents[node]] += chars[node]
+
+    def spread(exempt: set[int]) -> list[bool]:
+        chrome = [False] * len(parents)
+        for node in range(1, len(parents)):
+            chrome[node] = chrome[parents[node]] or (labelled[node] and node not in exempt)
+        return chrome
+
+    chrome = spread(set())
+    articles = [n for n, tag in enumerate(page.tags) if tag in ("article", "main") and not labelled[n]]
+    holder = max(articles, key=lambda n: (chars[n], -n), default=None)
+    if holder is not None:
+        # an article that is chrome by what is around it, against the text that is not
+        outside = sum(n for n, c in zip(own, chrome, strict=True) if not c)
+        if chrome[holder] and chars[holder] >= outside:
+            exempt = set()
+            while holder >= 0:
+                exempt.add(holder)
+                holder = parents[holder]
+            chrome = spread(exempt)
+    else:
+        chrome = spread({n for n, c in enumerate(chars) if c >= MOST * chars[0] > 0})
+    page.chrome[:] = chrome
 
 
 def parse(source: str) -> Page:
@@ -80,10 +136,14 @@ def parse(source: str) -> Page:
     entry. Nodes deeper than DEEPEST stand at that depth.
     """
     page = Page()
-    # open blocks: tag, node, chrome, inside an article
-    stack: list[tuple[str, int, bool, bool]] = [("", -1, False, False)]
+    # open blocks: tag, node, inside an article
+    stack: list[tuple[str, int, bool]] = [("", -1, False)]
+    parents: list[int] = []
+    labelled: list[bool] = []
     parts: list[str] = []
-    linked, in_link, hidden = 0, False, ""
+    linked, in_link = 0, False
+    # an inline element that is left out: its tag, how many of that tag are open, the block
+    muted, level, muted_in = "", 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -96,11 +156,13 @@ def parse(source: str) -> Page:
             parts.clear()
             linked = 0
 
-    def add(tag: str, chrome: bool, inside: bool) -> None:
+    def add(tag: str, label: bool, inside: bool) -> None:
         page.depths.append(min(len(stack), DEEPEST))
         page.tags.append(tag)
-        page.chrome.append(chrome)
-        stack.append((tag, len(page.tags) - 1, chrome, inside))
+        page.chrome.append(False)
+        parents.append(stack[-1][1])
+        labelled.append(label)
+        stack.append((tag, len(page.tags) - 1, inside))
 
     add("page", False, False)
     at = 0
@@ -109,9 +171,10 @@ def parse(source: str) -> Page:
             continue
         if token.start() > at:
             text = source[at : token.start()]
-            parts.append(text)
-            if in_link:
-                linked += len(text)
+            if not muted:
+                parts.append(text)
+                if in_link:
+                    linked += len(text)
         at = token.end()
         closing, tag, attributes = token.group(1, 2, 3)
         if tag is None:
@@ -128,11 +191,13 @@ def parse(source: str) -> Page:
                 parts.append(" ")
             elif tag == "a":
                 in_link = not closing
-            if hidden == "" and not closing and attributes and tag not in VOID:
-                inside = stack[-1][3]
-                if tag == "span" and _is_chrome(tag, attributes, inside):
-                    end = re.compile(r"</span\s*>", re.I).search(source, at)
-                    at = end.end() if end else at
+            if tag in VOID:
+                continue
+            if muted:
+                level += (tag == muted) * (-1 if closing else 1)
+                muted = muted if level else ""
+            elif not closing and attributes and _is_chrome(tag, attributes, stack[-1][2]):
+                muted, level, muted_in = tag, 1, len(stack)
             continue
         flush()
         if closing:
@@ -140,6 +205,8 @@ def parse(source: str) -> Page:
                 while stack[-1][0] != tag:
                     stack.pop()
                 stack.pop()
+            if len(stack) < muted_in:
+                muted = ""  # its block has ended
             in_link = False
             continue
         if stack[-1][0] == "p":
@@ -151,17 +218,15 @@ def parse(source: str) -> Page:
                     break
                 if stack[k][0] in HOLDS:
                     break
-        above = stack[-1]
-        inside = above[3] or tag in ("article", "main")
-        chrome = above[2] or _is_chrome(tag, attributes, above[3])
-        if tag == "body":
-            chrome = above[2]
-        if tag in VOID:
-            continue
-        add(tag, chrome, inside)
-    if at < len(source):
+        if len(stack) < muted_in:
+            muted = ""
+        inside = stack[-1][2]
+        if tag not in VOID:
+            add(tag, bool(muted) or (tag != "body" and _is_chrome(tag, attributes, inside)), inside or tag in ("article", "main"))
+    if at < len(source) and not muted:
         parts.append(source[at:])
     flush()
+    _judge(page, parents, labelled)
     return page
 
 
@@ -239,15 +304,24 @@ class Matcher:
         ua, ia = np.unique(np.array(a), return_inverse=True)
         ub, ib = np.unique(np.array(b), return_inverse=True)
         table = np.array([[self.weight(int(x), int(y)) for y in ub] for x in ua], dtype=np.int32)
-        best = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
+        # two rows of weights, and a bit a cell each for where the best comes from
+        best = np.zeros(len(b) + 1, dtype=np.int32)
+        above, before = [], []
         for i in range(len(a)):
-            row = np.maximum(best[i, 1:], best[i, :-1] + table[ia[i], ib])
-            best[i + 1, 1:] = np.maximum.accumulate(row)
+            row = np.zeros_like(best)
+            row[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + table[ia[i], ib]))
+            above.append(np.packbits(row[1:] == best[1:]))
+            before.append(np.packbits(row[1:] == row[:-1]))
+            best = row
+
+        def told(bits: list[np.ndarray], i: int, j: int) -> bool:
+            return bool(bits[i - 1][(j - 1) >> 3] >> (7 - (j - 1) % 8) & 1)
+
         found, i, j = [], len(a), len(b)
         while i and j:
-            if best[i, j] == best[i - 1, j]:
+            if told(above, i, j):
                 i -= 1
-            elif best[i, j] == best[i, j - 1]:
+            elif told(before, i, j):
                 j -= 1
             else:
                 i, j = i - 1, j - 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -102,6 +103,51 @@ def test_an_optional_block_does_not_hide_the_template(spark):
         assert got[n] == "\n".join(lines + [f"Part {k} of {n}" for k in range(1 + n % 3)])
 
 
+def kept(source):
+    page = dom.parse(source)
+    return [t for t, n in zip(page.texts, page.block_nodes, strict=True) if not page.chrome[n]]
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        '<div class="layout no-sidebar"><article><p>Text of it</article></div>',
+        '<article class="post has-comments"><p>Text of it</article>',
+        '<main id="search-algorithms"><p>Text of it</main>',
+        '<article class="post-share-price"><p>Text of it</article>',
+        '<form id="aspnet"><nav>Menu</nav><main><p>Text of it</main></form>',
+        '<div class="sidebar"><article><p>Text of it</article></div><div class="footer">End</div>',
+        '<div class="popup"><p>Text of it</div>',
+        '<div><p>Text of it</div><aside><article><p>Next</article></aside>',
+        '<article><p>Text of it</article><div id="comments"><article class="comment-body"><p>A very long comment of a reader</article></div>',
+        '<article><p>Text of <a class="advert" href="/">Buy</a>it</article>',
+        '<article><p><b class="comment">No <b>never</b> ever</b>Text of it</article>',
+        '<article><p><span class="ad">No <span>never</span> ever</span>Text of it</article>',
+        '<article><p class="site-footer">End</p><span class="ad">Open <p>Buy</p></article><p>Text of it',
+    ],
+)
+def test_labels_are_no_judges_of_the_article(source):
+    assert kept(f"<html><body>{source}</body></html>") == ["Text of it"]
+
+
+def test_very_long_lists_of_children_in_bounded_memory():
+    draw = random.Random(3)
+    tags = ["p", "div", "ul", "dl"]
+
+    def page():
+        own = [draw.choice(tags) for _ in range(20_000)]
+        return [0] + [1] * len(own), ["page", *own]
+
+    matcher = dom.Matcher()
+    one, other = matcher.tree(*page()), matcher.tree(*page())
+    tracemalloc.start()
+    pairs = matcher.align(one, other)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and len(pairs) > 10_000
+    assert all(one.tags[a] == other.tags[b] for a, b in pairs)
+
+
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id BIGINT, url STRING, html STRING")
     assert wrapper.extract(none).count() == 0
