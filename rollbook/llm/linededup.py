@@ -38,43 +38,44 @@ _ENDS = "".join(re.escape(chr(c)) for c in _ALPHABETS if c % 8 == 4 and not chr(
 _FINER = re.compile(rf"(?<=[{_ENDS}])\s+")
 
 
+def cuts(text: str) -> tuple[list[int], list[int]]:
+    """Where the units of a text start and end."""
+    starts, ends = [], []
+    tail = len(text.rstrip())
+    at = len(text) - len(text.lstrip())
+    gaps = [g.span() for g in _BREAK.finditer(text, at)]
+    for gap, after in [*gaps, (tail, tail)]:
+        if gap > at:
+            # so many words have blanks between them
+            if gap - at > 2 * LONG and len(text[at:gap].split()) > LONG:
+                for finer in _FINER.finditer(text, at, gap):
+                    starts.append(at)
+                    ends.append(finer.start())
+                    at = finer.end()
+            starts.append(at)
+            ends.append(gap)
+        at = after
+    return starts, ends
+
+
 def units(text: str) -> tuple[list[int], list[int], list[int]]:
     """Where the units of a text start and end, and how many words each has."""
-    starts, ends, words = [], [], []
-
-    def add(a: int, b: int) -> None:
-        starts.append(a)
-        ends.append(b)
-        words.append(len(text[a:b].split()))
-
-    def unit(a: int, b: int) -> None:
-        add(a, b)
-        if words[-1] > LONG:
-            del starts[-1], ends[-1], words[-1]
-            for gap in _FINER.finditer(text, a, b):
-                add(a, gap.start())
-                a = gap.end()
-            add(a, b)
-
-    at = len(text) - len(text.lstrip())
-    for gap in _BREAK.finditer(text, at):
-        if gap.start() > at:
-            unit(at, gap.start())
-        at = gap.end()
-    tail = len(text.rstrip())
-    if tail > at:
-        unit(at, tail)
-    return starts, ends, words
+    starts, ends = cuts(text)
+    return starts, ends, [len(text[a:b].split()) for a, b in zip(starts, ends, strict=True)]
 
 
 def digests(text: str, starts: list[int], ends: list[int]) -> np.ndarray:
-    lowered = text.lower() if len(text.lower()) == len(text) else None
-    made = []
-    for a, b in zip(starts, ends, strict=True):
-        unit = lowered[a:b] if lowered is not None else text[a:b].lower()
-        if "  " in unit or "\t" in unit or "\r" in unit:
-            unit = " ".join(unit.split())
-        made.append(xxhash.xxh3_64_intdigest(unit))
+    digest = xxhash.xxh3_64_intdigest
+    lowered = text.lower()
+    if len(lowered) == len(text) and not ("  " in text or "\t" in text or "\r" in text):
+        made = [digest(lowered[a:b]) for a, b in zip(starts, ends, strict=True)]
+    else:
+        made = []
+        for a, b in zip(starts, ends, strict=True):
+            unit = text[a:b].lower()
+            if "  " in unit or "\t" in unit or "\r" in unit:
+                unit = " ".join(unit.split())
+            made.append(digest(unit))
     return np.array(made, dtype=np.uint64).view(np.int64)
 
 
@@ -95,7 +96,7 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = text.as_py()
                 if not text:
                     continue
-                digest = digests(text, *units(text)[:2])
+                digest = digests(text, *cuts(text))
                 number = np.flatnonzero(_first_seen(digest))
                 owners.append(np.full(len(number), i))
                 numbers.append(number)
