@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import pytest
 
 from rollbook import operators as op
-from rollbook.operators.changes import _resolved
+from rollbook.operators.changes import _as_delivered, _resolved
 from rollbook.school import School
 from rollbook.sources import read_school, stage, write_snapshot
 from rollbook.sources.staging import rows_width, shared_folder
@@ -322,3 +323,51 @@ def test_staged_tables_go_to_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert all(file.startswith(f"file://{shared}/") for file in staged.inputFiles())
     assert sorted(map(tuple, staged.collect())) == [(n, 2 * n) for n in range(5)]
+
+
+def test_keys_with_two_changes_are_settled_without_the_batch(spark, stored, no_broadcast):
+    """A large batch meets the tables once; only keys with more changes are looked up again."""
+    batch = stored.sc.selectExpr(
+        "explode(array(1L, 2L)) AS change_seq",
+        "IF(student_id = 1, 'ann', 'bob') AS student_username",
+        "'tess' AS teacher_username",
+        "student_id",
+        "teacher_id",
+        "course_id",
+        "semester",
+        "51 AS score",
+    )
+    for operator, left_out in (
+        (op.enrol, ["teacher_username", "student_id", "score"]),
+        (op.drop, ["teacher_username", "student_id", "teacher_id", "score"]),
+        (op.upsert_grades, ["student_username", "teacher_id"]),
+        (op.delete_grades, ["student_username", "teacher_username", "score"]),
+    ):
+        changes = batch.drop(*left_out)
+        rejects = operator(stored, changes).rejects
+        assert "Join" not in plan(rejects), operator.__name__
+        third = operator(stored, changes.union(changes.withColumn("change_seq", changes.change_seq + 2)))
+        assert "Join" in plan(third.rejects), operator.__name__
+        assert third.rejects.count() == third.rejects.distinct().count()
+        assert not third.rejects.isEmpty()
+
+
+def test_changes_to_an_account_name_of_two_ids_are_refused_once(spark, school):
+    schema = "change_seq BIGINT, student_username STRING, course_id BIGINT, semester STRING"
+    twins = school.users.union(spark.createDataFrame([(5_000, "BOB", "student")], school.users.schema))
+    changes = spark.createDataFrame([(1, "bob", 10, "1999春"), (2, "bob", 10, "1999春")], schema)
+    rejects = op.drop(school.with_tables(users=twins), changes).rejects
+    assert sorted((r.change_seq, r.reason) for r in rejects.collect()) == [
+        (1, "no_such_row"), (2, "no_such_row")
+    ]
+
+
+def test_changes_to_enrolments_are_staged_compressed(skewed):
+    changes = skewed.sc.selectExpr("1L AS change_seq", "teacher_id", "student_id", "course_id", "semester")
+
+    def size(staged) -> int:
+        return sum(os.path.getsize(file.removeprefix("file://")) for file in staged.inputFiles())
+
+    plainly = stage(changes, "changes", plain=True)
+    assert size(_as_delivered(changes)) < size(plainly) / 2
+    assert size(_as_delivered(changes, light=False)) < size(plainly) / 2
