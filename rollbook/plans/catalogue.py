@@ -25,9 +25,9 @@ def _school(projection: Projection, reads: str) -> School:
     """The school with the tables staged that the plan would derive several times."""
     if reads == ONCE:
         return projection.school()
-    school = projection.school(stage(projection.sc(), "sc", plain=True))
+    school = projection.school(stage(projection.sc(), "sc", sized=True))
     if reads == SECTIONS_TOO:
-        school = school.with_tables(tc=stage(school.tc, "tc", plain=True))
+        school = school.with_tables(tc=stage(school.tc, "tc", sized=True))
     return school
 
 
