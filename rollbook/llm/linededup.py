@@ -33,9 +33,14 @@ LEAST, LONG = 25, 20
 _ALPHABETS = range(0x24, 0x3000)
 _CAPITALS = "".join(chr(c) for c in _ALPHABETS if chr(c).isupper())
 _BREAK = re.compile(rf"[ \t\r]*\n\s*|(?<=[.!?…])\s+|(?<=[。！？])(?!\s)|\s+(?=[{_CAPITALS}])")
+#: The same for texts without full-width stops: a pattern that starts with white space is
+#: looked for from blank to blank instead of at every character.
+_BLANK_BREAK = re.compile(
+    rf"\s(?:(?:(?<=\n)|(?<=[ \t\r])[ \t\r]*\n)\s*|(?<=[.!?…]\s)\s*|\s*(?=[{_CAPITALS}]))"
+)
 #: About a sixth of all words end in a character whose number is 4 above a multiple of 8.
 _ENDS = "".join(re.escape(chr(c)) for c in _ALPHABETS if c % 8 == 4 and not chr(c).isspace())
-_FINER = re.compile(rf"(?<=[{_ENDS}])\s+")
+_FINER = re.compile(rf"\s(?<=[{_ENDS}]\s)\s*")
 
 
 def cuts(text: str) -> tuple[list[int], list[int]]:
@@ -43,7 +48,8 @@ def cuts(text: str) -> tuple[list[int], list[int]]:
     starts, ends = [], []
     tail = len(text.rstrip())
     at = len(text) - len(text.lstrip())
-    gaps = [g.span() for g in _BREAK.finditer(text, at)]
+    wide = "。" in text or "！" in text or "？" in text
+    gaps = [g.span() for g in (_BREAK if wide else _BLANK_BREAK).finditer(text, at)]
     for gap, after in [*gaps, (tail, tail)]:
         if gap > at:
             # so many words have blanks between them
@@ -114,14 +120,14 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def spans(text: str, marked: list[int], least: int) -> list[tuple[int, int]]:
     """What to remove from a text whose units ``marked`` have an earlier place elsewhere."""
-    starts, ends, words = units(text)
+    starts, ends = cuts(text)
     repeat = ~_first_seen(digests(text, starts, ends))
     repeat[marked] = True
     edge = np.flatnonzero(np.diff(np.concatenate([[0], repeat.astype(np.int8), [0]])))
-    total = np.concatenate([[0], np.cumsum(words)])
     found = []
     for a, b in edge.reshape(-1, 2):
-        if total[b] - total[a] >= least:
+        words = sum(len(text[c:d].split()) for c, d in zip(starts[a:b], ends[a:b], strict=True))
+        if words >= least:
             found.append((starts[a], starts[b] if b < len(starts) else len(text)))
     return found
 

@@ -581,3 +581,13 @@ def test_pipeline_on_edge_cases(spark, tmp_path, rows):
         assert length <= 2048
         ends = sorted((r.offset, r.length) for r in got if r.sequence_id == sequence)
         assert [o for o, _ in ends] == [sum(n for _, n in ends[:i]) for i in range(len(ends))]
+
+
+def test_blank_patterns_find_what_the_plain_ones_do():
+    draw = random.Random(3)
+    finer = re.compile(rf"(?<=[{linededup._ENDS}])\s+")
+    for _ in range(20_000):
+        text = "".join(draw.choices(" \t\r\n\x0b 　.!?…aÉЖaz,$4é", k=draw.randint(1, 60)))
+        at = draw.randrange(len(text))
+        for plain, quick in ((linededup._BREAK, linededup._BLANK_BREAK), (finer, linededup._FINER)):
+            assert [g.span() for g in plain.finditer(text, at)] == [g.span() for g in quick.finditer(text, at)]
