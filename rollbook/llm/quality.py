@@ -35,11 +35,11 @@ UNITS, WIDTH, NONZERO, AROUND = 2**15, 64, 8, 2
 FIGURES = 5
 #: Fixed by the contract.
 FOLDS, HELD_OUT, ACCEPT = 4, 2, 0.7
-_MOST_KNOWN = 500_000
+_MOST_KNOWN = 250_000
 #: Marks that commonly end a word, none a letter.
 _ENDS = ".,;:!?)]}\"'%$#*&"
-#: Words whose contexts are summed in one go.
-_AT_ONCE = 400_000
+#: Words whose contexts are summed in one go, and numbers that a step of that holds at once.
+_AT_ONCE, _CELLS = 100_000, 1 << 20
 
 
 @cache
@@ -126,14 +126,14 @@ def units() -> Units:
 
 @cache
 def _entries() -> np.ndarray:
-    """Per unit the places of its index vector's entries, twice the column and one more if
-    negative; for no unit a column of its own."""
+    """The places of the units' index vectors' entries, a row for the first of each and so on:
+    twice the column and one more if negative; for no unit a column of its own."""
     vectors = index_vectors()
     places = np.full((UNITS + 1, NONZERO), 2 * WIDTH, dtype=np.int64)
     for unit, row in enumerate(vectors[:UNITS]):
         columns = np.flatnonzero(row)
         places[unit] = 2 * columns + (row[columns] < 0)
-    return places
+    return np.ascontiguousarray(places.T)
 
 
 def _add(sums: np.ndarray, rows: np.ndarray, vectors: np.ndarray) -> None:
@@ -148,17 +148,33 @@ def _products(
     keys: list[np.ndarray], rows: int, columns: int, left: np.ndarray, right: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
     """The counts of ``row * columns + column``, as a matrix, times the vectors of its
-    columns, and its transpose times those of its rows. Whole numbers, exact as doubles."""
-    if rows * columns <= 1 << 23:
-        counts = sum(np.bincount(k, minlength=rows * columns) for k in keys).astype(float)
-        counts = counts.reshape(rows, columns)
-        return (counts @ right).astype(np.int64), (counts.T @ left).astype(np.int64)
-    met, many = np.unique(np.concatenate(keys), return_counts=True)
-    row, column = np.divmod(met, columns)
+    columns, and its transpose times those of its rows. Whole numbers, exact as doubles.
+
+    The matrix is made some rows at a time; where it is large for what it holds, only the
+    places that occur are, some at a time too.
+    """
+    met = np.sort(np.concatenate(keys))
     forth = np.zeros((rows, right.shape[1]), dtype=np.int64)
     back = np.zeros((columns, left.shape[1]), dtype=np.int64)
-    _add(forth, row, right[column].astype(np.int64) * many[:, None])
-    _add(back, column, left[row].astype(np.int64) * many[:, None])
+    if rows * columns <= 1 << 23:
+        step = max(1, _CELLS // columns)
+        for first in range(0, rows, step):
+            last = min(first + step, rows)
+            start, end = np.searchsorted(met, (first * columns, last * columns))
+            if start < end:
+                places = met[start:end] - first * columns
+                counts = np.bincount(places, minlength=(last - first) * columns).astype(float)
+                counts = counts.reshape(-1, columns)
+                forth[first:last] = (counts @ right).astype(np.int64)
+                back += (counts.T @ left[first:last]).astype(np.int64)
+        return forth, back
+    met, many = np.unique(met, return_counts=True)
+    step = max(1, _CELLS // max(left.shape[1], right.shape[1]))
+    for first in range(0, len(met), step):
+        row, column = np.divmod(met[first : first + step], columns)
+        times = many[first : first + step, None]
+        _add(forth, row, right[column].astype(np.int64) * times)
+        _add(back, column, left[row].astype(np.int64) * times)
     return forth, back
 
 
@@ -184,21 +200,25 @@ class Contexts:
             return
         ids = units().of_all(words)
         letters = ids[:, 0].astype(np.int64)
+        here, letter = np.unique(letters, return_inverse=True)
         kinds, kind = np.unique(ids[:, 1].astype(np.int64) * (UNITS + 1) + ids[:, 2], return_inverse=True)
         shapes, marks = np.divmod(kinds, UNITS + 1)
         each = self.vectors[shapes] + self.vectors[marks]
-        places = _entries()[letters]
         many = len(kinds)
-        met, pairs = [], []
+        met, pairs, near = [], [], []
         for away in range(1, AROUND + 1):
             later, earlier = slice(away, None), slice(None, -away)
-            for own, other in ((later, earlier), (earlier, later)):
-                flat = letters[own, None] * self.wide + places[other]
-                self.letters += np.bincount(flat.ravel(), minlength=len(self.letters))
-                met.append(letters[own] * many + kind[other])
-                pairs.append(kind[own] * many + kind[other])
-        forth, around = _products(met, UNITS + 1, many, self.vectors, each)
-        self.sums += forth
+            near += [(later, earlier), (earlier, later)]
+        for own, other in near:
+            met.append(letter[own] * many + kind[other])
+            pairs.append(kind[own] * many + kind[other])
+        base = letters * self.wide
+        for entry in _entries():
+            place = entry[letters]
+            for own, other in near:
+                np.add.at(self.letters, base[own] + place[other], 1)
+        forth, around = _products(met, len(here), many, self.vectors[here], each)
+        self.sums[here] += forth
         around += _products(pairs, many, many, each, each)[0]
         np.add.at(self.sums, shapes, around)
         np.add.at(self.sums, marks, around)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import collections
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from conftest import SMALL
@@ -546,6 +548,23 @@ def test_products_of_counts():
     assert np.array_equal(forth, counts @ right) and np.array_equal(back[:2], counts.T @ left)
 
 
+def test_a_task_of_contexts_holds_little():
+    """However many words it reads, and however many of them are different."""
+    draw = random.Random(9)
+    marks = ["", ".", ",", "!", "?!", "...", ")", '"']
+    words = [f"{draw.getrandbits(40):x}{draw.choice(marks)}" for _ in range(300_000)]
+    texts = [" ".join(draw.choices(words, k=1000)) for _ in range(450)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    quality._entries()
+    quality.units.cache_clear()
+    tracemalloc.start()
+    try:
+        assert sum(part.num_rows for part in quality.contexts(iter([batch])))
+        assert tracemalloc.get_traced_memory()[1] < 300e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_pooling_and_network_equal_plain_loops():
     draw = np.random.default_rng(1)
     vectors = draw.normal(size=(quality.UNITS + 1, quality.WIDTH)).astype(np.float32)
