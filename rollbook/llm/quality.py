@@ -26,6 +26,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -249,18 +250,41 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _scaled(unit: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Index vectors of units plus their context sums, each of length 1 at most."""
+    length = np.linalg.norm(sums, axis=1, keepdims=True)
+    own = index_vectors()[unit] / np.sqrt(NONZERO)
+    return (own + sums / np.maximum(length, 1e-9)).astype(np.float32)
+
+
+def _scaled_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, vector) of units with the sums of their contexts."""
+    for batch in batches:
+        sums = batch.column("vector").flatten().to_numpy().astype(float).reshape(-1, WIDTH)
+        made = _scaled(batch.column("unit").to_numpy(), sums)
+        ends = pa.array(np.arange(0, made.size + 1, WIDTH, dtype=np.int32))
+        lists = pa.ListArray.from_arrays(ends, pa.array(made.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("unit"), lists], names=["unit", "vector"])
+
+
 def word_vectors(texts: DataFrame) -> np.ndarray:
-    """Unit vectors: own index and context, each of length 1 at most. Bounded by UNITS."""
+    """Unit vectors: own index and context, each of length 1 at most. Bounded by UNITS.
+
+    They are scaled where they are summed and come as Arrow batches, so that the driver
+    never holds them as objects, number by number.
+    """
     sums = texts.select("text").mapInArrow(contexts, "unit bigint, vector array<bigint>")
     summed = sums.groupBy("unit").agg(
         F.array(*[F.sum(F.col("vector")[i]) for i in range(WIDTH)]).alias("vector")
     )
-    context = np.zeros((UNITS + 1, WIDTH))
-    for row in summed.collect():
-        context[row["unit"]] = row["vector"]
-    length = np.linalg.norm(context, axis=1, keepdims=True)
-    own = index_vectors() / np.sqrt(NONZERO)
-    return (own + context / np.maximum(length, 1e-9)).astype(np.float32)
+    made = summed.mapInArrow(_scaled_rows, "unit bigint, vector array<float>").toArrow()
+    out = np.empty((UNITS + 1, WIDTH), dtype=np.float32)
+    for part in np.array_split(np.arange(UNITS + 1), 64):
+        out[part] = _scaled(part, np.zeros((len(part), WIDTH)))
+    for batch in made.to_batches():
+        vectors = batch.column("vector").flatten().to_numpy()
+        out[batch.column("unit").to_numpy()] = vectors.reshape(-1, WIDTH)
+    return out
 
 
 def features(text: "str | None", vectors: np.ndarray) -> np.ndarray:
@@ -355,9 +379,10 @@ def held_out() -> Column:
     return F.coalesce(number == HELD_OUT, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000):
-    """The word vectors of all documents, and the network, fitted on at most ``sample``
-    labelled rows."""
+def network(
+    docs: DataFrame, labels: DataFrame, shared: Broadcast, sample: int = 4000
+) -> Network | None:
+    """The network over the shared word vectors, fitted on at most ``sample`` labelled rows."""
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     chosen = (
         usable.groupBy("doc_id")
@@ -370,36 +395,43 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000):
     told = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
     rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), told.alias("told"))
     rows = rows.select("doc_id", "quality", "told.text")
-    vectors = word_vectors(docs)
 
     def pooled(batches):
         for batch in batches:
-            made = [features(t.as_py(), vectors) for t in batch.column("text")]
+            made = [features(t.as_py(), shared.value) for t in batch.column("text")]
             made = pa.array([m.astype(float).tolist() for m in made], pa.list_(pa.float64()))
             kept = batch.select(["doc_id", "quality"]).columns
             yield pa.RecordBatch.from_arrays([*kept, made], names=["doc_id", "quality", "features"])
 
     typed = rows.select(F.col("doc_id").cast("bigint"), F.col("quality").cast("int"), "text")
-    made = typed.mapInArrow(pooled, "doc_id bigint, quality int, features array<double>").collect()
-    made.sort(key=lambda row: row["doc_id"])
-    x = np.array([row["features"] for row in made]).reshape(len(made), WIDTH + FIGURES)
-    return vectors, fit(x, np.array([row["quality"] for row in made]))
+    made = typed.mapInArrow(pooled, "doc_id bigint, quality int, features array<double>").toArrow()
+    order = np.argsort(made.column("doc_id").to_numpy(), kind="stable")
+    x = made.column("features").combine_chunks().flatten().to_numpy()
+    x = x.reshape(made.num_rows, WIDTH + FIGURES)[order]
+    return fit(x, made.column("quality").to_numpy()[order])
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000):
+    """The word vectors of all documents, and the network, fitted on at most ``sample``
+    labelled rows."""
+    vectors = word_vectors(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    return vectors, network(docs, labels, shared, sample)
 
 
 def scorer(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Callable[[str], Column]:
     """What gives the probability of label 1 for a text column."""
-    vectors, net = learn(docs, labels, sample)
-    # UNITS x WIDTH numbers and a small network, whatever the corpus holds
-    model = docs.sparkSession.sparkContext.broadcast((vectors, net))
+    # UNITS x WIDTH numbers, whatever the corpus holds; sent once, for learning and scoring
+    shared = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
+    net = network(docs, labels, shared, sample)
 
     @F.pandas_udf("double")
     def probability(texts: pd.Series) -> pd.Series:
-        vectors, net = model.value
         if net is None:
             return pd.Series(np.full(len(texts), 0.5))
         made = np.zeros((len(texts), WIDTH + FIGURES))
         for i, text in enumerate(texts):
-            made[i] = features(text, vectors)
+            made[i] = features(text, shared.value)
         return pd.Series(net.probability(made))
 
     return probability

@@ -213,6 +213,36 @@ def test_classifier_edges(spark, edges, nothing):
     assert quality.accepted(edges, labels).columns == edges.columns
 
 
+def test_word_vectors_take_little_of_the_driver(spark):
+    # nearly all units occur, so nearly all vectors are made from sums
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(F.lit("w"), F.col("id") * 1000 + i)), " ")
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), words.alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    quality.index_vectors()
+    tracemalloc.start()
+    try:
+        quality.scorer(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 * (quality.UNITS + 1) * quality.WIDTH * 4
+
+
+def test_word_vectors_are_scaled_sums(spark):
+    texts = ["one Two three, four; one", "zyx two!! (three) 4 one", "", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text STRING")
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    sums = np.zeros((quality.UNITS + 1, quality.WIDTH))
+    for part in quality.contexts(iter([batch])):
+        sums[part.column("unit").to_numpy()] = part.column("vector").to_pylist()
+    length = np.linalg.norm(sums, axis=1, keepdims=True)
+    own = quality.index_vectors() / np.sqrt(quality.NONZERO)
+    want = (own + sums / np.maximum(length, 1e-9)).astype(np.float32)
+    assert sums.any() and np.array_equal(quality.word_vectors(docs), want)
+    none = quality.word_vectors(docs.limit(0))
+    assert none.dtype == np.float32 and np.array_equal(none, own.astype(np.float32))
+
+
 # ---------------------------------------------------------------- near duplicates
 
 
